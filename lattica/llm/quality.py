@@ -118,18 +118,17 @@ def base_failed(s) -> Column:
 
 
 def cascade_order(df: DataFrame, text: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, most first, as one aggregation over a bounded sample measures them."""
-    sample, stats = text_stats(df.select(text).limit(sample_rows), text)
+    """The rules by rejections per cost, most first, as measured on a bounded sample."""
+    sample, stats = text_stats(df.select(text), text)
     s, t = (lambda k: F.col(stats)[k]), F.col(text)
-    row = sample.agg(
-        F.avg(F.length(t)).alias("chars"),
-        F.avg(s("n_words")).alias("words"),
-        *[F.avg(F.coalesce(r.rejects(s, t), F.lit(False)).cast("double")).alias(f"r{k}") for k, r in enumerate(rules)],
-    ).first()
-    gain = {
-        r.name: (row[f"r{k}"] or 0.0) / (r.per_row + r.per_char * (row["chars"] or 0.0) + r.per_word * (row["words"] or 0.0))
-        for k, r in enumerate(rules)
-    }
+    # a limit that is collected reads only as many partitions as it needs; a row here is a few numbers
+    rows = sample.select(
+        F.coalesce(F.length(t), F.lit(0)),
+        s("n_words"),
+        *[F.coalesce(r.rejects(s, t), F.lit(False)).cast("int") for r in rules],
+    ).limit(sample_rows).collect()
+    chars, words, *rejected = [sum(x) / len(rows) for x in zip(*rows)] if rows else [0.0] * (2 + len(rules))
+    gain = {r.name: hits / (r.per_row + r.per_char * chars + r.per_word * words) for r, hits in zip(rules, rejected)}
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
@@ -164,7 +163,10 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_dist
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass the base rule and every rule of the cascade, with the columns they came with."""
     out, verdict = cascade(docs, text)
-    return out.where(F.col(verdict)["kept"]).drop(verdict)
+    # Generated, or the filter would be pushed below the projections and every count be made several times.
+    (kept,) = fresh(out, "kept")
+    out = out.select("*", F.explode(F.array(F.col(verdict)["kept"])).alias(kept))
+    return out.where(F.col(kept)).drop(kept, verdict)
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

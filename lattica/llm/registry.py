@@ -9,7 +9,10 @@ from . import sql
 #: name -> (module, function of the tables, tables)
 _QUERIES = {
     "op1_quality_rules": ("quality", "quality_report", ("documents",)),
+    "op2_best_fit_packing": ("packing", "packing_report", ("documents",)),
+    "op6_decontamination": ("decontam", "decontamination_report", ("documents", "benchmark")),
     "op7_line_dedup": ("linededup", "line_dedup_report", ("documents",)),
+    "op9_minhash_near_dedup": ("neardup", "near_duplicate_report", ("documents",)),
     "op10_license_scan": ("licenses", "scan_licences", ("documents",)),
 }
 
