@@ -51,14 +51,32 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null stays null."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\p{N}\n]*(copyright\b(?=[^\n]*(©|\(c\)|\d{4}))|©|\(c\) *\d{4})[^\n]*$", " ")
-    out = F.regexp_replace(out, r"all rights reserved", " ")
-    out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+#: A spelling is never shortened to less than this part of its length, so that a longer text can't become a shorter known one.
+LEAST_PART = 0.75
+
+
+def _plain(line: Column) -> Column:
+    """A lower-case line without punctuation, or empty for a copyright line."""
+    marked = F.contains(line, F.lit("copyright")) | F.contains(line, F.lit("(c)")) | F.contains(line, F.lit("©"))
+    notice = marked & line.rlike(r"^[^\p{L}\p{N}]*(copyright\b(?=.*(©|\(c\)|\d{4}))|©|\(c\) *\d{4})")
+    return F.when(notice, F.lit("")).otherwise(F.btrim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " ")))
+
+
+def _lines(text: Column) -> Column:
+    """The plain form of each line that has one."""
+    return F.filter(F.transform(F.split(F.lower(text), "\n"), _plain), lambda x: F.length(x) > 0)
+
+
+def _spelled(plain: Column) -> Column:
+    out = F.concat(F.lit(" "), plain, F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.btrim(out)
+    return F.btrim(F.replace(out, F.lit(" all rights reserved "), F.lit(" ")))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; null stays null."""
+    return _spelled(F.array_join(_lines(text), " "))
 
 
 def digest(text: Column) -> Column:
@@ -68,32 +86,39 @@ def digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts=TEXTS, notices=NOTICES) -> DataFrame:
-    """(digest, license_id, unit) of known texts; unit is `text` or `notice`."""
-    rows = [(k, v, "text") for k, v in texts] + [(k, v, "notice") for k, v in notices]
-    known = spark.createDataFrame(rows, "license_id string, body string, unit string")
-    return known.select(digest(F.col("body")).alias("digest"), "license_id", "unit").groupBy("digest", "unit").agg(
+    """(unit, digest, length, license_id) of known texts; unit is `text` or `notice`, length that of the canonical form."""
+    rows = [("text", k, v) for k, v in texts] + [("notice", k, v) for k, v in notices]
+    known = spark.createDataFrame(rows, "unit string, license_id string, body string")
+    return known.groupBy("unit", digest(F.col("body")).alias("digest"), F.length(canonical(F.col("body"))).alias("length")).agg(
         F.min("license_id").alias("license_id")
     )
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_digest, license_id (of the whole text, or null), notice_ids (of its lines,
-    sorted), has_license. `known` has columns digest, unit, license_id; a small one is broadcast, a large one shuffled."""
+    """One row per document: doc_id, license_id (of the whole text, or null), notice_ids (of its lines, sorted),
+    has_license. `known` has columns unit, digest, length, license_id; a small one is broadcast, a large one shuffled.
+
+    A unit too long for any known text of its kind is not hashed, as it can't be equal to one.
+    """
     known = known_licences(docs.sparkSession) if known is None else known
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    sizes = {r["unit"]: r for r in known.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).collect()}
+    if sum(r["n"] for r in sizes.values()) <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    whole = known.where("unit = 'text'").select(F.col("digest").alias("text_digest"), "license_id")
-    notices = known.where("unit = 'notice'").select("digest", F.col("license_id").alias("notice_id"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = rows.select(F.col("doc_id").alias("of"), F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("of", digest(F.col("line")).alias("digest")).join(notices, "digest")
-    found = found.groupBy("of").agg(F.sort_array(F.collect_set("notice_id")).alias("ids"))
-    rows = rows.select("doc_id", digest(F.col("text")).alias("text_digest")).join(whole, "text_digest", "left")
+    most = {u: (r["most"] or 0) / LEAST_PART + len(" all rights reserved ") for u, r in sizes.items()}
+
+    def candidates(unit: str, bodies: Column) -> Column:
+        fits = F.filter(bodies, lambda x: F.length(x) <= most.get(unit, 0))
+        return F.transform(fits, lambda x: F.struct(F.lit(unit).alias("unit"), x.alias("body")))
+
+    rows = docs.select(F.col(doc_id).alias("of"), _lines(F.col(text)).alias("lines"))
+    whole = F.when(F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)) <= most.get("text", 0), F.array(F.array_join("lines", " ")))
+    each = F.concat(F.coalesce(candidates("text", whole), F.array()), candidates("notice", F.col("lines")))
+    units = rows.select("of", F.explode(each).alias("u")).select("of", "u.unit", F.sha2(_spelled(F.col("u.body")), 256).alias("digest"))
+    found = units.join(known, ["unit", "digest"]).groupBy("of").agg(
+        F.min(F.when(F.col("unit") == "text", F.col("license_id"))).alias("license_id"),
+        F.sort_array(F.collect_set(F.when(F.col("unit") == "notice", F.col("license_id")))).alias("ids"),
+    )
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
-        "doc_id",
-        "text_digest",
-        "license_id",
-        ids.alias("notice_ids"),
-        (F.col("license_id").isNotNull() | (F.size(ids) > 0)).alias("has_license"),
+    return docs.select(F.col(doc_id).alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
+        "doc_id", "license_id", ids.alias("notice_ids"), (F.col("license_id").isNotNull() | (F.size(ids) > 0)).alias("has_license")
     )
