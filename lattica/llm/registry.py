@@ -11,6 +11,7 @@ _QUERIES = {
     "op1_quality_rules": ("quality", "quality_report", ("documents",)),
     "op2_best_fit_packing": ("packing", "packing_report", ("documents",)),
     "op3_language_id": ("langid", "language_report", ("documents",)),
+    "op4_substring_dedup": ("rlz", "substring_dedup_report", ("documents",)),
     "op5_toxicity": ("toxicity", "toxicity_report", ("documents", "labels")),
     "op6_decontamination": ("decontam", "decontamination_report", ("documents", "benchmark")),
     "op7_line_dedup": ("linededup", "line_dedup_report", ("documents",)),

@@ -80,4 +80,30 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM m LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op9_minhash_near_dedup": OP9, "op1_quality_rules": OP1, "op7_line_dedup": OP7}
+OP4 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{W}') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, list_slice(ws, i, i + 19) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)
+),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+),
+-- a word is covered if the last such window that starts at or before it reaches it
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+marked AS (
+  SELECT words.doc_id, words.i, word,
+         coalesce(words.i - max(again.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) < 20, false) AS gone
+  FROM words LEFT JOIN again ON words.doc_id = again.doc_id AND words.i = again.i
+),
+s AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLES = {"op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op1_quality_rules": OP1, "op7_line_dedup": OP7}
