@@ -15,6 +15,7 @@ _QUERIES = {
     "op5_toxicity": ("toxicity", "toxicity_report", ("documents", "labels")),
     "op6_decontamination": ("decontam", "decontamination_report", ("documents", "benchmark")),
     "op7_line_dedup": ("linededup", "line_dedup_report", ("documents",)),
+    "op8_suffix_array_dedup": ("repeats", "repeat_removal_report", ("documents",)),
     "op9_minhash_near_dedup": ("neardup", "near_duplicate_report", ("documents",)),
     "op10_license_scan": ("licenses", "scan_licences", ("documents",)),
 }
