@@ -6,10 +6,12 @@
    signatures that differ in at most 21 components have a chunk that differs in at most one; so each signature is filed
    under its 66 chunks with one component left out, and every such pair meets in a bucket. Pairs further apart meet as
    soon as one chunk differs in at most one component: at a similarity of 0.8, all but 8 in a million pairs do.
-3. In each bucket some classes, drawn by hash, are pivots: each is compared with every class there that isn't known to be
-   connected with it, and then leaves the bucket, as all its links there are known. Classes of one component need no
-   comparison, so a group of thousands of near copies costs a star, not all pairs. A round draws about eight times as many
-   pivots a bucket as the one before, beginning with one; rounds go on until each bucket has one component left.
+3. Small buckets are compared in full. In a crowded bucket a few classes are pivots: each is compared with every class
+   there that isn't known to be connected with it. So a group of thousands of near copies costs a star, not all pairs. It
+   is also counted how many of a class's shingles no other class of a crowded bucket has: these can't be in an
+   intersection, which rules out most comparisons exactly, and the class with the smallest such part is the first pivot.
+   Where a crowded bucket still has two components or more, the classes outside the largest one (the query set) are
+   compared with all of their group in blocks, by one matrix product a block, and no pair is made but the links found.
 4. A pair's signatures are compared first; then the link is confirmed on the full shingle sets, made again from the
    texts. A pivot's partners are dealt to groups of bounded size, so that no task gets a large group whole.
 
@@ -35,8 +37,8 @@ from .hashing import Words, mix, rolling, slices
 COMPONENTS, CHUNK = 66, 6
 #: Signatures that differ in more components than this aren't confirmed: at a similarity of 0.8 less than one in a million.
 MAX_DIFFERENT = 30
-#: Times as many pivots in a bucket, from round to round.
-GROWTH = 8
+#: Classes in a small bucket; pivots in a crowded one in the second round; classes in a block, on either side.
+SMALL, PIVOTS, BLOCK = 8, 3, (64, 256)
 #: Partners of a pivot that one group checks.
 PARTNERS = 64
 
@@ -164,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     classes = written(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     texts = texts.join(classes.select("id"), "id", "left_semi")
-    links = _links(classes.select("id", "sig"), texts, k, percent)
+    links = _links(classes.select("id", "n", "sig"), texts, k, percent)
     of_class = classes.select("d1", "d2", "n", F.col("id").alias("rep"))
     if links is not None:
         of_class = of_class.join(links.withColumnRenamed("id", "rep"), "rep", "left")
@@ -174,39 +176,107 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     return made.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
+def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(id, own): how many shingles of a text no other of these texts has; without those that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"), k)
+            ids = np.repeat(batch.column("id").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], ["h", "id"])
+
+    once = texts.mapInArrow(run, "h long, id long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    return once.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(id, component) of the classes that are linked with another, or None if there are none."""
     rows = _bucket_rows(classes)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    rows = written(rows.join(shared, "key").select("key", "id", F.col("id").alias("comp")))
-    edges, joined, tested, draw = None, None, None, 1
-    while True:
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (F.col("c") > SMALL).alias("crowded"))
+    rows = written(rows.join(shared, "key"))
+    crowd = rows.where("crowded").select("id").distinct()
+    own = _own_shingles(texts.join(crowd, "id", "left_semi"), k)
+    sizes = written(classes.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
+    rows = rows.join(sizes, "id").select("key", "id", "crowded", F.col("id").alias("comp"), "n", F.when(F.col("crowded"), F.col("n") - F.col("own")).otherwise(F.col("n")).alias("common"))
+    # a class whose own shingles are too many for any partner leaves the bucket
+    rows = written(rows.where(f"common * 100 >= {percent} * n"))
+    fits = f"least(common, q.common) * {100 + percent} >= {percent} * (n + q.n)"
+    edges, joined = None, None
+    for first in (True, False):
         # only buckets with two components or more; these sums are made before the shuffle
-        live = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        live = rows.join(live.where("lo <> hi").select("key", "c"), "key")
-        # the draw is a hash of id and key, so that it comes out the same if a task runs again
-        u = F.pmod(F.xxhash64(F.col("id"), F.col("key"), F.lit(draw)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        live = written(live.select("key", "id", "comp", (u * F.col("c") < draw).alias("pivot")))
-        if live.isEmpty():
-            return joined
-        pivots = live.where("pivot").select("key", F.col("id").alias("p"), F.col("comp").alias("pc"))
-        pairs = live.join(pivots, "key").where("comp <> pc and (not pivot or id > p)")
-        pairs = pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        rows, draw = live.where("not pivot").select("key", "id", "comp"), draw * GROWTH
+        rank = F.struct((1 - F.col("common") / F.col("n")).alias("part"), F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+        live = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(rank).alias("least"))
+        live = rows.join(live.where("lo <> hi").select("key", "c", F.col("least.id").alias("least")), "key")
+        # a hash of the id, so that the draw comes out the same if a task runs again, and alike in all buckets of a class
+        u = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = F.col("id") == F.col("least") if first else (u * F.col("c") < PIVOTS) | ~F.col("crowded")
+        rows = written(live.select(*rows.columns, drawn.alias("pivot"))).select(*rows.columns, "pivot")
+        turn = rows.where("crowded") if first else rows
+        pivots = turn.where("pivot").select("key", F.col("id").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("common").alias("pcommon"))
+        pairs = turn.join(pivots, "key").where("comp <> pc and (not pivot or id > p)").where(fits.replace("q.", "p"))
+        pairs = written(pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+        rows = rows.drop("pivot")
         if pairs.isEmpty():
             continue
-        tested = pairs if tested is None else tested.union(pairs)
         near = pairs.join(classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         near = near.join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         near = written(near.mapInArrow(_different("sa", "sb"), "a long, b long"))
-        found = written(_confirmed(near, texts, k, percent))
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            joined = written(components(edges))
-            rows = rows.join(joined.withColumnRenamed("component", "now"), "id", "left").select("key", "id", F.coalesce("now", "comp").alias("comp"))
+        edges, joined, rows = _joined(rows, edges, written(_confirmed(near, texts, k, percent)), joined)
+    found = _by_blocks(rows.where("crowded"), texts, k, percent)
+    return joined if found is None else _joined(rows, edges, found, joined)[1]
+
+
+def _joined(rows: DataFrame, edges: DataFrame | None, found: DataFrame, joined: DataFrame | None) -> tuple:
+    """All links so far, the components that they make, and `rows` with these."""
+    if found.isEmpty():
+        return edges, joined, rows
+    edges = found if edges is None else edges.union(found)
+    joined = written(components(edges))
+    now = joined.withColumnRenamed("component", "now")
+    return edges, joined, rows.join(now, "id", "left").withColumn("comp", F.coalesce("now", "comp")).select(*rows.columns)
+
+
+def _by_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components that share a bucket of `rows`, one at least for each two that are linked."""
+    per = rows.groupBy("key").agg(F.min("id").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    live = written(rows.join(per.select("key", "least"), "key").select("id", "comp", "least").distinct())
+    if live.isEmpty():
+        return None
+    # classes that buckets hold together are one group
+    group = components(live.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "of")
+    members = written(live.select("id", "comp").distinct().join(group, "id"))
+    sizes = members.groupBy("of", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("of").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("top"))
+    blocks = most.select("of", "main", *[F.ceil(x / size).cast("long").alias(n) for n, x, size in (("nq", F.col("all") - F.col("top"), BLOCK[0]), ("na", F.col("all"), BLOCK[1]))])
+    members = members.join(blocks, "of")
+    spot = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = members.where("comp <> main").select("of", "id", "comp", spot("nq", 1).alias("q"), upto("na").alias("m"), F.lit(True).alias("asks"))
+    others = members.select("of", "id", "comp", upto("nq").alias("q"), spot("na", 2).alias("m"), F.lit(False).alias("asks"))
+
+    def check(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        sets = []
+        for batch in slices(iter(table.select(["text"]).combine_chunks().to_batches())):
+            sets += shingle_sets(batch.column("text"), k)
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        of = np.repeat(np.arange(len(sets)), size)
+        _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[col] > 1
+        used, col = np.unique(col[shared], return_inverse=True)
+        matrix = np.zeros((len(sets), len(used)), np.float32)
+        matrix[of[shared], col] = 1
+        both = (matrix[asks] @ matrix[~asks].T).astype(np.int64)
+        union = size[asks][:, None] + size[~asks][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union) & (comp[asks][:, None] != comp[~asks][None, :]))
+        # one link to each component is as good as all
+        _, one = np.unique(np.stack([i, comp[~asks][j]], axis=1), axis=0, return_index=True)
+        return pa.table({"a": pa.array(ids[asks][i[one]], pa.int64()), "b": pa.array(ids[~asks][j[one]], pa.int64())})
+
+    each = asked.union(others).join(texts, "id")
+    return written(each.groupBy("of", "q", "m").applyInArrow(check, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,14 +28,15 @@ from .hashing import slices
 CAPACITY, END_ID = 4096, 1
 #: Sequences that a group makes, about.
 GROUP_BINS = 8192
-#: Words whose ids a task remembers (twice as many at most).
-CACHE_WORDS = 200_000
+#: Words, and as many word cores, whose ids a task remembers.
+CACHE_WORDS = 700_000
 
 
 class WordCache:
-    """Ids of white-space separated words, each encoded once while it is remembered.
+    """Ids of white-space separated words, as little-endian unsigned 32-bit ids, each encoded once while it is remembered.
 
-    The vocabularies meant here drop white space before they merge, so that a text's ids are its words' ids in a row.
+    The vocabularies meant here drop white space before they merge, so that a text's ids are its words' ids in a row. A
+    full stop or comma after a letter or digit is split off like that too, and ASCII words are looked up in lower case.
     """
 
     def __init__(self, path: str):
@@ -42,28 +44,38 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        found = list(map(self.young.get, words))
-        if None in found:
-            self._learn({w for w, x in zip(words, found) if x is None})
-            found = list(map(self.young.__getitem__, words))
-        return np.fromiter(chain.from_iterable(found), np.uint32)
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words) > CACHE_WORDS and self.young:
-            self.old, again = self.young, words
-            self.young = {w: self.old[w] for w in again if w in self.old}
-        new = [w for w in words if w not in self.young]
-        for w in new:
-            if (x := self.old.get(w)) is not None:
-                self.young[w] = x
-        new = [w for w in new if w not in self.young]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.young[w] = tuple(e.ids)
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        each = [t.split() for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        if len(self.cores) > CACHE_WORDS:
+            self.cores = {}
+        self._learn(set(chain.from_iterable(each)).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, words)) for words in each]
+
+    def _learn(self, new: set[bytes]) -> None:
+        parts = {w: self._parts(w) for w in new}
+        unknown = list({x for p in parts.values() for x in p if x not in self.cores})
+        for x, e in zip(unknown, self.tokenizer.encode_batch_fast([x.decode() for x in unknown], add_special_tokens=False)):
+            self.cores[x] = np.array(e.ids, "<u4").tobytes()
+        for w, (core, tail) in parts.items():
+            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+
+    @staticmethod
+    def _parts(w: bytes) -> tuple[bytes, bytes]:
+        tail = b""
+        if w[-1:] in (b".", b",") and w[-2:-1].isalnum():
+            w, tail = w[:-1], w[-1:]
+        return (w.lower() if w.isascii() and b"<" not in w else w), tail
+
+
+@cache
+def _word_cache(path: str) -> WordCache:
+    """One for each Python worker, which runs many tasks."""
+    return WordCache(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,17 +83,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = None
+        words = _word_cache(tokenizer)
         for batch in slices(batches):
-            cache = cache or WordCache(tokenizer)
             of, piece, start, ids = [], [], [], []
-            for i, t in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                x = np.append(cache.ids(t or b""), np.uint32(END_ID)).astype("<u4")
-                for p, at in enumerate(range(0, len(x), capacity)):
+            for i, x in enumerate(words.ids([t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()])):
+                x += END_ID.to_bytes(4, "little")
+                for p, at in enumerate(range(0, len(x), 4 * capacity)):
                     of.append(i)
                     piece.append(p)
-                    start.append(at)
-                    ids.append(x[at : at + capacity].tobytes())
+                    start.append(at // 4)
+                    ids.append(x[at : at + 4 * capacity])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(of, pa.int64())),
