@@ -81,8 +81,8 @@ def hex_to_rgb(h: Column) -> list[Column]:
 
 
 def density(neighbors: DataFrame) -> DataFrame:
-    """(i, density): neighbours per square of the distance to the farthest."""
-    return neighbors.groupBy("i").agg((F.count(F.lit(1)) / F.pow(F.max("d"), 2)).alias("density"))
+    """(i, density): neighbours per square of the distance to the farthest; null where that is 0."""
+    return neighbors.groupBy("i").agg(F.try_divide(F.count(F.lit(1)), F.pow(F.max("d"), F.lit(2))).alias("density"))
 
 
 def covariances(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -264,6 +264,7 @@ def robust_ground_plane(df: DataFrame, residual: float, trials: int = 32, seed:
 
     The trial table has `trials` rows and is broadcast; the points are read once and counted per trial.
     """
+    df = df.select("pid", *XYZ)
     pick = df.withColumn("_h", F.xxhash64(F.lit(seed), "pid")).orderBy("_h", "pid").limit(3 * trials)
     place = F.row_number().over(Window.orderBy("_h", "pid")) - 1
     t = pick.withColumn("k", place).groupBy((F.col("k") / 3).cast("int").alias("trial")).agg(F.sort_array(F.collect_list(F.struct("k", *XYZ))).alias("p")).where(F.size("p") == 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ids import dense_ids
+from .ids import dense_ids, ranked
 
 XYZ = ("x", "y", "z")
 
@@ -164,12 +164,10 @@ def border_pairs(points: DataFrame, edges: DataFrame, group: str, ratio: float =
         along = sum((F.col(f"u{d}") * (F.col(d) - F.col(f"a{d}")) for d in "yz"), F.col("ux") * (F.col("x") - F.col("ax")))
         over = across[0] * F.col("x") + across[1] * F.col("y") + across[2] * F.col("z")
         rows = rows.select("s", "t", "pid", (sign * along).alias("along"), over.alias("over"))
-        w = Window.partitionBy("s", "t").orderBy("along", "pid")
-        rows = rows.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s", "t")))
-        sides.append(rows)
+        counts = rows.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
+        sides.append(ranked(rows, ["s", "t"], ["along", "pid"], "r").join(counts, ["s", "t"]))
     take = lambda n: F.least(n, F.greatest(F.lit(k_min), F.ceil(n * ratio)))
     sizes = sides[0].select("s", "t", F.col("n").alias("n1")).distinct().join(sides[1].select("s", "t", F.col("n").alias("n2")).distinct(), ["s", "t"])
     sizes = sizes.select("s", "t", F.least(take(F.col("n1")), take(F.col("n2"))).alias("k"))
-    w = Window.partitionBy("s", "t").orderBy("over", "pid")
-    a, b = [x.join(sizes, ["s", "t"]).where("r <= k").select("s", "t", "pid", F.row_number().over(w).alias("rank")) for x in sides]
+    a, b = [ranked(x.join(sizes, ["s", "t"]).where("r <= k").select("s", "t", "pid", "over"), ["s", "t"], ["over", "pid"]).drop("over") for x in sides]
     return a.withColumnRenamed("pid", "i").join(b.withColumnRenamed("pid", "j"), ["s", "t", "rank"]).select("s", "t", "i", "j", "rank")

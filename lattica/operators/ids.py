@@ -1,4 +1,4 @@
-"""Dense ids, made without sorting everything in one task."""
+"""Dense ids, ranks and running sums, made without sorting everything, or a whole group, in one task."""
 
 from __future__ import annotations
 
@@ -22,3 +22,38 @@ def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     ranked = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_r") - 1 + F.coalesce("_base", F.lit(0))).cast("long").alias(name))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return df.join(ranked, on).drop(*[f"_k_{k}" for k in keys])
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank", sums: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with `name`: each row's place from 1 within its keys, by `order`; and `sum_<c>`, the running sum of c to there.
+
+    Rows are range-partitioned by keys and order, so that a group of any size is spread over many tasks; a part begins where
+    the parts before it end, which is known from one row per key and part. Make the order unique. Null keys are a group.
+    """
+    rows = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    part = Window.partitionBy(*keys, "_p").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)])
+    base = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_p").alias("_part"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_n", *[f"_s{i}" for i in range(len(sums))])],
+    )
+    upto = part.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_r": F.row_number().over(part), **{f"_u{i}": F.sum(c).over(upto) for i, c in enumerate(sums)}})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_p") == F.col("_part")]
+    made = [(F.col("_r") + F.col("_b_n")).cast("long").alias(name)] + [(F.col(f"_u{i}") + F.col(f"_b_s{i}")).alias(f"sum_{c}") for i, c in enumerate(sums)]
+    return rows.join(base, on).select(*df.columns, *made)
+
+
+def lower_median(df: DataFrame, value: str) -> DataFrame:
+    """One row `median`: the lower median. Values are range-partitioned; only the part that holds the median is ranked."""
+    rows = written(df.select(value).where(F.col(value).isNotNull()).repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # one row per part
+    place = (sum(r["n"] for r in counts) - 1) // 2
+    for r in counts:
+        if place < r["n"]:
+            own = rows.where(F.col("_p") == r["_p"]).withColumn("_r", F.row_number().over(Window.orderBy(value)))
+            return own.where(F.col("_r") == place + 1).select(F.col(value).alias("median"))
+        place -= r["n"]
+    return df.select(F.col(value).alias("median")).limit(0)

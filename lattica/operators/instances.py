@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def overlaps(points: DataFrame, cluster: str, obj: str = "obj", label: str = "y") -> DataFrame:
     return points.groupBy(F.col(cluster).alias("cluster"), F.col(obj).alias("obj")).agg(F.count(F.lit(1)).alias("cnt"), F.min(label).alias("y"))
@@ -95,8 +97,9 @@ def edge_affinity(edges: DataFrame, table: DataFrame, smooth: bool = True, class
 
 def oracle_clusters(table: DataFrame, classes: int) -> DataFrame:
     """(cluster, obj, cnt, y, pred_y, score): clusters with one major object become one prediction, scored by its IoU."""
-    m = major(table, classes).select("cluster", F.col("obj").alias("super_index"), F.col("y").alias("pred_y"))
-    merged = merge_overlaps(table, m.select("cluster", "super_index"))
+    table = written(table)
+    m = written(major(table, classes).select("cluster", F.col("obj").alias("super_index"), F.col("y").alias("pred_y")))
+    merged = written(merge_overlaps(table, m.select("cluster", "super_index")))
     label = m.groupBy(F.col("super_index").alias("cluster")).agg(F.min("pred_y").alias("pred_y"))
     best = pair_iou(merged).groupBy("cluster").agg(F.max_by("iou", F.struct("cnt", -F.col("obj"))).alias("score"))
     return merged.join(label, "cluster").join(best, "cluster")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .ids import ranked
 from .instances import pair_iou, remove_void
 
 COCO_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -55,7 +57,8 @@ def panoptic_quality(table: DataFrame, classes: int, stuff: list[int] = ()) -> D
     A pair of equal labels with an IoU above one half is a true positive; it is unique for both sides. For stuff the
     modified quality sums any IoU over the number of targets.
     """
-    clean = remove_void(table, classes)
+    table = written(table)
+    clean = written(remove_void(table, classes))
     pred = table.select("cluster", "pred_y").distinct()
     pairs = pair_iou(clean).join(pred, "cluster").withColumn("match", (F.col("y") == F.col("pred_y")))
     hit = F.col("match") & (F.col("iou") > 0.5)
@@ -82,7 +85,8 @@ def average_precision(table: DataFrame, classes: int, thresholds=COCO_THRESHOLDS
     window: of the predictions that reach a target, the one with the best score counts (ties: smaller cluster). Precision
     is made monotone from the right and read at 101 recalls.
     """
-    clean = remove_void(table, classes)
+    table = written(table)
+    clean = written(remove_void(table, classes))
     pred = table.select("cluster", "pred_y", "score").distinct().join(clean.select("cluster").distinct(), "cluster", "left_semi")
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
     pairs = pair_iou(clean).join(pred, "cluster").where("y = pred_y").select("cluster", "obj", "y", "iou", "score", t)
@@ -92,20 +96,16 @@ def average_precision(table: DataFrame, classes: int, thresholds=COCO_THRESHOLDS
     rows = pred.select("cluster", F.col("pred_y").alias("class"), "score", t).join(hits, ["threshold", "cluster"], "left")
     rows = rows.withColumn("hit", F.coalesce("hit", F.lit(0)))
     n_target = clean.select("obj", "y").distinct().groupBy(F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("n_target"))
-    order = Window.partitionBy("class", "threshold").orderBy(F.desc("score"), "cluster").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(n_target), "class").withColumn("tp", F.sum("hit").over(order)).withColumn("k", F.count(F.lit(1)).over(order))
-    rows = rows.withColumn("recall", F.col("tp") / F.col("n_target")).withColumn("precision", F.col("tp") / F.col("k"))
-    # the best precision at each recall or beyond; one row per distinct recall, no more than there are targets
-    steps = rows.groupBy("class", "threshold", "n_target", "recall").agg(F.max("precision").alias("precision"))
-    back = Window.partitionBy("class", "threshold").orderBy(F.desc("recall")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("class", "threshold").orderBy("recall")
-    steps = steps.withColumn("precision", F.max("precision").over(back)).withColumn("before", F.coalesce(F.lag("recall").over(ahead), F.lit(-1.0)))
-    # recalls 0, 0.01, ..., 1 in (before, recall]
-    reads = F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("before") * 100 + 1e-9)
-    reads = F.when(F.col("before") < 0, F.floor(F.col("recall") * 100 + 1e-9) + 1).otherwise(reads)
-    out = steps.groupBy("class", "threshold", "n_target").agg((F.sum(F.col("precision") * reads) / 101).alias("ap"), F.max("recall").alias("recall"))
+    rows = ranked(rows, ["class", "threshold"], [F.desc("score"), "cluster"], "k", ("hit",)).join(F.broadcast(n_target), "class")
+    rows = rows.withColumn("recall", F.col("sum_hit") / F.col("n_target"))
+    # the best precision at each hundredth of recall or beyond: 101 rows a class at most
+    bins = rows.withColumn("bin", F.floor(F.col("recall") * 100 + 1e-9)).groupBy("class", "threshold", "bin").agg(F.max(F.col("sum_hit") / F.col("k")).alias("precision"), F.max("recall").alias("recall"))
+    back = Window.partitionBy("class", "threshold").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("class", "threshold").orderBy("bin")
+    steps = bins.withColumn("precision", F.max("precision").over(back)).withColumn("before", F.coalesce(F.lag("bin").over(ahead), F.lit(-1)))
+    out = steps.groupBy("class", "threshold").agg((F.sum(F.col("precision") * (F.col("bin") - F.col("before"))) / 101).alias("ap"), F.max("recall").alias("recall"))
     every = n_target.select("class", "n_target", t)
-    return every.join(out.drop("n_target"), ["class", "threshold"], "left").select("class", "threshold", "n_target", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    return every.join(out, ["class", "threshold"], "left").select("class", "threshold", "n_target", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def summarize_ap(ap: DataFrame) -> DataFrame:

@@ -45,18 +45,21 @@ def knn_between(query: DataFrame, search: DataFrame, k: int, r: float, dims=XYZ,
     return nearest(within_radius(query, search, r, dims, keys, qid, sid), k, keys)
 
 
-def knn_vectors(query: DataFrame, search: DataFrame, k: int, most_queries: int = 100_000) -> DataFrame:
-    """(i, rank, j, d): exact k nearest of a bounded set of query vectors (vec_id, embedding) among all others.
+def knn_vectors(query: DataFrame, search: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """(i, rank, j, d): exact k nearest of a set of query vectors (vec_id, embedding) among all others; ties to the smaller j.
 
-    The queries are broadcast, after a check of their number; the search side is read once, wherever it lies.
+    The queries are taken in blocks of about `block`, each broadcast in a pass over the search side: more queries mean more
+    passes, not more memory. A task keeps k candidates a query before anything is shuffled.
     """
-    n = query.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} query vectors: search in blocks")
-    q = F.broadcast(query.select(F.col("vec_id").alias("i"), F.col("embedding").alias("_q")))
+    blocks = max(1, -(-query.count() // block))
+    q = query.select(F.col("vec_id").alias("i"), F.col("embedding").alias("_q"))
     s = search.select(F.col("vec_id").alias("j"), F.col("embedding").alias("_s"))
-    pairs = s.join(q, F.col("i") != F.col("j")).select("i", "j", array_distance(F.col("_q"), F.col("_s")).alias("d"))
-    return nearest(pairs, k)
+    out = None
+    for b in range(blocks):
+        own = F.broadcast(q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b))
+        pairs = s.join(own, F.col("i") != F.col("j")).select("i", "j", array_distance(F.col("_q"), F.col("_s")).alias("d"))
+        out = pairs if out is None else out.union(pairs)
+    return nearest(out, k)
 
 
 def oversampled(neighbors: DataFrame, k: int) -> DataFrame:
@@ -91,13 +94,25 @@ def outliers(points: DataFrame, k_min: int, r: float, dims=XYZ, recursive: bool
     return points.join(inliers(points, k_min, r, dims, recursive).select("pid"), "pid", "left_anti")
 
 
-def nearest_pairs(points: DataFrame, edges: DataFrame, group: str, dims=XYZ) -> DataFrame:
-    """(s, t, i, j, d): for each pair of groups in `edges`, the closest points of the two; ties by ids. Exact."""
-    side = lambda g, p: points.select(F.col(group).alias(g), F.col("pid").alias(p), *[F.col(d).alias(f"_{p}{d}") for d in dims])
-    pairs = edges.select("s", "t").distinct().join(side("s", "i"), "s").join(side("t", "j"), "t")
-    d2 = distance2([F.col(f"_i{d}") for d in dims], [F.col(f"_j{d}") for d in dims])
-    best = pairs.select("s", "t", F.struct(F.sqrt(d2).alias("d"), "i", "j").alias("b")).groupBy("s", "t").agg(F.min("b").alias("b"))
-    return best.select("s", "t", "b.i", "b.j", "b.d")
+def nearest_pairs(points: DataFrame, edges: DataFrame, group: str, dims=XYZ, cycles: int = 3) -> DataFrame:
+    """(s, t, i, j, d): for each pair of groups in `edges` two points i of s and j of t that lie close to each other.
+
+    From the centre of s to the nearest point of t, from there to the nearest point of s, and so on for some cycles: the
+    cost follows the points of the groups, not their pairs. Ties go to the smaller id.
+    """
+    centre = points.groupBy(F.col(group).alias("s")).agg(*[F.avg(d).alias(f"_a{d}") for d in dims])
+    at = edges.select("s", "t").distinct().join(centre, "s")
+
+    def step(at: DataFrame, end: str) -> DataFrame:
+        own = points.select(F.col(group).alias(end), "pid", *[F.col(d).alias(f"_p{d}") for d in dims])
+        d2 = distance2([F.col(f"_a{d}") for d in dims], [F.col(f"_p{d}") for d in dims])
+        best = at.join(own, end).groupBy("s", "t").agg(F.min(F.struct(d2.alias("d2"), "pid", *[f"_p{d}" for d in dims])).alias("b"))
+        return best.select("s", "t", F.col("b.pid").alias("p"), F.sqrt("b.d2").alias("d"), *[F.col(f"b._p{d}").alias(f"_a{d}") for d in dims])
+
+    for _ in range(cycles):
+        j = written(step(at, "t"))
+        at = written(step(j.drop("p", "d"), "s"))
+    return at.select("s", "t", F.col("p").alias("i"), "d").join(j.select("s", "t", F.col("p").alias("j")), ["s", "t"]).select("s", "t", "i", "j", "d")
 
 
 def edge_wise_points(points: DataFrame, edges: DataFrame, group: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import dot, softmax
+from .ids import ranked
 
 
 def pool(children: DataFrame, values: list[str], how: str, parent: str = "super_index") -> DataFrame:
@@ -127,14 +128,15 @@ def bce_loss(df: DataFrame, logit: str, target: str, weight: str | None = None,
 def lovasz_loss(df: DataFrame, id: str, errors: str, truth: str, cls: str) -> DataFrame:
     """(class, loss) from rows (id, class, error, truth 0/1): errors in falling order times the steps of the Jaccard index.
 
-    Ranks need each class's rows in order; classes are few, so rows are ordered once per class.
+    Rows are ranked in parts, so that a class of any size is spread over many tasks.
     """
-    w = Window.partitionBy(cls).orderBy(F.desc(errors), id)
     total = df.groupBy(cls).agg(F.sum(truth).alias("_g"))
-    rows = df.join(F.broadcast(total), cls).where("_g > 0").withColumn("_c", F.sum(truth).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(w))
-    rows = rows.withColumn("_j", 1 - (F.col("_g") - F.col("_c")) / (F.col("_g") + F.col("_k") - F.col("_c")))
-    step = F.col("_j") - F.coalesce(F.lag("_j").over(w), F.lit(0.0))
-    return rows.withColumn("_s", step).groupBy(cls).agg(F.sum(F.col("_s") * F.col(errors)).alias("loss"))
+    rows = ranked(df.select(id, cls, errors, F.col(truth).alias("_t")), [cls], [F.desc(errors), id], "_k", ("_t",))
+    rows = rows.join(F.broadcast(total), cls).where("_g > 0")
+    # the Jaccard index after a row and before it, both from the row's own rank and sum
+    jaccard = lambda k, c: 1 - (F.col("_g") - c) / (F.col("_g") + k - c)
+    step = jaccard(F.col("_k"), F.col("sum__t")) - jaccard(F.col("_k") - 1, F.col("sum__t") - F.col("_t"))
+    return rows.groupBy(cls).agg(F.sum(step * F.col(errors)).alias("loss"))
 
 
 def histogram_loss(df: DataFrame, logits: str, hist: str) -> DataFrame:

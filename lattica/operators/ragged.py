@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ids import dense_ids
+from .ids import dense_ids, ranked
 
 
 def to_lists(df: DataFrame, group: str, order: str, values: list[str]) -> DataFrame:
     """(group, values): each group's rows as an array of structs in their order."""
-    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, *values))).alias("_v"))
-    return rows.select(group, F.transform("_v", lambda x: F.struct(*[x[v].alias(v) for v in values])).alias("values"))
+    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*values).alias("_v")))).alias("_l"))
+    return rows.select(group, F.transform("_l", lambda x: x["_v"]).alias("values"))
 
 
 def from_lists(df: DataFrame, group: str, values: str = "values") -> DataFrame:
@@ -43,8 +43,7 @@ def inverted(lists: DataFrame, parent: str, children: str) -> DataFrame:
 
 def pointers(df: DataFrame, group: str) -> DataFrame:
     """(group, size, start): where each group begins if they are laid end to end. `df` holds a row per group and its size."""
-    w = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    return ranked(df, [], [group], "_rank", ("size",)).withColumn("start", F.col("sum_size") - F.col("size")).drop("_rank", "sum_size")
 
 
 def dense_to_long(df: DataFrame, id: str, array: str) -> DataFrame:
@@ -107,8 +106,10 @@ def id_checks(df: DataFrame, id: str) -> DataFrame:
 
 def is_sorted(df: DataFrame, by: str, value: str, keys: list[str]) -> DataFrame:
     """(keys, is_sorted): whether a value never falls along `by` within its keys."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(by))
-    return df.withColumn("_s", step).groupBy(*keys).agg((F.coalesce(F.min("_s"), F.lit(0)) >= 0).alias("is_sorted"))
+    rows = ranked(df.select(*keys, by, value), keys, [by], "_r")
+    after = rows.select(*keys, (F.col("_r") - 1).alias("_r"), F.col(value).alias("_next"))
+    step = F.col("_next") - F.col(value)
+    return rows.join(after, [*keys, "_r"], "left").groupBy(*keys).agg((F.coalesce(F.min(step), F.lit(0)) >= 0).alias("is_sorted"))
 
 
 def reindexed_lists(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import distance2
 from ..storage import written
+from .ids import lower_median, ranked
 from .neighbors import nearest, within_radius
 
 
@@ -22,11 +23,19 @@ def sample_size(n: Column, n_max: int, n_min: int) -> Column:
 
 
 def sparse_sample(rows: DataFrame, group: str, n_max: int = 32, n_min: int = 1, id: str = "pid", seed: int = 0) -> DataFrame:
-    """A sample without replacement of each group."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), id), id)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    out = rows.withColumn("_r", F.row_number().over(w)).withColumn("_n", n)
-    return out.where(F.col("_r") <= sample_size(F.col("_n"), n_max, n_min)).drop("_r", "_n")
+    """A sample without replacement of each group.
+
+    With n_max > 0 each task first keeps no more of a group than a sample can have; else groups are ranked in parts.
+    """
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), id))
+    if n_max > 0:
+        w = Window.partitionBy(group).orderBy("_h", id)
+        out = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(n_max, n_min))
+    else:
+        out = ranked(rows, [group], ["_h", id], "_r")
+    out = out.join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    return out.where(F.col("_r") <= sample_size(F.col("_n"), n_max, n_min)).drop("_r", "_n", "_g", "_h")
 
 
 def sample_edges(edges: DataFrame, n_min: int = 16, n_max: int = 32, seed: int = 0) -> DataFrame:
@@ -73,9 +82,10 @@ def restrict_size(nodes: DataFrame, edges: DataFrame, num_nodes: int = 0, num_ed
 
 
 def xy_tile(points: DataFrame, x: int, y: int, tiling: int) -> DataFrame:
-    """The points of tile (x, y) of the bounding box cut into tiling^2; those at the very maximum are in none."""
+    """The points of tile (x, y) of the bounding box cut into tiling^2; those at the very maximum are in none,
+    nor are any if the box has no extent."""
     box = F.broadcast(points.agg(*[f(d).alias(f"_{n}{d}") for d in "xy" for n, f in (("lo", F.min), ("hi", F.max))]))
-    at = {d: F.floor((F.col(d) - F.col(f"_lo{d}")) / (F.col(f"_hi{d}") - F.col(f"_lo{d}")) * tiling) for d in "xy"}
+    at = {d: F.floor(F.try_divide(F.col(d) - F.col(f"_lo{d}"), F.col(f"_hi{d}") - F.col(f"_lo{d}")) * tiling) for d in "xy"}
     return points.crossJoin(box).where((at["x"] == x) & (at["y"] == y)).select(*points.columns)
 
 
@@ -90,7 +100,7 @@ def recursive_tile(points: DataFrame, path: int, steps: int) -> DataFrame:
         flip = F.when(F.cos(half) < 0, -1.0).otherwise(1.0)
         axis = F.broadcast(c.select((flip * F.cos(half)).alias("_u"), (flip * F.sin(half)).alias("_v")))
         rows = points.crossJoin(axis).withColumn("_along", F.col("x") * F.col("_u") + F.col("y") * F.col("_v"))
-        middle = F.broadcast(rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _along)").alias("_m")))
+        middle = F.broadcast(lower_median(rows, "_along").withColumnRenamed("median", "_m"))
         upper = (path >> (steps - 1 - step)) & 1
         rows = rows.crossJoin(middle).where(F.col("_along") > F.col("_m") if upper else F.col("_along") <= F.col("_m"))
         points = written(rows.drop("_u", "_v", "_along", "_m"))
@@ -115,7 +125,8 @@ def radius_crop(points: DataFrame, seeds: DataFrame, r: float, k_max: int | None
 def sort_along(points: DataFrame, group: str, direction: tuple[float, float, float]) -> DataFrame:
     """`points` with `place`, from 0 in each group, by the projection on a direction."""
     along = sum((F.col(d) * v for d, v in zip("yz", direction[1:])), F.col("x") * direction[0])
-    return points.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(along, "pid")) - 1)
+    out = ranked(points.withColumn("_along", along), [group], ["_along", "pid"], "place")
+    return out.withColumn("place", F.col("place") - 1).drop("_along")
 
 
 def balanced_sample(rows: DataFrame, label: str, ratio: float = 1.0, minority: int | None = None, id: str = "pid", seed: int = 0) -> DataFrame:
@@ -124,13 +135,11 @@ def balanced_sample(rows: DataFrame, label: str, ratio: float = 1.0, minority: i
     if minority is None:
         cap = counts.agg(F.min("c").alias("_cap"))
         rule = F.col("_r") <= F.col("_cap")
-        part = [label]
     else:
         cap = counts.agg(F.coalesce(F.sum(F.when(F.col(label) == minority, F.col("c"))), F.lit(0)).alias("_cap"))
         rule = (F.col(label) == minority) | (F.col("_r") <= F.col("_cap") * ratio)
-        part = [label]
-    w = Window.partitionBy(*part).orderBy(F.xxhash64(F.lit(seed), id), id)
-    return rows.withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(cap)).where(rule).drop("_r", "_cap")
+    rows = ranked(rows.withColumn("_h", F.xxhash64(F.lit(seed), id)), [label], ["_h", id], "_r")
+    return rows.crossJoin(F.broadcast(cap)).where(rule).drop("_r", "_cap", "_h")
 
 
 def ball(points: DataFrame, center: tuple[float, float, float], r: float) -> DataFrame:

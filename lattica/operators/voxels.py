@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import cell, trunc_cell
-from .ids import dense_ids
+from .ids import dense_ids, ranked
 
 XYZ = ("x", "y", "z")
 
@@ -56,8 +56,8 @@ def histogram_to_atomic(hist: DataFrame, label: str) -> DataFrame:
 
 def split_histogram(hist: DataFrame, key: str, chunk: int) -> DataFrame:
     """`hist` (key, n) with a chunk number, so that chunks hold about `chunk` items in the order of the key."""
-    total = F.sum("n").over(Window.orderBy(key))
-    return hist.withColumn("chunk", (F.ceil(total / chunk) - 1).cast("long"))
+    out = ranked(hist, [], [key], "_rank", ("n",))
+    return out.withColumn("chunk", (F.ceil(F.col("sum_n") / chunk) - 1).cast("long")).drop("_rank", "sum_n")
 
 
 def xy_partition(points: DataFrame, grid: float, dims=("x", "y"), dense: bool = True) -> DataFrame:

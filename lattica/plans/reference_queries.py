@@ -1,9 +1,14 @@
-"""Queries over the driver's tables, one for each operator of the library."""
+"""Queries over the driver's tables, one or more for each operator of the library."""
+
+from . import graph_queries, instance_queries, model_queries, point_queries
+from .fixtures import QUERIES, SQL
+
+__all__ = ["graph_queries", "instance_queries", "model_queries", "oracle_sql", "point_queries", "queries"]
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
