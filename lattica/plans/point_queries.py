@@ -226,16 +226,15 @@ def cluster_invert(spark, d):
 
 
 @query(
-    """SELECT batch, pid, obj + 40 * batch AS obj FROM (SELECT CASE WHEN pid % 2 = 0 THEN 0 ELSE 1 END AS batch, pid, obj FROM pts WHERE pid % 2 = 0 OR true)"""
+    """SELECT CAST(pid % 2 AS INTEGER) AS batch, pid, obj + CASE WHEN pid % 2 = 1 THEN (SELECT max(obj) + 1 FROM pts WHERE pid % 2 = 0) ELSE 0 END AS obj FROM pts"""
 )
 def batch_union(spark, d):
     p = points(spark, d).select("pid", "obj")
-    # each part has the object 39, so that the second is moved up by 40
     parts = [p.where(f"pid % 2 = {i}") for i in range(2)]
     return ragged.batch_union(parts, ["obj"])
 
 
-@query("SELECT pid, obj FROM pts WHERE pid % 2 = 1")
+@query("SELECT pid, obj - (SELECT min(obj) FROM pts WHERE pid % 2 = 1) AS obj FROM pts WHERE pid % 2 = 1")
 def batch_part(spark, d):
     p = points(spark, d).select("pid", "obj")
     return ragged.batch_part(ragged.batch_union([p.where(f"pid % 2 = {i}") for i in range(2)], ["obj"]), 1, ["obj"])
