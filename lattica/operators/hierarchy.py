@@ -135,3 +135,32 @@ def grid_hierarchy(points: DataFrame, sizes: list[float], dims=("x", "y")) -> Hi
         nodes = rows.groupBy(F.col("super_index").alias("id")).agg(*[F.avg(d).alias(d) for d in ("x", "y", "z")], F.count(F.lit(1)).alias("n_children"))
     level[len(sizes)] = nodes
     return Hierarchy(level)
+
+
+def expand_predictions(preds: DataFrame, *memberships: DataFrame, value: str = "pred") -> DataFrame:
+    """(id, value): predictions (id, value) of segments carried down to their members; memberships: id, super_index, top first."""
+    out = preds.select("id", value)
+    for m in memberships:
+        out = m.select("id", "super_index").join(out.select(F.col("id").alias("super_index"), value), "super_index").select("id", value)
+    return out
+
+
+def void_nodes(hist: DataFrame, keys: list[str], classes: int, label: str = "label") -> DataFrame:
+    """(keys, void): whether more than half of a node's label histogram (keys, label, n) is void."""
+    is_void = (F.col(label) < 0) | (F.col(label) >= classes)
+    return hist.groupBy(*keys).agg((F.sum(F.when(is_void, F.col("n")).otherwise(0)) * 2 > F.sum("n")).alias("void"))
+
+
+def size_histogram(sizes: DataFrame, size: str = "node_size") -> DataFrame:
+    """(size, n): how many segments have each size."""
+    return sizes.groupBy(F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def submission(raw: DataFrame, predicted: DataFrame, r: float, inverse: dict[int, int], value: str = "pred") -> DataFrame:
+    """(pid, label): each raw point takes the prediction of the nearest predicted point within r, under its original label."""
+    from ..sources.clouds import remapped
+    from .neighbors import knn_between
+
+    near = knn_between(raw, predicted, 1, r).select(F.col("i").alias("pid"), "j")
+    got = near.join(predicted.select(F.col("pid").alias("j"), value), "j").select("pid", remapped(F.col(value), inverse).alias("label"))
+    return raw.select("pid").join(got, "pid", "left")

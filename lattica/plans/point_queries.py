@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import columns, hierarchy, ids, neighbors, ragged, sampling, voxels
-from ..sources import clouds
+from ..sources import catalog, clouds
 from . import pipeline as pipelines
 from .fixtures import RADIUS, cloud, edges, neighbours, nodes, points, query, segment_edges, segment_nodes, segments, table
 
@@ -138,6 +138,45 @@ def reindex_dense(spark, d):
     return e.select(F.col("new_s").alias("s"), F.col("new_t").alias("t"))
 
 
+@query("SELECT pid AS id, h1.super_index * 10 AS pred FROM h0 JOIN h1 ON h0.super_index = h1.id", "h1")
+def full_resolution_pred(spark, d):
+    h = cloud(spark, d)
+    preds = h.nodes[2].select("id", (F.col("id") * 10).alias("pred"))
+    return hierarchy.expand_predictions(preds, h.nodes[1], h.nodes[0])
+
+
+@query("SELECT super_index, 2 * count(*) FILTER (WHERE lab >= 4) > count(*) AS void FROM seg GROUP BY 1", "seg")
+def void_mask(spark, d):
+    return hierarchy.void_nodes(voxels.histogram(segments(spark, d), ["super_index"], "lab"), ["super_index"], 4, "lab")
+
+
+@query("SELECT n AS size, count(*) AS n FROM (SELECT count(*) AS n FROM h0 GROUP BY super_index) GROUP BY 1", "h0")
+def size_histogram(spark, d):
+    return hierarchy.size_histogram(cloud(spark, d).sub_size(0, 1))
+
+
+@query(
+    """WITH b AS (SELECT i, j FROM near WHERE i % 4 <> 0 AND j % 4 = 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1)
+    SELECT p.pid, CAST(CASE q.lab WHEN 0 THEN 7 WHEN 1 THEN 8 WHEN 2 THEN 11 WHEN 3 THEN 12 END AS INTEGER) AS label FROM pts p LEFT JOIN b ON b.i = p.pid LEFT JOIN pts q ON q.pid = b.j WHERE p.pid % 4 <> 0""",
+    "near",
+)
+def submission(spark, d):
+    p = points(spark, d)
+    return hierarchy.submission(p.where("pid % 4 <> 0"), p.where("pid % 4 = 0").withColumnRenamed("lab", "pred"), RADIUS, {0: 7, 1: 8, 2: 11, 3: 12})
+
+
+@query("SELECT pid, CASE WHEN pid % 4 = 2 THEN 'test' ELSE 'train' END AS split FROM pts")
+def fold_split(spark, d):
+    return points(spark, d).select("pid", catalog.fold_split(F.pmod("pid", F.lit(4)), 2).alias("split"))
+
+
+@query("SELECT pid, lab FROM pts WHERE lab IN (0, 3)")
+def split_clouds(spark, d):
+    c = catalog.Collection("demo", 4, (0,), {"train": ("3",), "val": ("0",), "test": ("1",)})
+    rows = points(spark, d).withColumn("cloud_id", F.col("lab").cast("string"))
+    return c.clouds(rows, "trainval").select("pid", "lab")
+
+
 # --- projections
 
 
