@@ -13,7 +13,8 @@ that a WINDOW-byte string covers goes if that string also starts anywhere else;
    neighbours. A scan with a stack visits the tree of common-prefix intervals; at each interval the left extensions of its
    members are compared, and those that reach WINDOW bytes together with the prefix are occurrences of a repeat.
 4. Groups of more than GROUP contexts are split before that: strings are filed by a longer core around the anchor, in
-   steps that end with the whole string, where equal means repeated. So no task gets a large group whole.
+   steps that end with the whole string, where equal means repeated. Parts that occur twice or more are again repeats as
+   they stand, and only different ones go on. So no task gets a large group whole.
 
 Defined results: a null text is empty; texts under WINDOW bytes lose nothing; a row that repeats another is a repeat of it,
 and both go; a null doc_id is an id of its own. Strings are compared by 128 bits of hash or byte by byte.
@@ -37,7 +38,6 @@ WINDOW, GRAM = 400, 32
 BEFORE = WINDOW - GRAM
 #: Contexts of an anchor that one suffix array takes; and how many neighbouring strings are filed together beyond that.
 GROUP, WIDTHS = 256, (93, 24, 6, 1)
-BROADCAST_BYTES = 16_000_000
 SLICE = 400_000
 NULL_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -70,7 +70,7 @@ def _anchor_places(grams: np.ndarray) -> np.ndarray:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(g, c, id, p, n): each anchor's hash, its context's hash, its text and place there, and the text's length."""
+    """(key, h, id, s, at, n): each anchor's hash, its context's hash, and the context: bytes s .. s + n of a text, the anchor at `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
@@ -94,13 +94,14 @@ def anchors(rows: DataFrame) -> DataFrame:
                     pa.array(g.view(np.int64)),
                     pa.array(c.view(np.int64)),
                     batch.column("id").take(pa.array(of)),
-                    pa.array((at - offsets[of]).astype(np.int32)),
-                    pa.array((offsets[of + 1] - offsets[of]).astype(np.int32)),
+                    pa.array((start - offsets[of]).astype(np.int64)),
+                    pa.array((at - start).astype(np.int32)),
+                    pa.array((end - start).astype(np.int32)),
                 ],
-                ["g", "c", "id", "p", "n"],
+                ["key", "h", "id", "s", "at", "n"],
             )
 
-    return rows.mapInArrow(run, "g long, c long, id long, p int, n int")
+    return rows.mapInArrow(run, "key long, h long, id long, s long, at int, n int")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -179,14 +180,15 @@ def _covered(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "id long, s long, e long")
 
 
-def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, m, id, base, at, x): the bytes of wanted contexts (g, m, id, p, n), cut from the texts."""
-    per_text = wanted.groupBy("id").agg(F.collect_list(F.struct("g", "m", "p")).alias("w"))
+def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, m, id, base, at, x): the bytes of wanted stretches (key, m, id, s, at, n), cut from the texts."""
+    per_text = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "m", "s", "at", "n")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t, w in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "w")]):
-                out = [(x["g"], x["m"], i, max(0, x["p"] - BEFORE), min(BEFORE, x["p"]), t[max(0, x["p"] - BEFORE) : x["p"] + WINDOW]) for x in w]
+            for i, t, w in zip(*[batch.column(c) for c in ("id", "text", "w")]):
+                i, t = i.as_py(), t.as_py()
+                out = [(x["key"], x["m"], i, x["s"], x["at"], t[x["s"] : x["s"] + x["n"]]) for x in w.as_py()]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["key", "m", "id", "base", "at", "x"])
 
@@ -194,62 +196,67 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, m long, id long, base long, at int, x binary")
 
 
-def _refined(contexts: DataFrame, width: int, core: int) -> DataFrame:
-    """The same strings in parts of `width` neighbours each, filed under the core that those have in common.
+def _parts(contexts: DataFrame, width: int, core: int) -> DataFrame:
+    """(key, h, id, s, at, n): the strings of contexts in parts of `width` neighbours, filed under the core that these share.
 
-    contexts: (key, id, base, at, x), whose cores are `core` bytes from `at` on.
+    contexts: (key, id, base, at, x), whose cores are `core` bytes from `at` on. A part is the bytes s .. s + n of its text,
+    its own core begins `at` bytes into it, and h is its hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, i, base, at, x in zip(*[batch.column(c).to_pylist() for c in ("key", "id", "base", "at", "x")]):
-                # strings start from `lo` to `at`, counted back from the core, so that equal strings fall into equal parts
+                salt = key.to_bytes(8, "big", signed=True)
+                # strings start at `at` or before, counted back from the core, so that equal strings fall into equal parts
                 for back in range(0, WINDOW - core + 1, width):
-                    last, first = at - back, max(0, at - back - width + 1)
-                    end = first + WINDOW
-                    if last < 0 or end > len(x):
+                    a = at - back
+                    b = a - width + 1 + WINDOW
+                    if a < 0 or b > len(x):  # no string of this part lies inside the text
                         continue
-                    last = min(last, len(x) - WINDOW)
-                    # the core is what all strings of a full part share, were none cut off by an end of the text
-                    a, b = at - back, at - back - width + 1 + WINDOW
-                    if b > len(x) or a < 0:
-                        continue
-                    h = hashlib.blake2b(x[a:b], digest_size=8, key=key.to_bytes(8, "big", signed=True) + back.to_bytes(2, "big")).digest()
-                    out.append((int.from_bytes(h, "big", signed=True), i, base + first, a - first, x[first : last + WINDOW]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["key", "id", "base", "at", "x"])
+                    first, last = max(0, a - width + 1), min(a, len(x) - WINDOW)
+                    h = hashlib.blake2b(x[a:b], digest_size=8, key=salt + back.to_bytes(2, "big")).digest()
+                    own = hashlib.blake2b(x[first : last + WINDOW], digest_size=8, salt=(a - first).to_bytes(2, "big")).digest()
+                    out.append((int.from_bytes(h, "big", signed=True), int.from_bytes(own, "big", signed=True), i, base + first, a - first, last + WINDOW - first))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["key", "h", "id", "s", "at", "n"])
+
+    return contexts.select("key", "id", "base", "at", "x").mapInArrow(run, "key long, h long, id long, s long, at int, n int")
+
 
-    return contexts.select("key", "id", "base", "at", "x").mapInArrow(run, "key long, id long, base long, at int, x binary")
+def _told_apart(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What of stretches (key, h, id, s, at, n) is repeated as it stands, and the bytes of those that need a closer look.
+
+    The first is spans (id, s, e). The second has, for each key with stretches unlike each other of which one at least isn't
+    covered as it stands, each different stretch once, and their number m.
+    """
+    kinds = written(found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("t"), F.min(F.struct("id", "s", "at", "n")).alias("rep")))
+    again = found.join(kinds.where("t > 1").select("key", "h"), ["key", "h"])
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("least")).where("m > 1 and least = 1").select("key", "m")
+    cut = written(_cut(rows, kinds.join(mixed, "key").select("key", "m", "rep.*")))
+    return again.select("id", "s", (F.col("s") + F.col("n")).alias("e")), cut
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, starts, ends): for each text with any, the maximal stretches of bytes that repeats cover."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("text"))
     found = written(anchors(rows))
-    twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("g")
-    found = written(found.join(twice, "g"))
-    kinds = written(found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("t"), F.min(F.struct("id", "p", "n")).alias("rep")))
-    again = found.join(kinds.where("t > 1").select("g", "c"), ["g", "c"])
-    spans = again.select("id", F.greatest(F.lit(0), F.col("p") - BEFORE).cast("long").alias("s"), F.least("n", F.col("p") + WINDOW).cast("long").alias("e"))
-    # contexts that differ, where one of them at least isn't covered as it stands
-    mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("least")).where("m > 1 and least = 1").select("g", "m")
-    wanted = kinds.join(mixed, "g").select("g", "m", "rep.*")
-    cut = written(_contexts(rows, wanted))
-    spans = spans.union(_covered(cut.where(F.col("m") <= GROUP)))
-    large, core = cut.where(F.col("m") > GROUP), GRAM
+    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key")
+    spans, cut = _told_apart(rows, written(found.join(twice, "key")))
+    spans, core = spans.union(_covered(cut.where(F.col("m") <= GROUP))), GRAM
     for width in WIDTHS:
+        large = cut.where(F.col("m") > GROUP)
         if large.isEmpty():
             break
-        parts = written(_refined(large, width, core))
+        found = written(_parts(large, width, core))
         core = WINDOW - width + 1
-        sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        parts = parts.join(sizes, "key")
         if width == 1:
-            spans = spans.union(parts.select("id", "base", (F.col("base") + WINDOW)))
+            # a whole string is its own core: equal keys are equal strings
+            twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key")
+            spans = spans.union(found.join(twice, "key").select("id", "s", (F.col("s") + F.col("n")).alias("e")))
             break
-        spans = spans.union(_covered(parts.where(F.col("m") <= GROUP)))
-        large = parts.where(F.col("m") > GROUP)
+        again, cut = _told_apart(rows, found)
+        spans = spans.union(again).union(_covered(cut.where(F.col("m") <= GROUP)))
     return _merged(spans)
 
 
@@ -279,9 +286,8 @@ def _merged(spans: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, joined) of every row."""
     spans = written(repeated_spans(docs, doc_id, text))
-    size = spans.agg(F.sum(F.lit(40) + F.size("starts") * 16)).first()[0] or 0
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id"), "left").drop("id")
+    rows = rows.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id"), "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
