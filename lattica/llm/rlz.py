@@ -37,8 +37,6 @@ WINDOW, GRAM = 20, 8
 BLOCK_BYTES = 24_000_000
 #: One document in so many is looked at for frequent anchors; an anchor counts as such from this many windows there.
 SAMPLE, FREQUENT = 64, 400
-#: Spans of all documents together that are broadcast; more are joined by shuffle.
-BROADCAST_BYTES = 16_000_000
 NULL_ID = -(1 << 63)
 _RUN = np.dtype([("start", "<i4"), ("count", "<i4"), ("doc", "<i8"), ("at", "<i4")])
 
@@ -214,11 +212,9 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, starts, words): every row with its duplicate spans, null where it has none."""
-    spans = factors(docs, doc_id, text).select("id", F.col("factors.start").alias("starts"), F.col("factors.words").alias("words"))
-    spans = written(spans)
-    n = spans.agg(F.sum(F.lit(40) + F.size("starts") * 16)).first()[0] or 0
+    spans = written(factors(docs, doc_id, text).select("id", F.col("factors.start").alias("starts"), F.col("factors.words").alias("words")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(spans) if n <= BROADCAST_BYTES else spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id"), "left").drop("id")
+    return rows.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id"), "left").drop("id")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
