@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -70,24 +72,18 @@ def tokens(text):
 
 
 def contaminated(text, items, window=20, percent=80, least=10):
-    """ids of the items that overlap a text on some diagonal."""
-    a, out = tokens(text), set()
+    """ids of the items that overlap a text on some diagonal: matches along all diagonals, summed over each window."""
+    a, out = np.array([hash(t) for t in tokens(text)], np.int64), set()
     for item, t in items:
-        b = tokens(t)
-        size = min(window, len(b))
-        if len(b) < least:
+        b = [hash(x) for x in tokens(t)]
+        size, n, m = min(window, len(b)), len(a), len(b)
+        if m < least or n < size:
             continue
-        for shift in range(-(len(b) - size), len(a) - size + 1):
-            lo, hi = max(0, shift), min(len(a), shift + len(b))
-            same = [a[i] == b[i - shift] for i in range(lo, hi)]
-            n = sum(same[:size])
-            best = n if len(same) >= size else 0
-            for i in range(size, len(same)):
-                n += same[i] - same[i - size]
-                best = max(best, n)
-            if 100 * best >= percent * size:
-                out.add(item)
-                break
+        upto = np.zeros((m + 1, n + 1), np.int32)
+        for j in range(m):
+            upto[j + 1, 1:] = upto[j, :-1] + (a == b[j])
+        if (100 * (upto[size:, size:] - upto[: m + 1 - size, : n + 1 - size]) >= percent * size).any():
+            out.add(item)
     return out
 
 
