@@ -11,7 +11,7 @@
    is also counted how many of a class's shingles no other class of a crowded bucket has: these can't be in an
    intersection, which rules out most comparisons exactly, and the class with the smallest such part is the first pivot.
    Where a crowded bucket still has two components or more, the classes outside the largest one (the query set) are
-   compared with all of their group in blocks, by one matrix product a block, and no pair is made but the links found.
+   compared with all of their group in blocks, by matrix products over bounded runs of shingles, and no pair is made but the links found.
 4. A pair's signatures are compared first; then the link is confirmed on the full shingle sets, made again from the
    texts. A pivot's partners are dealt to groups of bounded size, so that no task gets a large group whole.
 
@@ -39,8 +39,8 @@ COMPONENTS, CHUNK = 66, 6
 MAX_DIFFERENT = 30
 #: Classes in a small bucket; pivots in a crowded one in the second round; classes in a block, on either side.
 SMALL, PIVOTS, BLOCK = 8, 3, (64, 256)
-#: Partners of a pivot that one group checks.
-PARTNERS = 64
+#: Partners of a pivot that one group checks; shingles that a block's product takes at once.
+PARTNERS, COLUMNS = 64, 8192
 
 _A = mix(np.arange(1, COMPONENTS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, COMPONENTS + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -266,9 +266,13 @@ def _by_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
         shared = times[col] > 1
         used, col = np.unique(col[shared], return_inverse=True)
-        matrix = np.zeros((len(sets), len(used)), np.float32)
-        matrix[of[shared], col] = 1
-        both = (matrix[asks] @ matrix[~asks].T).astype(np.int64)
+        of, order = of[shared], np.argsort(col, kind="stable")
+        both = np.zeros((asks.sum(), (~asks).sum()), np.int64)
+        for a in range(0, len(used), COLUMNS):
+            own = order[np.searchsorted(col, a, sorter=order) : np.searchsorted(col, a + COLUMNS, sorter=order)]
+            matrix = np.zeros((len(sets), COLUMNS), np.float32)
+            matrix[of[own], col[own] - a] = 1
+            both += (matrix[asks] @ matrix[~asks].T).astype(np.int64)
         union = size[asks][:, None] + size[~asks][None, :] - both
         i, j = np.nonzero((100 * both >= percent * union) & (comp[asks][:, None] != comp[~asks][None, :]))
         # one link to each component is as good as all
