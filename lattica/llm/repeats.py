@@ -37,7 +37,7 @@ from .hashing import _byte_values, _powers, bytes_of, mix, slices
 WINDOW, GRAM = 400, 32
 BEFORE = WINDOW - GRAM
 #: Contexts of an anchor that one suffix array takes; and how many neighbouring strings are filed together beyond that.
-GROUP, WIDTHS = 256, (93, 24, 6, 1)
+GROUP, WIDTHS = 256, (93, 12, 1)
 SLICE = 400_000
 NULL_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -153,11 +153,13 @@ def _covered(contexts: DataFrame) -> DataFrame:
     """(id, s, e): stretches of rows (key, id, base, at, x) that repeats cover; rows of a key share a core."""
 
     def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        best: dict[tuple[int, int, int], None] = {}
+        own = defaultdict(set)
         for length, places in maximal_repeats([(x, at) for _, _, at, x in rows]):
             for m, start in places:
-                best[rows[m][0], rows[m][1] + start, rows[m][1] + start + length] = None
-        yield from best
+                own[rows[m][0]].add((rows[m][1] + start, rows[m][1] + start + length))
+        for i, spans in own.items():
+            for s, e in _united(spans):
+                yield i, s, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
@@ -260,6 +262,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return _merged(spans)
 
 
+def _united(spans) -> list[list[int]]:
+    """The unions of stretches (start, end) that touch, in order."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
 def _merged(spans: DataFrame) -> DataFrame:
     """(id, starts, ends) of the unions of stretches (id, s, e)."""
     per_text = spans.distinct().groupBy("id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
@@ -268,16 +281,9 @@ def _merged(spans: DataFrame) -> DataFrame:
         for batch in batches:
             starts, ends = [], []
             for s, e in zip(batch.column("s").to_pylist(), batch.column("e").to_pylist()):
-                a: list[int] = []
-                b: list[int] = []
-                for x, y in sorted(zip(s, e)):
-                    if b and x <= b[-1]:
-                        b[-1] = max(b[-1], y)
-                    else:
-                        a.append(x)
-                        b.append(y)
-                starts.append(a)
-                ends.append(b)
+                own = _united(zip(s, e))
+                starts.append([x for x, _ in own])
+                ends.append([y for _, y in own])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["id", "starts", "ends"])
 
     return per_text.mapInArrow(run, "id long, starts array<bigint>, ends array<bigint>")
