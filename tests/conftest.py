@@ -20,7 +20,6 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than these tables
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoint')}")
