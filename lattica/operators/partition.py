@@ -49,30 +49,25 @@ def edge_weights(lengths: DataFrame, mode: str = "unit", d_0: float | None = Non
     return lengths.withColumn("w", f[mode]).drop("_d0")
 
 
-def greedy_merge(nodes: DataFrame, edges: DataFrame, reg: float, min_size: int = 1, rounds: int = 50) -> DataFrame:
+def greedy_merge(nodes: DataFrame, edges: DataFrame, reg: float, min_size: int = 1, rounds: int = -1) -> DataFrame:
     """(id, label): nodes (id, n, x array) merged while that lowers the energy, then while they are too small.
 
     Energy: the sum of n |x - mean|^2 within segments, plus reg times the weight of the edges between them. Merging a and b
-    costs n_a n_b / (n_a + n_b) |x_a - x_b|^2 and saves reg w_ab. In each round the pairs merge that are each other's best
-    gain; the mutual best of all gains always is one, so every round merges something or the loop ends. Segments under
-    min_size have an unlimited gain with the neighbour that costs least.
+    costs n_a n_b / (n_a + n_b) |x_a - x_b|^2 and saves reg w_ab. Segments under min_size merge before all others, with the
+    neighbour of most gain. In each round the pairs merge that are each other's best gain, ties following a hash of the
+    pair; the best of all gains always is such a pair, so rounds go on until no merge is left (or `rounds`, if that is not
+    negative). A segment also takes along, in the same round, those that have it as their best: if they are under min_size
+    and it is not, or if their merge lowers the energy in whatever order they come. The label is the least id.
     """
     labels = nodes.select("id", F.col("id").alias("label"))
-    seg = nodes.select("id", F.col("n").cast("double").alias("n"), F.col("x").cast("array<double>").alias("x"))
-    e = edges.where("s <> t").groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("w").alias("w"))
-    for _ in range(rounds):
-        ends = e.join(seg.withColumnsRenamed({"id": "s", "n": "na", "x": "xa"}), "s").join(seg.withColumnsRenamed({"id": "t", "n": "nb", "x": "xb"}), "t")
-        sq = F.aggregate(F.zip_with("xa", "xb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        gain = reg * F.col("w") - F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * sq
-        small = F.least("na", "nb") < min_size
-        scored = ends.select("s", "t", F.when(small, gain + 1e12).otherwise(gain).alias("gain")).where("gain > 0")
-        both = scored.select("s", "t", "gain").union(scored.select("t", "s", "gain"))
-        pick = both.groupBy("s").agg(F.max_by("t", F.struct("gain", F.least("s", "t"), F.greatest("s", "t"))).alias("t"))
-        back = pick.select(F.col("s").alias("t"), F.col("t").alias("_back"))
-        merges = written(pick.join(back, "t").where("_back = s and s < t").select("s", "t"))
-        if merges.isEmpty():
+    seg = written(nodes.select("id", F.col("n").cast("double").alias("n"), F.col("x").cast("array<double>").alias("x")))
+    e = written(edges.where("s <> t").groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("w").alias("w")))
+    k = 0
+    while rounds < 0 or k < rounds:
+        k += 1
+        to = written(_merges(seg, e, reg, min_size))
+        if to.isEmpty():
             break
-        to = merges.select(F.col("t").alias("id"), F.col("s").alias("_to"))
         move = lambda df, c: df.join(to.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
         moved = move(seg, "id").withColumn("wx", F.transform("x", lambda v: v * F.col("n")))
         total = moved.select("id", "n", F.posexplode("wx").alias("k", "v")).groupBy("id", "k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
@@ -82,6 +77,28 @@ def greedy_merge(nodes: DataFrame, edges: DataFrame, reg: float, min_size: int =
     return labels
 
 
+def _merges(seg: DataFrame, e: DataFrame, reg: float, min_size: int) -> DataFrame:
+    """(id, _to): the segments that one round of `greedy_merge` moves."""
+    ends = e.join(seg.withColumnsRenamed({"id": "s", "n": "na", "x": "xa"}), "s").join(seg.withColumnsRenamed({"id": "t", "n": "nb", "x": "xb"}), "t")
+    ends = ends.withColumn("sq", F.aggregate(F.zip_with("xa", "xb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    ends = ends.withColumn("gain", reg * F.col("w") - F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * F.col("sq"))
+    small = F.least("na", "nb") < min_size
+    scored = ends.select("s", "t", "na", "nb", "w", F.sqrt("sq").alias("d"), F.struct(small.alias("small"), "gain", F.xxhash64("s", "t").alias("h"), "s", "t").alias("rank"))
+    scored = scored.where("rank.small or rank.gain > 0")
+    both = scored.union(scored.select("t", "s", "nb", "na", "w", "d", "rank"))
+    pick = both.groupBy("s").agg(F.max_by(F.struct("t", "na", "nb", "w", "d"), "rank").alias("p")).select("s", "p.*")
+    back = pick.select(F.col("s").alias("t"), F.col("t").alias("_back"))
+    # of a pair that is each other's best, the smaller segment (of equals the larger id) goes to the other
+    pick = pick.join(back, "t").withColumn("_pair", F.expr("_back = s and (na < nb or (na = nb and s > t))"))
+    # merges with what has picked t move its mean by less than _far
+    own = pick.groupBy("t").agg(F.max("_pair").alias("_centre"), F.sum(F.when(F.expr("na <= nb"), F.col("na") * F.col("d") / F.col("nb")).otherwise(0.0)).alias("_far"))
+    certain = F.col("_centre") & F.expr("na <= nb and _back <> s") & (reg * F.col("w") > F.col("na") * (F.col("d") + F.col("_far")) * (F.col("d") + F.col("_far")))
+    leaf = (F.col("na") < min_size) & (F.col("nb") >= min_size)
+    members = pick.join(own, "t").where(F.col("_pair") | leaf | certain).select("s", "t")
+    least = members.groupBy("t").agg(F.least("t", F.min("s")).alias("_to"))
+    return members.join(least, "t").select(F.col("s").alias("id"), "_to").union(least.select(F.col("t").alias("id"), "_to")).where("id <> _to")
+
+
 def partition_energy(nodes: DataFrame, edges: DataFrame, labels: DataFrame, reg: float) -> DataFrame:
     """One row: fidelity, contour, energy of a labelling of nodes (id, n, x array)."""
     rows = nodes.join(labels, "id").select("label", "n", F.posexplode("x").alias("k", "v"))

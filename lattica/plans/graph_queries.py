@@ -260,7 +260,7 @@ def _energy_nodes(spark, d):
 @query()
 def greedy_merge(spark, d):
     e = trim(spark, d).withColumn("w", F.lit(1.0))
-    return partition.greedy_merge(_energy_nodes(spark, d), e, 0.05, 2, rounds=8)
+    return partition.greedy_merge(_energy_nodes(spark, d), e, 0.05, 2)
 
 
 @query()

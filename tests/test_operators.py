@@ -96,6 +96,38 @@ def test_small_segments_are_merged(spark):
     assert min(r["count"] for r in sizes) >= 5
 
 
+def test_merges_go_on_until_none_is_left(spark):
+    # a flat chain with rising ids, a hub of equal points, and a hub whose neighbours are only too small
+    chain = [(i, 1, [0.0]) for i in range(150)]
+    equal = [(1000 + i, 1, [50.0]) for i in range(120)]
+    small = [(2000, 10, [900.0])] + [(2000 + i, 1, [900.0 + i]) for i in range(1, 120)]
+    edges = [(i, i + 1, 1.0) for i in range(149)] + [(1000, 1000 + i, 1.0) for i in range(1, 120)] + [(2000, 2000 + i, 1.0) for i in range(1, 120)]
+    nodes = spark.createDataFrame(chain + equal + small, "id long, n int, x array<double>")
+    labels = partition.greedy_merge(nodes, spark.createDataFrame(edges, "s long, t long, w double"), 0.1, min_size=2)
+    assert {r.id: r.label for r in labels.collect()} == {r[0]: r[0] // 1000 * 1000 for r in chain + equal + small}
+
+
+def test_no_merge_lowers_the_energy_after_the_last(spark):
+    rng = random.Random(12)
+    rows = [(i, 1 + i % 3, [rng.choice([0.0, 1.0, 1.2]), rng.gauss(0, 0.3)]) for i in range(90)]
+    links = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(200)) if a != b}
+    nodes, edges = spark.createDataFrame(rows, "id long, n int, x array<double>"), spark.createDataFrame([(*p, 1.0) for p in sorted(links)], "s long, t long, w double")
+    label = {r.id: r.label for r in partition.greedy_merge(nodes, edges, 0.2, min_size=4).collect()}
+    groups = {}
+    for i, n, x in rows:
+        groups.setdefault(label[i], []).append((n, np.array(x)))
+    size = {g: sum(n for n, _ in own) for g, own in groups.items()}
+    mean = {g: sum(n * x for n, x in own) / size[g] for g, own in groups.items()}
+    cut = {}
+    for s, t in links:
+        if label[s] != label[t]:
+            pair = tuple(sorted((label[s], label[t])))
+            cut[pair] = cut.get(pair, 0) + 1
+    for (a, b), w in cut.items():
+        assert min(size[a], size[b]) >= 4
+        assert 0.2 * w - size[a] * size[b] / (size[a] + size[b]) * ((mean[a] - mean[b]) ** 2).sum() <= 1e-9
+
+
 def test_eigen_features_of_a_line_and_a_plane(spark):
     rng = random.Random(6)
     rows = [(0, rng.random() * 10, 0.0, 0.0) for _ in range(50)] + [(1, rng.random() * 10, rng.random() * 10, 0.0) for _ in range(200)] + [(2, 0.0, 0.0, 0.0)]
