@@ -76,22 +76,29 @@ def dense_neighbors(neighbors: DataFrame) -> DataFrame:
     return rows.select("i", F.transform("_a", lambda x: x["j"]).alias("js"), F.transform("_a", lambda x: x["d"]).alias("ds"))
 
 
-def inliers(points: DataFrame, k_min: int, r: float, dims=XYZ, recursive: bool = False, rounds: int = 100) -> DataFrame:
-    """The points with at least k_min others within r; if recursive, among the points that remain, until none leaves."""
-    for _ in range(rounds if recursive else 1):
+def inliers(points: DataFrame, k_min: int, r: float, dims=XYZ, recursive: bool = False, rounds: int | None = None) -> DataFrame:
+    """The points with at least k_min others within r; if recursive, among the points that remain, until none leaves.
+
+    An open line of points loses its ends in each round, so that the rounds follow its length; `rounds` bounds them where
+    that is asked for.
+    """
+    k, before = 0, None
+    while rounds is None or k < rounds:
         n = within_radius(points, points, r, dims).where("i <> j").groupBy("i").agg(F.count(F.lit(1)).alias("_n"))
         kept = points.join(n.where(F.col("_n") >= k_min).select(F.col("i").alias("pid")), "pid", "left_semi")
         if not recursive:
             return kept
-        kept = written(kept)
-        if kept.count() == points.count():
-            return kept
-        points = kept
+        before = points.count() if before is None else before
+        points = written(kept)
+        now = points.count()
+        if now == before:
+            break
+        k, before = k + 1, now
     return points
 
 
-def outliers(points: DataFrame, k_min: int, r: float, dims=XYZ, recursive: bool = False) -> DataFrame:
-    return points.join(inliers(points, k_min, r, dims, recursive).select("pid"), "pid", "left_anti")
+def outliers(points: DataFrame, k_min: int, r: float, dims=XYZ, recursive: bool = False, rounds: int | None = None) -> DataFrame:
+    return points.join(inliers(points, k_min, r, dims, recursive, rounds).select("pid"), "pid", "left_anti")
 
 
 def nearest_pairs(points: DataFrame, edges: DataFrame, group: str, dims=XYZ, cycles: int = 3) -> DataFrame:

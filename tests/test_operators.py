@@ -29,6 +29,12 @@ def test_recursive_inliers(spark):
     assert {r.pid for r in neighbors.inliers(df, 3, 2.0, recursive=True).collect()} == left
 
 
+def test_recursive_inliers_of_an_open_line(spark):
+    rows = [(i, float(i), 0.0, 0.0) for i in range(300)] + [(1000 + i, 0.1 * i, 500.0, 0.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double").coalesce(1)
+    assert {r.pid for r in neighbors.inliers(df, 2, 1.5, recursive=True).collect()} == {1000, 1001, 1002}
+
+
 def test_knn_is_exact(spark):
     rows, df = cloud(spark, 80, 1)
     got = {(r.i, r.rank): r.j for r in neighbors.knn(df, 3, 50.0).collect()}
