@@ -321,6 +321,16 @@ def sorted_groups(spark, d):
     return ragged.is_sorted(points(spark, d).where("pid % 50 = 0"), "pid", "y", ["obj"])
 
 
+@query(
+    """SELECT obj, coalesce(bool_and(step >= 0), true) AS y_sorted, coalesce(bool_and(rise >= 0), true) AS rising_sorted FROM (
+    SELECT obj, y - lag(y) OVER w AS step, pid // 7 - lag(pid // 7) OVER w AS rise FROM pts WINDOW w AS (PARTITION BY obj ORDER BY pid)) GROUP BY 1"""
+)
+def sorted_groups_all(spark, d):
+    p = points(spark, d).withColumn("rising", F.floor(F.col("pid") / 7))
+    y, rising = (ragged.is_sorted(p, "pid", c, ["obj"]).withColumnRenamed("is_sorted", f"{c}_sorted") for c in ("y", "rising"))
+    return y.join(rising, "obj")
+
+
 # --- colours and geometry
 
 
@@ -563,6 +573,30 @@ def cylinder_crop(spark, d):
     return sampling.radius_crop(p, p.where("pid % 500 = 0"), 15.0, cylinder=True)
 
 
+@query(
+    """WITH und AS (SELECT s, t FROM adj UNION SELECT t, s FROM adj), h0 AS (SELECT pid AS id FROM pts WHERE pid % 20 = 0),
+    h1 AS (SELECT id FROM h0 UNION SELECT t FROM und WHERE s IN (SELECT id FROM h0)), h2 AS (SELECT id FROM h1 UNION SELECT t FROM und WHERE s IN (SELECT id FROM h1)) SELECT id FROM h2""",
+    "adj",
+)
+def k_hop_every_20th(spark, d):
+    return sampling.k_hop(nodes(spark, d).where("id % 20 = 0"), edges(spark, d), 2)
+
+
+@query(
+    """SELECT i, j, round(d, 6) AS d FROM (SELECT a.pid AS i, b.pid AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM pts a, pts b WHERE a.pid % 20 = 0)
+    WHERE d <= 20 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 6"""
+)
+def radius_crop_every_20th(spark, d):
+    p = points(spark, d)
+    return sampling.radius_crop(p, p.where("pid % 20 = 0"), 20.0, 6)
+
+
+@query("SELECT a.pid AS i, b.pid AS j, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 6) AS d FROM pts a, pts b WHERE a.pid % 20 = 0 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 225")
+def cylinder_crop_every_20th(spark, d):
+    p = points(spark, d)
+    return sampling.radius_crop(p, p.where("pid % 20 = 0"), 15.0, cylinder=True)
+
+
 @query("SELECT least(count(*), 300) AS nodes FROM pts")
 def restrict_size_count(spark, d):
     return sampling.restrict_size(nodes(spark, d), edges(spark, d), 300)[0].agg(F.count(F.lit(1)).alias("nodes"))
