@@ -5,8 +5,6 @@ Loops write each round's table to the shared folder; what the driver sees of a r
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,73 +107,75 @@ def partition_energy(nodes: DataFrame, edges: DataFrame, labels: DataFrame, reg:
     return fidelity.crossJoin(F.broadcast(contour)).withColumn("energy", F.col("fidelity") + reg * F.col("contour"))
 
 
-def _split_once(x: np.ndarray, n: np.ndarray, s: np.ndarray, t: np.ndarray, w: np.ndarray, reg: float) -> np.ndarray | None:
-    """The best of a few binary splits of one segment, refined node by node; None if none lowers the energy."""
-    mean = (n[:, None] * x).sum(0) / n.sum()
-    base = (n[:, None] * (x - mean) ** 2).sum()
-    best, least = None, base - 1e-9
-    for k in range(x.shape[1]):
-        side = x[:, k] > mean[k]
-        for _ in range(8):
-            if side.all() or not side.any():
-                break
-            m = [(n[c, None] * x[c]).sum(0) / n[c].sum() for c in (~side, side)]
-            cost = np.stack([n * ((x - c) ** 2).sum(1) for c in m], 1)
-            pull = np.zeros((len(x), 2))
-            np.add.at(pull, (s, side[t].astype(int)), w)
-            np.add.at(pull, (t, side[s].astype(int)), w)
-            new = cost[:, 1] - reg * pull[:, 1] < cost[:, 0] - reg * pull[:, 0]
-            if (new == side).all():
-                break
-            side = new
-        if side.all() or not side.any():
-            continue
-        value = reg * w[side[s] != side[t]].sum()
-        for c in (side, ~side):
-            own = (n[c, None] * x[c]).sum(0) / n[c].sum()
-            value += (n[c, None] * (x[c] - own) ** 2).sum()
-        if value < least:
-            best, least = side, value
-    return best
-
-
-def cut_pursuit(nodes: DataFrame, edges: DataFrame, reg: float, tile: str = "tile", depth: int = 12) -> DataFrame:
-    """(tile, id, label): each tile's piecewise-constant approximation by repeated binary splits; label is a node's id.
-
-    The energy is that of `partition_energy`. Tiles bound what one task holds; edges between tiles don't count here, and
-    `greedy_merge` over the result joins segments across them.
+def _best_splits(nodes: DataFrame, both: DataFrame, reg: float, dims: int) -> DataFrame:
+    """(c, id, side): of each segment c of `nodes` (c, id, n, x) the binary split that lowers the energy most, if one does.
+
+    `both` has the edges (s, t, w) inside segments in both directions. A split begins at the mean of each of the dimensions;
+    then all nodes go to the side that costs them less, for as long as that lowers the energy, so that it ends by itself.
+    Splitting lowers the fidelity by n_0 n_1 / (n_0 + n_1) |mean_0 - mean_1|^2, and adds reg times the weight that it cuts.
     """
+    own = [(F.col("n") * F.col("x")[j]) for j in range(dims)]
+    mean = nodes.groupBy("c").agg(F.array(*[F.sum(v) / F.sum("n") for v in own]).alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    tried = nodes.join(mean, "c").select("c", "id", "n", "x", F.posexplode(F.zip_with("x", "_m", lambda v, m: v > m)).alias("k", "new"))
+    live, done = written(tried.withColumns({"side": F.lit(False), "g": F.lit(float("-inf"))})), None
+    while True:
+        at = live.select(F.col("id").alias("t"), "k", "new")
+        pull = both.join(at, "t").groupBy(F.col("s").alias("id"), "k").agg(*[F.sum(F.when(c, F.col("w")).otherwise(0.0)).alias(p) for p, c in (("p0", ~F.col("new")), ("p1", F.col("new")))])
+        now = written(live.join(pull, ["id", "k"], "left").fillna(0.0, ["p0", "p1"]))
+        sides = [("0", ~F.col("new")), ("1", F.col("new"))]
+        sums = [F.sum(F.when(c, F.col("n")).otherwise(0.0)).alias(f"n{i}") for i, c in sides] + [F.array(*[F.sum(F.when(c, v).otherwise(0.0)) for v in own]).alias(f"s{i}") for i, c in sides]
+        cut = F.sum(F.when(F.col("new"), F.col("p0")).otherwise(F.col("p1"))) / 2
+        value = now.groupBy("c", "k").agg(*sums, cut.alias("cut")).where("n0 > 0 and n1 > 0")
+        value = value.select("c", "k", "n0", "n1", "cut", F.transform("s0", lambda v: v / F.col("n0")).alias("m0"), F.transform("s1", lambda v: v / F.col("n1")).alias("m1"))
+        far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+        value = value.withColumn("gain", F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")) * far("m0", "m1") - reg * F.col("cut"))
+        cost = [F.col("n") * far("x", f"m{i}") - reg * F.col(f"p{i}") for i in "01"]
+        # the least step keeps rounding from going on for ever
+        up = F.coalesce(F.col("gain") > F.col("g") + 1e-12 * F.greatest(F.lit(1.0), F.abs("gain")), F.lit(False))
+        out = written(now.join(value, ["c", "k"], "left").select("c", "id", "n", "x", "k", "side", "g", "new", "gain", up.alias("up"), (cost[1] < cost[0]).alias("next")))
+        ended = out.where("not up and g > 1e-9").select("c", "id", "k", "side", "g")
+        done = ended if done is None else done.union(ended)
+        live = out.where("up").select("c", "id", "n", "x", "k", F.col("next").alias("new"), F.col("new").alias("side"), F.col("gain").alias("g"))
+        if live.isEmpty():
+            break
+    done = written(done)
+    best = done.groupBy("c").agg(F.max_by("k", F.struct("g", -F.col("k"))).alias("k"))
+    return done.join(best, ["c", "k"]).select("c", "id", "side")
 
-    def solve(key: tuple, n: pa.Table, e: pa.Table) -> pa.Table:
-        ids = n.column("id").to_numpy()
-        x, size = np.array(n.column("x").to_pylist(), float).reshape(len(ids), -1), n.column("n").to_numpy().astype(float)
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        s, t = (np.array([place[v] for v in e.column(c).to_pylist()], int) for c in "st")
-        w, label = e.column("w").to_numpy().astype(float), np.zeros(len(ids), int)
-        queue, used = [(0, 0)], 1
-        while queue:
-            c, level = queue.pop()
-            own = np.flatnonzero(label == c)
-            if len(own) < 2 or level >= depth:
-                continue
-            inside = (label[s] == c) & (label[t] == c)
-            local = np.full(len(ids), -1)
-            local[own] = np.arange(len(own))
-            side = _split_once(x[own], size[own], local[s[inside]], local[t[inside]], w[inside], reg)
-            if side is None:
-                continue
-            label[own[side]] = used
-            queue += [(c, level + 1), (used, level + 1)]
-            used += 1
-        first = np.full(used, np.iinfo(np.int64).max)
-        np.minimum.at(first, label, ids)
-        return pa.table({"tile": pa.array([key[0].as_py()] * len(ids), pa.int64()), "id": pa.array(ids), "label": pa.array(first[label])})
-
-    of = nodes.select("id", F.col(tile).cast("long").alias("tile"))
-    e = edges.join(of.withColumnsRenamed({"id": "s", "tile": "_a"}), "s").join(of.withColumnsRenamed({"id": "t", "tile": "_b"}), "t").where("_a = _b")
-    n = nodes.select(F.col(tile).cast("long").alias("tile"), "id", F.col("n").cast("double").alias("n"), F.col("x").cast("array<double>").alias("x"))
-    e = e.select(F.col("_a").alias("tile"), "s", "t", F.col("w").cast("double").alias("w"))
-    return n.groupBy("tile").cogroup(e.groupBy("tile")).applyInArrow(solve, "tile long, id long, label long")
+
+def cut_pursuit(nodes: DataFrame, edges: DataFrame, reg: float) -> DataFrame:
+    """(id, label): a piecewise-constant approximation of nodes (id, n, x array) on the whole graph; label is a node's id.
+
+    The energy is that of `partition_energy`. From the connected components on, every segment is split in two where that
+    lowers the energy, and the parts are split again; segments that are not connected come apart, which costs nothing. This
+    ends when no segment splits. Each step is a job over the nodes, or edges, of all segments at once, so that a segment may
+    be of any size. Edges that repeat, in either direction, count with the sum of their weights.
+    """
+    n = written(nodes.select("id", F.col("n").cast("double").alias("n"), F.col("x").cast("array<double>").alias("x")))
+    e = written(edges.where("s <> t").groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum(F.col("w").cast("double")).alias("w")))
+    dims = n.agg(F.max(F.size("x"))).first()[0] or 0
+    labels = components(n, e)
+    active = written(n.join(labels, "id").withColumnRenamed("label", "c"))
+    while True:
+        while True:
+            of = active.select("id", "c")
+            inside = e.join(of.withColumnsRenamed({"id": "s", "c": "_a"}), "s").join(of.withColumnsRenamed({"id": "t", "c": "_b"}), "t").where("_a = _b").select("s", "t", "w")
+            splits = written(_best_splits(active, written(inside.union(inside.select("t", "s", "w"))), reg, dims))
+            least = splits.groupBy("c", "side").agg(F.min("id").alias("_l"))
+            new = written(splits.join(least, ["c", "side"]).select("id", "_l"))
+            if new.isEmpty():
+                break
+            labels = written(labels.join(new, "id", "left").select("id", F.coalesce("_l", "label").alias("label")))
+            active = written(n.join(new, "id").select("id", "n", "x", F.col("_l").alias("c")))
+        # segments that have come apart are tried again
+        same = e.join(labels.withColumnsRenamed({"id": "s", "label": "_a"}), "s").join(labels.withColumnsRenamed({"id": "t", "label": "_b"}), "t").where("_a = _b")
+        parts = labels.withColumnRenamed("label", "_was").join(components(n, same.select("s", "t")), "id")
+        apart = parts.groupBy("_was").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("_was")
+        again = written(parts.join(apart, "_was", "left_semi").select("id", "label"))
+        labels = written(parts.select("id", "label"))
+        if again.isEmpty():
+            return labels
+        active = written(n.join(again, "id").withColumnRenamed("label", "c"))
 
 
 def instance_weights(edges: DataFrame, eps: float = 1e-3) -> DataFrame:

@@ -96,6 +96,17 @@ def test_partitions_find_the_steps(spark, how):
     assert energy < alone
 
 
+def test_cut_pursuit_goes_across_tiles_and_as_deep_as_it_must(spark):
+    # a flat stretch over three tiles, and a stair of more steps than twelve splits in a row make
+    flat = [(i, 1, [500.0], i // 20) for i in range(60)]
+    stair = [(1000 + i, 1, [100.0 ** (i // 2)], 9) for i in range(28)]
+    edges = [(i, i + 1, 1.0) for i in range(59)] + [(1000 + i, 1001 + i, 1.0) for i in range(27)]
+    nodes = spark.createDataFrame(flat + stair, "id long, n int, x array<double>, tile int")
+    label = {r.id: r.label for r in partition.cut_pursuit(nodes, spark.createDataFrame(edges, "s long, t long, w double"), 0.01).collect()}
+    assert len({label[i] for i in range(60)}) == 1
+    assert len({label[1000 + i] for i in range(28)}) == 14 and all(label[1000 + i] == label[1001 + i] for i in range(0, 28, 2))
+
+
 def test_small_segments_are_merged(spark):
     nodes, edges = _graph(spark, 5)
     sizes = partition.greedy_merge(nodes, edges, 1e-9, min_size=5).groupBy("label").count().collect()
