@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, written
 from .hashing import Words, mix, slices
 
 #: Token positions that a seed compares, in its first eight.
@@ -98,56 +99,64 @@ class Index:
         return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document row and block of the benchmark: doc_id, hits (array of item_id, start, tokens, matches)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """The document rows, with all columns or those to keep, and an array of item_id, start, tokens, matches; its name.
+
+    A row gets its own hits where its text is read, so that neither null ids nor ids that repeat matter.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = None
+    (hits,) = fresh(docs, "hits")
+    keep = docs.columns if keep is None else keep
     for block in range(blocks):
         # bounded by BLOCK_CHARS on average
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in own], [r[1] for r in own]))
-        part = rows.mapInArrow(_matcher(index), rows.schema[0].simpleString().replace(":", " ", 1) + ", hits " + _HITS)
-        out = part if out is None else out.union(part)
-    return out
+        names = keep if block == blocks - 1 else list(dict.fromkeys([*keep, text]))
+        kind = T.StructType([*[docs.schema[c] for c in names], T.StructField(hits, _HITS)])
+        docs = docs.mapInArrow(_matcher(index, text, names, hits), kind)
+        if block < blocks - 1:
+            docs = written(docs)  # else the indices of all blocks are in memory at once
+    return docs, hits
 
 
-_HITS = "array<struct<item_id: long, start: long, tokens: long, matches: long>>"
+_HITS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "tokens", "matches")]))
 
 
-def _matcher(shared):
+def _matcher(shared, text: str, names: list[str], hits: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        names = ("item_id", "start", "tokens", "matches")
-        kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
-        for batch in slices(batches):
-            hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for doc, item, *rest in index.overlaps(batch.column("text")):
-                hits[doc].append(dict(zip(names, (index.ids[item], *rest))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hits, kind)], ["doc_id", "hits"])
+        fields = ("item_id", "start", "tokens", "matches")
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in fields]))
+        for batch in slices(batches, text):
+            found: list[list[dict]] = batch.column(hits).to_pylist() if hits in batch.schema.names else [[] for _ in range(batch.num_rows)]
+            for doc, item, *rest in index.overlaps(batch.column(text)):
+                found[doc].append(dict(zip(fields, (index.ids[item], *rest))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, kind)], [*names, hits])
 
     return run
 
 
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document row: doc_id, hits (array of item_id, start, tokens, matches)."""
+    out, hits = with_hits(docs, benchmark, text, [doc_id])
+    return out.select(F.col(doc_id).alias("doc_id"), F.col(hits).alias("hits"))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that no benchmark item contaminates, with the columns they came with."""
-    (bad,) = fresh(docs, "bad")
-    found = overlaps(docs, benchmark, doc_id, text).where(F.size("hits") > 0).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(bad)), "left_anti")
+    out, hits = with_hits(docs, benchmark, text)
+    return out.where(F.size(hits) == 0).drop(hits)
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (sorted), n_overlaps, max_tokens (of the longest overlap)."""
-    found = overlaps(docs, benchmark).where(F.size("hits") > 0)
-    per_doc = found.select(F.col("doc_id").alias("of"), F.explode("hits").alias("h")).groupBy("of").agg(
-        F.sort_array(F.collect_set("h.item_id")).alias("item_ids"), F.count(F.lit(1)).alias("n"), F.max("h.tokens").alias("most")
-    )
-    return docs.select("doc_id").join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
+    hits = F.col("hits")
+    return overlaps(docs, benchmark).select(
         "doc_id",
-        F.col("n").isNotNull().alias("contaminated"),
-        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_overlaps"),
-        F.coalesce("most", F.lit(0)).cast("long").alias("max_tokens"),
+        (F.size(hits) > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(hits["item_id"])).alias("item_ids"),
+        F.size(hits).cast("long").alias("n_overlaps"),
+        F.coalesce(F.array_max(hits["tokens"]), F.lit(0)).cast("long").alias("max_tokens"),
     )

@@ -17,7 +17,8 @@ that a WINDOW-byte string covers goes if that string also starts anywhere else;
    they stand, and only different ones go on. So no task gets a large group whole.
 
 Defined results: a null text is empty; texts under WINDOW bytes lose nothing; a row that repeats another is a repeat of it,
-and both go; a null doc_id is an id of its own. Strings are compared by 128 bits of hash or byte by byte.
+and both go. Texts are told apart by 64 bits of hash of id and text, so that ids may be null or repeat. Strings are
+compared by 128 bits of hash or byte by byte.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -39,7 +40,6 @@ BEFORE = WINDOW - GRAM
 #: Contexts of an anchor that one suffix array takes; and how many neighbouring strings are filed together beyond that.
 GROUP, WIDTHS = 256, (93, 12, 1)
 SLICE = 400_000
-NULL_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -239,9 +239,14 @@ def _told_apart(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
     return again.select("id", "s", (F.col("s") + F.col("n")).alias("e")), cut
 
 
+def text_key(doc_id: str, text: str) -> Column:
+    """A hash of a row's id and text, so that texts whose ids are null, or repeat, are told apart."""
+    return F.xxhash64(doc_id, text)
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, starts, ends): for each text with any, the maximal stretches of bytes that repeats cover."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("text"))
+    """(id, starts, ends): for each text with any, the maximal stretches of bytes that repeats cover; id is its `text_key`."""
+    rows = docs.select(text_key(doc_id, text).alias("id"), F.col(text).alias("text"))
     found = written(anchors(rows))
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key")
     spans, cut = _told_apart(rows, written(found.join(twice, "key")))
@@ -293,7 +298,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, joined) of every row."""
     spans = written(repeated_spans(docs, doc_id, text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id"), "left").drop("id")
+    rows = rows.join(spans, text_key("doc_id", "text") == F.col("id"), "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

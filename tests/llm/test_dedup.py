@@ -240,6 +240,29 @@ def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     assert sorted(map(str, decontam.decontamination_report(docs, benchmark).collect())) == one
 
 
+@pytest.mark.parametrize("block", [8_000_000, 200])
+def test_decontamination_judges_rows_without_own_ids_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+    items = [" ".join(f"w{i}x{j}" for j in range(25)) for i in range(4)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(None, items[0], 1), (None, "a clean text", 2), (None, None, 3), (7, items[1], 4), (7, "another clean text", 5), (7, items[1] + " , " + items[2], 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(r.n for r in decontam.keep_clean(docs, benchmark).collect()) == [2, 3, 5]
+    got = sorted((r.doc_id or 0, r.item_ids, r.n_overlaps) for r in decontam.decontamination_report(docs, benchmark).collect())
+    assert got == [(0, [], 0), (0, [], 0), (0, [0], 1), (7, [], 0), (7, [1], 1), (7, [1, 2], 2)]
+
+
+def test_repeats_of_texts_without_own_ids(spark):
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = word(4 * repeats.WINDOW)
+    texts = [word(50) + shared, shared + word(70), word(300), word(400)]
+    for doc_id in (None, 5):
+        rows = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
+        kept = sorted(bytes(r.kept).decode() for r in repeats.remove_repeats(rows).collect())
+        assert kept == sorted([texts[0][:50], texts[1][-70:], texts[2], texts[3]])
+
+
 def test_decontamination_of_odd_rows(spark, weird, nothing):
     benchmark = spark.createDataFrame([(1, "one line of text that comes again and a second one follows it here"), (2, None)], "item_id long, text string")
     rows = decontam.decontamination_report(weird, benchmark).collect()
