@@ -9,7 +9,8 @@ with repeats. A language contains an n-gram if, per n-gram of training text, it
 as where it is most frequent: a stray foreign passage or a wrong label in the training text adds nothing.
 
 Training reads a sample of at most SAMPLE_DOCS labelled documents (about, drawn by a hash of the id); everything else,
-the n-gram counts of that sample included, runs as Spark jobs.
+the n-gram counts of that sample included, runs as Spark jobs. All n-grams that a language contains are filed, and the
+number of slots follows from the language that has the most.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learned; a text
 too short for an n-gram, or whose n-grams no language contains, gets the most frequent language with score 0; ties go to
@@ -29,11 +30,9 @@ from .hashing import _LOWER, bytes_of, mix, rolling, slices
 
 SAMPLE_DOCS = 6000
 SIZES = (3, 5)
-#: Slots are 2**SLOT_BITS; an n-gram sets PROBES of them.
-SLOT_BITS, PROBES = 21, 2
+#: An n-gram sets PROBES slots; there are SLOTS or more for each n-gram of a language, and 2**LEAST_BITS at least.
+PROBES, SLOTS, LEAST_BITS = 2, 8, 16
 LEAST_SHARE, LEAST_COUNT = 0.2, 2
-#: N-grams of the sample kept for each language, the most frequent first: bounds the filter's fill.
-MOST_NGRAMS = 200_000
 _FOLD = _LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -49,9 +48,9 @@ def _ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h[at], counts
 
 
-def _probes(h: np.ndarray) -> Iterator[np.ndarray]:
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     for p in range(PROBES):
-        yield (h >> np.uint64(p * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)
+        yield (h >> np.uint64(p * 32)) & np.uint64((1 << bits) - 1)
 
 
 class Filters:
@@ -60,22 +59,24 @@ class Filters:
     def __init__(self, langs: list[str], grams: np.ndarray, of: np.ndarray):
         """grams[i] is in language of[i]."""
         self.langs = langs
-        self.slots = np.zeros(1 << SLOT_BITS, next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= bits))
-        for slot in _probes(grams):
-            np.bitwise_or.at(self.slots, slot, np.left_shift(1, of).astype(self.slots.dtype))
-        fill = np.array([((self.slots >> i) & 1).mean() for i in range(len(langs))])
+        most = int(np.bincount(of).max()) if len(of) else 0
+        self.bits = min(32, max(LEAST_BITS, (SLOTS * most - 1).bit_length() if most else 0))
+        self.slots = np.zeros(1 << self.bits, next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= bits))
+        for slot in _probes(grams, self.bits):
+            np.bitwise_or.at(self.slots, slot, np.left_shift(np.uint64(1), of.astype(np.uint64)).astype(self.slots.dtype))
+        fill = np.array([((self.slots >> self.slots.dtype.type(i)) & self.slots.dtype.type(1)).mean() for i in range(len(langs))])
         self.false = fill**PROBES
 
     def shares(self, texts: pa.Array) -> np.ndarray:
         """A row per text: of its n-grams, the share that each language contains, corrected for false positives."""
         hits, total = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for h, counts in _ngrams(texts):
-            bits = np.full(len(h), -1, np.int64).astype(self.slots.dtype)
-            for slot in _probes(h):
+            bits = np.full(len(h), np.iinfo(self.slots.dtype).max, self.slots.dtype)
+            for slot in _probes(h, self.bits):
                 bits &= self.slots[slot]
             edges = np.concatenate([[0], np.cumsum(counts)])
             for i in range(len(self.langs)):
-                have = np.concatenate([[0], np.cumsum((bits >> i) & 1, dtype=np.int64)])
+                have = np.concatenate([[0], np.cumsum((bits >> bits.dtype.type(i)) & bits.dtype.type(1), dtype=np.int64)])
                 hits[:, i] += have[edges[1:]] - have[edges[:-1]]
             total += counts
         n = np.maximum(total, 1)[:, None]
@@ -96,7 +97,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[Filters]:
                 of = np.repeat(langs, counts)
                 for lang in np.unique(langs):
                     g, n = np.unique(h[of == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "g", "n"])
+                    kinds = (pa.string(), pa.int64(), pa.int64())
+                    columns = ([str(lang)] * len(g), g.view(np.int64), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "g", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     totals = {r[0]: r[1] for r in sample.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
@@ -105,14 +108,20 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[Filters]:
     langs = sorted(totals, key=lambda x: (-totals[x], x))
     weight = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, 1.0 / max(1, totals[k]))]), F.col("lang"))
     grams = counts.where(F.col("n") >= LEAST_COUNT).withColumn("f", F.col("n") * weight)
-    best = grams.groupBy("g").agg(F.max("f").alias("best"))
-    grams = grams.join(best, "g").where(F.col("f") >= LEAST_SHARE * F.col("best"))
+    # one row an n-gram: the languages that contain it, as numbers in `langs`
+    number = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
+    grams = grams.groupBy("g").agg(F.collect_list(F.struct("f", number.alias("i"))).alias("all"))
+    share = LEAST_SHARE * F.array_max(F.transform("all", lambda x: x["f"]))
+    grams = grams.select("g", F.transform(F.filter("all", lambda x: x["f"] >= share), lambda x: x["i"]).alias("in"))
+    # the sample bounds what is gathered here
+    table = grams.toArrow().combine_chunks()
+    lists = table.column("in").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    of = lists.flatten().to_numpy().astype(np.int64)
+    g = np.repeat(table.column("g").to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()) if len(lists) else 0)
     out = []
     for start in range(0, len(langs), 64):
-        own = sorted(langs[start : start + 64])
-        # the sample and MOST_NGRAMS bound what is gathered here
-        parts = [grams.where(F.col("lang") == x).orderBy(F.desc("n"), "g").limit(MOST_NGRAMS).select("g").toArrow().column("g").to_numpy().view(np.uint64) for x in own]
-        out.append(Filters(own, np.concatenate(parts), np.repeat(np.arange(len(own)), [len(p) for p in parts])))
+        own = (of >= start) & (of < start + 64)
+        out.append(Filters(langs[start : start + 64], g[own], of[own] - start))
     out[0].default = langs[0]
     return out
 
