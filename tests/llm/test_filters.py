@@ -32,11 +32,34 @@ def test_order_of_rules_never_changes_the_verdict(spark):
 
 
 def test_rules_that_reject_much_for_little_come_first(spark):
-    always = quality.Rule("always", lambda s, t: F.lit(True), per_row=1.0)
-    never = quality.Rule("never", lambda s, t: F.lit(False), per_row=1.0)
-    dear = quality.Rule("dear", lambda s, t: F.lit(True), per_row=1.0, per_char=5.0)
-    docs = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
-    assert [r.name for r in quality.cascade_order(docs, rules=(never, dear, always))] == ["always", "dear", "never"]
+    always, never, dear = (quality.Rule(n, lambda s, t, v=v: F.lit(v)) for n, v in (("always", True), ("never", False), ("dear", True)))
+    docs = spark.createDataFrame([(1, "some text here"), (2, None)], "doc_id long, text string")
+    found = quality.measured(docs, rules=(never, dear, always))
+    assert {k: hits for k, (hits, _) in found.items()} == {"always": 2, "never": 0, "dear": 2} and all(s > 0 for _, s in found.values())
+    found = {"always": (2, 0.01), "never": (0, 0.01), "dear": (2, 0.5)}
+    assert [r.name for r in quality.by_gain((never, dear, always), found)] == ["always", "dear", "never"]
+
+
+def test_a_dear_rule_takes_longer_on_the_sample(spark):
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(300)], "doc_id long, text string").repartition(1)
+    rules = [quality.Rule("cheap", lambda s, t: s("n_words") < 0), quality.Rule("dear", lambda s, t: s("n_repeat_words") < 0)]
+    found = quality.measured(docs, rules=rules)
+    assert found["dear"][1] > 2 * found["cheap"][1]
+
+
+def test_a_later_rule_is_not_evaluated_where_an_earlier_one_rejects(spark):
+    docs = spark.createDataFrame([(1, "a few words that are here " * 10)], "doc_id long, text string")
+    fails = quality.Rule("fails", lambda s, t: F.raise_error(F.lit("evaluated")).cast("boolean"))
+    first = quality.Rule("first", lambda s, t: s("n_symbols") >= 0)
+    out, v = quality.cascade(docs.withColumn("text", F.concat("text", F.lit(" x"), F.expr("array_join(transform(sequence(1, 400), i -> string(i)), ' ')"))), order=[first, fails])
+    assert out.select(F.col(v)["rejected_by"]).first()[0] == "first"
+
+
+@pytest.mark.parametrize("column", ["kept", "base_failed", "n_words > 50", "n_repeat_words > 0"])
+def test_the_report_can_be_filtered(spark, column):
+    report = quality.quality_report(spark.read.parquet(f"{SF}/documents.parquet"))
+    every = report.collect()
+    assert sorted(report.where(column).collect()) == sorted(spark.createDataFrame(every, report.schema).where(column).collect())
 
 
 def test_quality_of_odd_rows(weird, nothing):
