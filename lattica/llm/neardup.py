@@ -1,11 +1,12 @@
 """Near duplicates by MinHash and a multi-index Hamming join.
 
 1. Each text becomes the set of its distinct shingles (k consecutive words; A-Z in lower case). Texts with the same set
-   are one class, whose smallest id stands for it from here on.
-2. The set's signature has 66 components of 16 bits, split into 11 chunks of six. By the pigeonhole principle two
-   signatures that differ in at most 21 components have a chunk that differs in at most one; so each signature is filed
-   under its 66 chunks with one component left out, and every such pair meets in a bucket. Pairs further apart meet as
-   soon as one chunk differs in at most one component: at a similarity of 0.8, all but 8 in a million pairs do.
+   are one class, which one text of it, known by a hash of its row's id and text, stands for from here on.
+2. The set's signature has 66 components of b = 16 bits, split into CHUNKS = 15 chunks of four or five. By the pigeonhole
+   principle two signatures that differ in at most MAX_DIFFERENT = 2 * 15 - 1 components have a chunk that differs in at
+   most one; so the allowed errors of a chunk are enumerated, i.e. each signature is filed under its chunks with each one
+   component left out in turn, and every such pair meets in a bucket. That is the distance up to which pairs are confirmed.
+   At a similarity of 0.8, all but about two in a million pairs of texts are that close, and more similar pairs are closer.
 3. Small buckets are compared in full. In a crowded bucket a few classes are pivots: each is compared with every class
    there that isn't known to be connected with it. So a group of thousands of near copies costs a star, not all pairs. It
    is also counted how many of a class's shingles no other class of a crowded bucket has: these can't be in an
@@ -16,9 +17,10 @@
    texts. A pivot's partners are dealt to groups of bounded size, so that no task gets a large group whole.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its own component; a
-text of fewer than k words has the whole sequence as its one shingle; rows that repeat a doc_id count as one document
-(with the row of the smallest set digest, if their texts differ) and get the same answer; rows with a null doc_id are
-left out of the report and kept by `keep_one`.
+text of fewer than k words has the whole sequence as its one shingle. Each row is judged by its own text, whatever its
+doc_id; rows that repeat an id and its text get the same answer. A component's name is its smallest id that isn't null, and
+null if it has none; a row is kept if its id is that name, and where there is none, if its text is the one that stands for
+the component.
 """
 
 from __future__ import annotations
@@ -30,18 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, text_key, written
 from .components import components
 from .hashing import Words, mix, rolling, slices
 
-COMPONENTS, CHUNK = 66, 6
-#: Signatures that differ in more components than this aren't confirmed: at a similarity of 0.8 less than one in a million.
-MAX_DIFFERENT = 30
+COMPONENTS, CHUNKS = 66, 15
+#: Signatures that differ in at most so many components are sure to meet; those further apart aren't confirmed.
+MAX_DIFFERENT = 2 * CHUNKS - 1
 #: Classes in a small bucket; pivots in a crowded one in the second round; classes in a block, on either side.
 SMALL, PIVOTS, BLOCK = 8, 3, (64, 256)
 #: Partners of a pivot that one group checks; shingles that a block's product takes at once.
 PARTNERS, COLUMNS = 64, 8192
 
+#: Where chunks begin, and the last ends.
+CUTS = [i * COMPONENTS // CHUNKS for i in range(CHUNKS + 1)]
+
 _A = mix(np.arange(1, COMPONENTS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, COMPONENTS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -75,7 +80,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, d1, d2, sig): the set's size, a digest of it, and its signature (null for an empty set)."""
+    """(doc_id, id, n, d1, d2, sig) of every row: a hash of its id and text, the set's size, a digest of it, and its signature
+    (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -87,17 +93,18 @@ def sketch(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
                     sig[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("doc_id"),
                     batch.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([mix(s).sum() for s in sets], np.uint64).view(np.int64)),
                     pa.array(np.array([mix(s + np.uint64(1)).sum() for s in sets], np.uint64).view(np.int64)),
                     pa.array(sig, pa.binary()),
                 ],
-                ["id", "n", "d1", "d2", "sig"],
+                ["doc_id", "id", "n", "d1", "d2", "sig"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(doc_id, text).alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, id long, n long, d1 long, d2 long, sig binary")
 
 
 def _bucket_rows(classes: DataFrame) -> DataFrame:
@@ -109,11 +116,11 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
                 part = batch.slice(start, 4096)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS).astype(np.uint64)
                 ids, keys = part.column("id").to_numpy(), []
-                for chunk in range(0, COMPONENTS, CHUNK):
-                    for out in range(CHUNK):
-                        key = np.full(len(sig), chunk + out, np.uint64)
-                        for c in range(chunk, chunk + CHUNK):
-                            if c != chunk + out:
+                for first, end in zip(CUTS, CUTS[1:]):
+                    for out in range(first, end):
+                        key = np.full(len(sig), out, np.uint64)
+                        for c in range(first, end):
+                            if c != out:
                                 key = mix((key << np.uint64(16)) + sig[:, c] + np.uint64(1))
                         keys.append(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], ["key", "id"])
@@ -137,7 +144,7 @@ def _different(a: str, b: str):
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have at least `percent` hundredths of their union in common."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(texts.join(ids, "id", "left_semi"))
+    texts = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("groups"))
     partners = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("g"))
     partners = partners.join(texts.withColumnRenamed("id", "b"), "b").select("a", "g", "b", "text")
@@ -159,21 +166,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, component) for every distinct non-null document id."""
-    docs = docs.where(F.col(doc_id).isNotNull())
-    made = written(sketch(docs, k, doc_id, text).groupBy("id").agg(F.min(F.struct("d1", "d2", "n", "sig")).alias("s")).select("id", "s.*"))
-    full = made.where("n > 0")
-    classes = written(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    """(doc_id, id, n, component, kept) of every row; id is a hash of doc_id and text."""
+    made = written(sketch(docs, k, doc_id, text))
+    classes = made.where("n > 0").groupBy("d1", "d2", "n")
+    classes = written(classes.agg(F.min("id").alias("id"), F.min("doc_id").alias("name"), F.first("sig").alias("sig")))
+    texts = docs.select(text_key(doc_id, text).alias("id"), F.col(text).alias("text"))
     texts = texts.join(classes.select("id"), "id", "left_semi")
     links = _links(classes.select("id", "n", "sig"), texts, k, percent)
-    of_class = classes.select("d1", "d2", "n", F.col("id").alias("rep"))
+    of_class = classes.select("d1", "d2", "n", "name", F.col("id").alias("rep"))
     if links is not None:
-        of_class = of_class.join(links.withColumnRenamed("id", "rep"), "rep", "left")
-        of_class = of_class.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+        of_class = of_class.join(links.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = of_class.groupBy("component").agg(F.min("name").alias("least"))
+        of_class = of_class.join(named, "component").select("d1", "d2", "n", F.col("least").alias("name"), (F.col("component") == F.col("rep")).alias("first"))
     else:
-        of_class = of_class.withColumnRenamed("rep", "component")
-    return made.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        of_class = of_class.select("d1", "d2", "n", "name", F.lit(True).alias("first"))
+    out = made.select("doc_id", "id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
+    name = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id"))
+    kept = F.when(F.col("n") == 0, True).otherwise(F.coalesce(F.col("doc_id") == F.col("name"), F.col("name").isNull() & F.col("first")))
+    return out.select("doc_id", "id", "n", name.alias("component"), kept.alias("kept"))
 
 
 def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
@@ -284,13 +294,13 @@ def _by_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their component, with the columns they came with."""
+    """One document of each component, with the columns it came with; rows that repeat its id and text stay as well."""
     (gone,) = fresh(docs, "gone")
-    dropped = near_duplicates(docs, k, percent, doc_id, text).where("id <> component").select(F.col("id").alias(gone))
-    return docs.join(dropped, F.col(doc_id) == F.col(gone), "left_anti")
+    dropped = near_duplicates(docs, k, percent, doc_id, text).where("not kept").select(F.col("id").alias(gone))
+    return docs.join(dropped, text_key(doc_id, text) == F.col(gone), "left_anti")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
-    """One row per document id: doc_id, n_shingles, component_id, kept; 4-word shingles, similarity 0.8 or more."""
+    """One row per document: doc_id, n_shingles, component_id, kept; 4-word shingles, similarity 0.8 or more."""
     out = near_duplicates(docs, k=4)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_key, written
 from .hashing import _byte_values, _powers, bytes_of, mix, slices
 
 WINDOW, GRAM = 400, 32
@@ -239,11 +239,6 @@ def _told_apart(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
     return again.select("id", "s", (F.col("s") + F.col("n")).alias("e")), cut
 
 
-def text_key(doc_id: str, text: str) -> Column:
-    """A hash of a row's id and text, so that texts whose ids are null, or repeat, are told apart."""
-    return F.xxhash64(doc_id, text)
-
-
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, starts, ends): for each text with any, the maximal stretches of bytes that repeats cover; id is its `text_key`."""
     rows = docs.select(text_key(doc_id, text).alias("id"), F.col(text).alias("text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -156,23 +157,38 @@ def test_a_crowd_in_one_bucket(plain):
 
 
 def test_pigeonhole_guarantee():
-    """Signatures that differ in at most 21 of 66 components share a chunk of six with one component left out."""
-    chunks = neardup.COMPONENTS // neardup.CHUNK
-    assert neardup.COMPONENTS % neardup.CHUNK == 0 and 2 * chunks - 1 == 21
+    """Signatures as far apart as is allowed share a chunk but for one component; one further apart need not."""
+    cuts = neardup.CUTS
+    assert (cuts[0], cuts[-1], len(cuts)) == (0, neardup.COMPONENTS, neardup.CHUNKS + 1) and neardup.MAX_DIFFERENT == 29
     rng = random.Random(6)
     for _ in range(200):
-        differ = set(rng.sample(range(neardup.COMPONENTS), 21))
-        assert any(len(differ & set(range(c, c + neardup.CHUNK))) <= 1 for c in range(0, neardup.COMPONENTS, neardup.CHUNK))
+        differ = set(rng.sample(range(neardup.COMPONENTS), neardup.MAX_DIFFERENT))
+        assert any(len(differ & set(range(a, b))) <= 1 for a, b in zip(cuts, cuts[1:]))
+    # at a similarity of 0.8 a component differs with a chance of 0.2
+    p = sum(math.comb(66, k) * 0.2**k * 0.8 ** (66 - k) for k in range(neardup.MAX_DIFFERENT + 1, 67))
+    assert p < 4e-6
 
 
 def test_near_duplicates_of_odd_rows(weird, nothing):
     out = neardup.near_duplicate_report(weird)
-    assert {r.doc_id: r.component_id for r in out.collect()}[10] == 5 and out.count() == 11
+    assert {r.doc_id: r.component_id for r in out.collect()}[10] == 5 and out.count() == weird.count()
     kept = neardup.keep_one(weird)
-    assert kept.columns == weird.columns and kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 7").count() == 2
+    assert kept.columns == weird.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 7").count() == 2
     assert neardup.near_duplicate_report(nothing).count() == 0 and neardup.keep_one(nothing).count() == 0
 
 
+def test_near_duplicates_judge_rows_by_their_own_text(spark):
+    rng = random.Random(12)
+    a, b, c, d = (_text(rng, 60) for _ in range(4))
+    rows = [(None, a), (2, a), (2, b), (3, b), (None, c), (None, c + " more"), (None, None), (4, None), (None, ""), (5, d), (5, d)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int")
+    out = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicate_report(docs).collect()}
+    assert {x for x in out if x[0] is not None} == {(2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True)}
+    assert neardup.near_duplicate_report(docs).count() == len(rows)
+    kept = {r.n for r in neardup.keep_one(docs).collect()}
+    assert kept - {4, 5} == {1, 2, 6, 7, 8, 9, 10} and len(kept & {4, 5}) == 1
+
+
 def test_components(spark):
     rng = random.Random(7)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
