@@ -6,15 +6,16 @@ that a WINDOW-byte string covers goes if that string also starts anywhere else;
 1. Each WINDOW-byte string has an anchor, the least hash among its GRAM-byte grams. Equal strings have equal anchors at
    equal places, so only occurrences of one anchor need to be compared. An anchor's context is all that strings with this
    anchor can hold, WINDOW - GRAM bytes before it and WINDOW from it on.
-2. Anchors that occur once are dropped. Contexts that occur twice or more are repeats as they stand. Both are sums over
-   hashes, made before the shuffle.
-3. What is left are contexts unlike each other that share an anchor. A group's contexts, each different one once, are put
-   into an enhanced suffix array: their suffixes from the anchor on are sorted, with the lengths of the common prefixes of
-   neighbours. A scan with a stack visits the tree of common-prefix intervals; at each interval the left extensions of its
-   members are compared, and those that reach WINDOW bytes together with the prefix are occurrences of a repeat.
-4. Groups of more than GROUP contexts are split before that: strings are filed by a longer core around the anchor, in
-   steps that end with the whole string, where equal means repeated. Parts that occur twice or more are again repeats as
-   they stand, and only different ones go on. So no task gets a large group whole.
+2. Anchors that occur once are dropped. Equal contexts are one leaf of their group's tree, and a leaf of two occurrences or
+   more is a repeat as it stands. Both are sums over hashes, made before the shuffle.
+3. A group's leaves, i.e. its contexts unlike each other, are put into an enhanced suffix array: their suffixes from the
+   anchor on are sorted, with the lengths of the common prefixes of neighbours. A scan with a stack visits the tree of
+   common-prefix intervals; at each interval the left extensions of its members are told apart, by their ranks among all
+   left sides and the common lengths between these, and those that reach WINDOW bytes together with the prefix are
+   occurrences of a repeat.
+4. Groups of more than GROUP leaves are dealt to smaller trees before that: strings are filed by a longer core around the
+   anchor, in steps that end with the whole string, where equal means repeated. Parts that occur twice or more are again
+   leaves of their own, and only different ones go on. So no task gets a large group whole.
 
 Defined results: a null text is empty; texts under WINDOW bytes lose nothing; a row that repeats another is a repeat of it,
 and both go. Texts are told apart by 64 bits of hash of id and text, so that ids may be null or repeat. Strings are
@@ -23,6 +24,7 @@ compared by 128 bits of hash or byte by byte.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import dropped, text_key, written
 from .hashing import _byte_values, _powers, bytes_of, mix, slices
 
 WINDOW, GRAM = 400, 32
 BEFORE = WINDOW - GRAM
 #: Contexts of an anchor that one suffix array takes; and how many neighbouring strings are filed together beyond that.
-GROUP, WIDTHS = 256, (93, 12, 1)
+GROUP, WIDTHS = 4096, (93, 12, 1)
 SLICE = 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -124,23 +126,73 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, left))
 
 
-def maximal_repeats(contexts: list[tuple[bytes, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(context, start), ...]) of the repeats of WINDOW bytes or more across the cores of some contexts.
+class _Least:
+    """The least of any stretch of some numbers."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = [x]
+        while 2 << (len(self.rows) - 1) <= len(x):
+            last, half = self.rows[-1], 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(last[:-half], last[half:]))
+        self.table = np.full((len(self.rows), len(x)), np.iinfo(np.int64).max)
+        for k, row in enumerate(self.rows):
+            self.table[k, : len(row)] = row
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of start .. end, both included."""
+        k = np.frexp((end - start + 1).astype(float))[1] - 1
+        return np.minimum(self.table[k, start], self.table[k, end - (1 << k) + 1])
 
-    contexts: their bytes, and where in them the core begins; the cores' suffixes share a prefix. Each repeat is given with
-    all contexts that hold it; none of them can be extended to either side without losing one.
+
+def _shared(contexts: list[tuple[bytes, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, members, back) of the common-prefix intervals of some contexts' suffixes from their cores on.
+
+    contexts: their bytes, and where in them the core begins. members: the interval's contexts in the order of their left
+    sides; back[i]: how many bytes before the core members i - 1 and i have in common. Only intervals with a repeat of
+    WINDOW bytes or more.
     """
     right = [x[at:] for x, at in contexts]
     order = sorted(range(len(contexts)), key=right.__getitem__)
     lcp = [0] + [_common(right[a], right[b]) for a, b in zip(order, order[1:])]
     left = [x[:at][::-1] for x, at in contexts]
+    by_left = sorted(range(len(contexts)), key=left.__getitem__)
+    least = _Least(np.array([0] + [_common(left[a], left[b]) for a, b in zip(by_left, by_left[1:])]))
+    rank = np.empty(len(contexts), np.int64)
+    rank[by_left] = np.arange(len(contexts))
+    ranks, by_left = rank[order], np.array(by_left)
     for length, i, j in intervals(lcp):
-        members = sorted(order[i : j + 1], key=left.__getitem__)
+        own = np.sort(ranks[i : j + 1])
+        back = np.concatenate([[0], least(own[:-1] + 1, own[1:])])
+        if length + back.max() >= WINDOW:
+            yield length, by_left[own], back
+
+
+def maximal_repeats(contexts: list[tuple[bytes, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(context, start), ...]) of the repeats of WINDOW bytes or more across the cores of some contexts.
+
+    Each repeat is given with all contexts that hold it; none of them can be extended to either side without losing one.
+    """
+    for length, members, back in _shared(contexts):
         # the same scan over the left extensions finds the members that agree on them, widest last
-        back = [0] + [_common(left[a], left[b]) for a, b in zip(members, members[1:])]
-        for extent, a, b in _with_root(back):
+        for extent, a, b in _with_root(back.tolist()):
             if extent + length >= WINDOW:
-                yield extent + length, [(m, contexts[m][1] - extent) for m in members[a : b + 1]]
+                yield extent + length, [(m, contexts[m][1] - extent) for m in members[a : b + 1].tolist()]
+
+
+def repeated_parts(contexts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end) of the occurrences of maximal repeats, of each context's in an interval the longest alone."""
+    out = []
+    if len(contexts) == 2:
+        (x, a), (y, b) = contexts
+        back, length = _common(x[:a][::-1], y[:b][::-1]), _common(x[a:], y[b:])
+        at = np.array([a, b] if back + length >= WINDOW else [], np.int64)
+        return np.arange(len(at)), at - back, at + length
+    at = np.array([at for _, at in contexts])
+    for length, members, back in _shared(contexts):
+        extent = np.maximum(back, np.append(back[1:], 0))
+        own = extent + length >= WINDOW
+        out.append((members[own], at[members[own]] - extent[own], at[members[own]] + length))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def _with_root(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -152,57 +204,72 @@ def _with_root(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
 def _covered(contexts: DataFrame) -> DataFrame:
     """(id, s, e): stretches of rows (key, id, base, at, x) that repeats cover; rows of a key share a core."""
 
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        own = defaultdict(set)
-        for length, places in maximal_repeats([(x, at) for _, _, at, x in rows]):
-            for m, start in places:
-                own[rows[m][0]].add((rows[m][1] + start, rows[m][1] + start + length))
-        for i, spans in own.items():
-            for s, e in _united(spans):
-                yield i, s, e
+    def group(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of, start, end = repeated_parts([(x, at) for _, _, at, x in rows])
+        base = np.array([r[1] for r in rows], np.int64)[of]
+        return _joined(np.array([r[0] for r in rows], np.int64)[of], base + start, base + end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["id", "s", "e"])
+            columns = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64)] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "s", "e"])
 
         for batch in batches:
             for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "id", "base", "at", "x")]):
                 if k != key:
-                    out.extend(group(held))
+                    if len(held) > 1:
+                        out.append(group(held))
                     key, held = k, []
                 held.append(tuple(row))
             yield flush()
             out.clear()
-        out.extend(group(held))
+        if len(held) > 1:
+            out.append(group(held))
         yield flush()
 
     dealt = contexts.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "id long, s long, e long")
 
 
-def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, m, id, base, at, x): the bytes of wanted stretches (key, m, id, s, at, n), cut from the texts."""
-    per_text = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "m", "s", "at", "n")).alias("w"))
+def _joined(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of stretches that touch, by what they are of."""
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order], end[order]
+    if not len(of):
+        return of, start, end
+    group = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
+    # the furthest end so far within each group
+    far = np.maximum.accumulate(end + (group << 42)) - (group << 42)
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > far[:-1])])
+    return of[new], start[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(of) - 1)]
+
+
+def _cut(source: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """(key, m, id, base, at, x): the bytes of wanted stretches (key, m, *on, id, s, at, n).
+
+    source: (*on, from, x), bytes of a text, or of a part of it that begins at `from`.
+    """
+    per = wanted.groupBy(*on).agg(F.collect_list(F.struct("key", "m", "id", "s", "at", "n")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t, w in zip(*[batch.column(c) for c in ("id", "text", "w")]):
-                i, t = i.as_py(), t.as_py()
-                out = [(x["key"], x["m"], i, x["s"], x["at"], t[x["s"] : x["s"] + x["n"]]) for x in w.as_py()]
+            for first, x, w in zip(*[batch.column(c) for c in ("from", "x", "w")]):
+                first, x = first.as_py(), x.as_py()
+                out = [(p["key"], p["m"], p["id"], p["s"], p["at"], x[p["s"] - first : p["s"] - first + p["n"]]) for p in w.as_py()]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["key", "m", "id", "base", "at", "x"])
 
-    texts = rows.select("id", F.col("text").cast("binary").alias("text")).join(per_text, "id")
-    return texts.mapInArrow(run, "key long, m long, id long, base long, at int, x binary")
+    return source.join(per, on).select("from", "x", "w").mapInArrow(run, "key long, m long, id long, base long, at int, x binary")
 
 
 def _parts(contexts: DataFrame, width: int, core: int) -> DataFrame:
-    """(key, h, id, s, at, n): the strings of contexts in parts of `width` neighbours, filed under the core that these share.
+    """(key, h, id, s, at, n, of, base, core): the strings of contexts in parts of `width` neighbours, filed under the core that
+    these share.
 
     contexts: (key, id, base, at, x), whose cores are `core` bytes from `at` on. A part is the bytes s .. s + n of its text,
-    its own core begins `at` bytes into it, and h is its hash.
+    its own core begins `at` bytes into it, h is its hash, and of, base and core (key, base and at) say which context it is from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,33 +286,41 @@ def _parts(contexts: DataFrame, width: int, core: int) -> DataFrame:
                     first, last = max(0, a - width + 1), min(a, len(x) - WINDOW)
                     h = hashlib.blake2b(x[a:b], digest_size=8, key=salt + back.to_bytes(2, "big")).digest()
                     own = hashlib.blake2b(x[first : last + WINDOW], digest_size=8, salt=(a - first).to_bytes(2, "big")).digest()
-                    out.append((int.from_bytes(h, "big", signed=True), int.from_bytes(own, "big", signed=True), i, base + first, a - first, last + WINDOW - first))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["key", "h", "id", "s", "at", "n"])
+                    out.append((int.from_bytes(h, "big", signed=True), int.from_bytes(own, "big", signed=True), i, base + first, a - first, last + WINDOW - first, key, base, at))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            names = ["key", "h", "id", "s", "at", "n", "of", "base", "core"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names)
 
-    return contexts.select("key", "id", "base", "at", "x").mapInArrow(run, "key long, h long, id long, s long, at int, n int")
+    return contexts.select("key", "id", "base", "at", "x").mapInArrow(run, "key long, h long, id long, s long, at int, n int, of long, base long, core int")
 
 
-def _told_apart(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What of stretches (key, h, id, s, at, n) is repeated as it stands, and the bytes of those that need a closer look.
+def _told_apart(source: DataFrame, found: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What of stretches (key, h, id, s, at, n, *on) is repeated as it stands, and the bytes of those that need a closer look.
 
     The first is spans (id, s, e). The second has, for each key with stretches unlike each other of which one at least isn't
-    covered as it stands, each different stretch once, and their number m.
+    covered as it stands, each different stretch once, and their number m. Sums are written before they are joined, so that
+    Spark can split the other side of the join where one key is frequent.
     """
-    kinds = written(found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("t"), F.min(F.struct("id", "s", "at", "n")).alias("rep")))
-    again = found.join(kinds.where("t > 1").select("key", "h"), ["key", "h"])
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("least")).where("m > 1 and least = 1").select("key", "m")
-    cut = written(_cut(rows, kinds.join(mixed, "key").select("key", "m", "rep.*")))
-    return again.select("id", "s", (F.col("s") + F.col("n")).alias("e")), cut
+    place = list(dict.fromkeys([*on, "id", "s", "at", "n"]))
+    kinds = written(found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("t"), F.min(F.struct(*place)).alias("rep")))
+    again = written(found.join(kinds.where("t > 1").select("key", "h"), ["key", "h"]).select("id", "s", (F.col("s") + F.col("n")).alias("e")))
+    mixed = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("least")).where("m > 1 and least = 1").select("key", "m"))
+    cut = written(_cut(source, kinds.join(mixed, "key").select("key", "m", "rep.*"), on))
+    dropped(kinds, mixed)
+    return again, cut
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, starts, ends): for each text with any, the maximal stretches of bytes that repeats cover; id is its `text_key`."""
     rows = docs.select(text_key(doc_id, text).alias("id"), F.col(text).alias("text"))
-    found = written(anchors(rows))
-    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key")
-    spans, cut = _told_apart(rows, written(found.join(twice, "key")))
-    spans, core = spans.union(_covered(cut.where(F.col("m") <= GROUP))), GRAM
+    every = written(anchors(rows))
+    twice = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key"))
+    found = written(every.join(twice, "key"))
+    dropped(every, twice)
+    texts = rows.select("id", F.lit(0).cast("long").alias("from"), F.col("text").cast("binary").alias("x"))
+    again, cut = _told_apart(texts, found, ["id"])
+    dropped(found)
+    spans, core = [again, written(_covered(cut.where(F.col("m") <= GROUP)))], GRAM
     for width in WIDTHS:
         large = cut.where(F.col("m") > GROUP)
         if large.isEmpty():
@@ -253,13 +328,20 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         found = written(_parts(large, width, core))
         core = WINDOW - width + 1
         if width == 1:
-            # a whole string is its own core: equal keys are equal strings
-            twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key")
-            spans = spans.union(found.join(twice, "key").select("id", "s", (F.col("s") + F.col("n")).alias("e")))
+            # a whole string is its own core: equal ones are repeats
+            twice = written(found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("key", "h"))
+            spans.append(written(found.join(twice, ["key", "h"]).select("id", "s", (F.col("s") + F.col("n")).alias("e"))))
+            dropped(found, twice)
             break
-        again, cut = _told_apart(rows, found)
-        spans = spans.union(again).union(_covered(cut.where(F.col("m") <= GROUP)))
-    return _merged(spans)
+        contexts = large.select("id", "base", F.col("key").alias("of"), F.col("at").alias("core"), F.col("base").alias("from"), "x")
+        again, parts = _told_apart(contexts, found, ["id", "base", "of", "core"])
+        dropped(found, cut)
+        cut = parts
+        spans += [again, written(_covered(cut.where(F.col("m") <= GROUP)))]
+    dropped(cut)
+    merged = written(_merged(functools.reduce(DataFrame.union, spans)))
+    dropped(*spans)
+    return merged
 
 
 def _united(spans) -> list[list[int]]:
@@ -291,7 +373,7 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, joined) of every row."""
-    spans = written(repeated_spans(docs, doc_id, text))
+    spans = repeated_spans(docs, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.join(spans, text_key("doc_id", "text") == F.col("id"), "left").drop("id")
 
