@@ -15,9 +15,10 @@ itself, is indexed in blocks, and every document is matched against every block
 Anchors so frequent that one block would get a large part of the corpus are found on a sample and their windows are filed
 by their own hash instead, one by one. A sample that misses one makes a block larger, never the result different.
 
-Defined results: a null text has no words; texts of fewer than WINDOW words lose nothing; rows that repeat a doc_id
-count as one document, whose windows are not repeats of themselves (if their texts differ, each loses what either would);
-a null doc_id orders before all others. Windows are compared by 48 bits of hash among those with an equal 64-bit anchor.
+Defined results: a null text has no words; texts of fewer than WINDOW words lose nothing. Each row is judged by its own
+text: rows that repeat an id and its text count as one document, whose windows are not repeats of themselves; texts unlike
+each other under one id are documents of their own, in the order of a hash. A null doc_id orders before all others. Windows
+are compared by 48 bits of hash among those with an equal 64-bit anchor; those of frequent anchors by 64 bits in all.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ BLOCK_BYTES = 24_000_000
 #: One document in so many is looked at for frequent anchors; an anchor counts as such from this many windows there.
 SAMPLE, FREQUENT = 64, 400
 NULL_ID = -(1 << 63)
-_RUN = np.dtype([("start", "<i4"), ("count", "<i4"), ("doc", "<i8"), ("at", "<i4")])
+_RUN = np.dtype([("start", "<i4"), ("count", "<i4"), ("doc", "<i8"), ("th", "<i8"), ("at", "<i4")])
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -57,10 +58,10 @@ def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     grams = rolling(w.hashes, GRAM)
     anchor = _sliding_min(grams, WINDOW - GRAM + 1)[at] if len(at) else np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(texts)), np.maximum(w.counts() - (WINDOW - 1), 0))
-    return text, (at - w.first[text]).astype(np.int32), anchor, h >> np.uint64(16)
+    return text, (at - w.first[text]).astype(np.int32), anchor, h
 
 
-def _resolve(key: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _resolve(key: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the windows that occurred before, and of the first occurrence of each."""
     # only keys that occur twice are sorted in full
     order = np.argsort(key, kind="stable")
@@ -70,34 +71,41 @@ def _resolve(key: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray)
     twin[1:] |= same
     twin[:-1] |= same
     some = order[twin]
-    some = some[np.lexsort((start[some], doc[some], h[some], key[some]))]
+    some = some[np.lexsort((start[some], th[some], doc[some], h[some], key[some]))]
     head = np.ones(len(some), bool)
     head[1:] = (key[some][1:] != key[some][:-1]) | (h[some][1:] != h[some][:-1])
     first = some[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(some) else some
-    later = (doc[some] != doc[first]) | (start[some] != start[first])
+    later = (doc[some] != doc[first]) | (th[some] != th[first]) | (start[some] != start[first])
     return some[later], first[later]
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, _RUN) of windows with pointers: neighbours that point to neighbours become one."""
-    order = np.lexsort((at, start, doc))
-    doc, start, source, at = doc[order], start[order], source[order], at[order]
+def _runs(doc: np.ndarray, th: np.ndarray, start: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """(doc, th, _RUN...) of windows whose pointers are source (doc, th, at): neighbours that point to neighbours become one."""
+    order = np.lexsort((source["at"], start, th, doc))
+    doc, th, start, source = doc[order], th[order], start[order], source[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1) | (source["at"][1:] != source["at"][:-1] + 1)
+    new[1:] |= (source["doc"][1:] != source["doc"][:-1]) | (source["th"][1:] != source["th"][:-1])
     heads = np.flatnonzero(new)
-    out = np.empty(len(heads), _RUN)
-    out["start"], out["doc"], out["at"] = start[heads], source[heads], at[heads]
-    out["count"] = np.diff(np.append(heads, len(doc)))
-    return doc[heads], out
+    out = source[heads].copy()
+    out["start"], out["count"] = start[heads], np.diff(np.append(heads, len(doc)))
+    return doc[heads], th[heads], out
 
 
-def _by_doc(doc: np.ndarray, runs: np.ndarray) -> tuple[list[int], list[bytes]]:
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    return doc[cuts].tolist(), [runs[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
+def _by_doc(doc: np.ndarray, th: np.ndarray, runs: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])) if len(doc) else np.zeros(0, int)
+    return doc[cuts].tolist(), th[cuts].tolist(), [runs[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(doc)))]
+
+
+def _pointed(later: np.ndarray, first: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """The runs of each document that has windows with an earlier occurrence."""
+    source = np.zeros(len(first), _RUN)
+    source["doc"], source["th"], source["at"] = doc[first], th[first], start[first]
+    return _by_doc(*_runs(doc[later], th[later], start[later], source))
 
 
 #: A row files windows in a block (keys and so on), or carries resolved runs of a document through the same shuffle.
-_FILED = "block long, doc long, runs binary, keys binary, docs binary, starts binary, counts binary, hashes binary"
+_FILED = "block long, doc long, th long, runs binary, keys binary, docs binary, ths binary, starts binary, counts binary, hashes binary"
 _NAMES = [x.split()[0] for x in _FILED.split(", ")]
 
 
@@ -108,15 +116,16 @@ def _file(rows: DataFrame, blocks: int, frequent) -> DataFrame:
         often = frequent.value
         for batch in slices(batches):
             text, start, key, h = _windows(batch.column("text"))
-            doc = batch.column("id").to_numpy()[text]
+            doc, th = (batch.column(c).to_numpy()[text] for c in ("id", "th"))
             if len(often):
                 k = np.minimum(np.searchsorted(often, key), len(often) - 1)
                 key = np.where(often[k] == key, mix(h), key)
-            later, first = _resolve(key, h, doc, start)
-            done, runs = _by_doc(*_runs(doc[later], start[later], doc[first], start[first]))
+            h = h >> np.uint64(16)
+            later, first = _resolve(key, h, doc, th, start)
+            done = _pointed(later, first, doc, th, start)
             left = np.ones(len(h), bool)
             left[later] = False
-            text, start, key, h, doc = text[left], start[left], key[left], h[left], doc[left]
+            text, start, key, h, doc, th = text[left], start[left], key[left], h[left], doc[left], th[left]
             new = np.ones(len(h), bool)
             new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
             heads = np.flatnonzero(new)
@@ -130,13 +139,13 @@ def _file(rows: DataFrame, blocks: int, frequent) -> DataFrame:
                 own = order[a:b]
                 n = counts[own]
                 each = np.repeat(heads[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                values = (int(block[own[0]]), None, None, key[heads[own]], doc[heads[own]], start[heads[own]], n.astype(np.int32), np.ascontiguousarray(six[each]))
+                values = (int(block[own[0]]), None, None, None, key[heads[own]], doc[heads[own]], th[heads[own]], start[heads[own]], n.astype(np.int32), np.ascontiguousarray(six[each]))
                 for name, v in zip(_NAMES, values):
                     out[name].append(v.tobytes() if isinstance(v, np.ndarray) else v)
-            for i, r in zip(done, runs):
-                for name, v in zip(_NAMES, (hash(i) % blocks, i, r, None, None, None, None, None)):
+            for i, t, r in zip(*done):
+                for name, v in zip(_NAMES, (hash((i, t)) % blocks, i, t, r, *[None] * 6)):
                     out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int64() if n in ("block", "doc") else pa.binary()) for n in _NAMES], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int64() if n in ("block", "doc", "th") else pa.binary()) for n in _NAMES], _NAMES)
 
     return rows.mapInArrow(run, _FILED)
 
@@ -153,16 +162,12 @@ def _look_up(table: pa.Table) -> pa.Table:
     nth = np.arange(counts.sum(dtype=np.int64)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
     h = np.zeros((len(nth), 8), np.uint8)
     h[:, :6] = joined("hashes", np.uint8).reshape(-1, 6)
-    key, doc = np.repeat(joined("keys", np.uint64), counts), np.repeat(joined("docs", np.int64), counts)
+    key, doc, th = (np.repeat(joined(name, kind), counts) for name, kind in (("keys", np.uint64), ("docs", np.int64), ("ths", np.int64)))
     start = (np.repeat(joined("starts", np.int32), counts) + nth).astype(np.int32)
-    later, first = _resolve(key, h.view(np.uint64).ravel(), doc, start)
-    docs, runs = _by_doc(*_runs(doc[later], start[later], doc[first], start[first]))
-    return pa.table(
-        {
-            "doc": pa.array([*docs, *carried.column("doc").to_pylist()], pa.int64()),
-            "runs": pa.array([*runs, *carried.column("runs").to_pylist()], pa.binary()),
-        }
-    )
+    later, first = _resolve(key, h.view(np.uint64).ravel(), doc, th, start)
+    found = _pointed(later, first, doc, th, start)
+    names = (("doc", pa.int64()), ("th", pa.int64()), ("runs", pa.binary()))
+    return pa.table({n: pa.array([*x, *carried.column(n).to_pylist()], kind) for x, (n, kind) in zip(found, names)})
 
 
 def parse(runs: np.ndarray) -> np.ndarray:
@@ -173,17 +178,18 @@ def parse(runs: np.ndarray) -> np.ndarray:
     """
     runs = np.sort(runs, order=("start", "count"))
     out = []
-    for start, count, doc, at in runs.tolist():
-        if out and out[-1][2] == doc and out[-1][3] - out[-1][0] == at - start and start <= out[-1][0] + out[-1][1]:
+    for start, count, doc, th, at in runs.tolist():
+        if out and out[-1][2:4] == [doc, th] and out[-1][4] - out[-1][0] == at - start and start <= out[-1][0] + out[-1][1]:
             out[-1][1] = max(out[-1][1], start + count - out[-1][0])
         else:
-            out.append([start, count, doc, at])
-    return np.array([(s, n + WINDOW - 1, d, a) for s, n, d, a in out], np.int64).reshape(-1, 4)
+            out.append([start, count, doc, th, at])
+    return np.array([(s, n + WINDOW - 1, d, a) for s, n, d, _, a in out], np.int64).reshape(-1, 4)
 
 
 def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, factors): each document's duplicate spans, an array of (start, words, source_doc, source_start)."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("text"))
+    """(id, th, factors): each document's duplicate spans, an array of (start, words, source_doc, source_start); th is a hash
+    of its text."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
     blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
@@ -197,24 +203,25 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # the sum of all counts bounds how many can be frequent
     often = sample.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(FREQUENT, size // SAMPLE // 1_000_000))).select("k").collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
-    found = _file(rows, blocks, frequent).groupBy("block").applyInArrow(_look_up, "doc long, runs binary")
-    found = found.groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    found = _file(rows, blocks, frequent).groupBy("block").applyInArrow(_look_up, "doc long, th long, runs binary")
+    found = found.groupBy("doc", "th").agg(F.collect_list("runs").alias("runs"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("start", "words", "source_doc", "source_start")
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
         for batch in batches:
             each = [[dict(zip(names, f)) for f in parse(np.frombuffer(b"".join(r), _RUN)).tolist()] for r in batch.column("runs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(each, kind)], ["id", "factors"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(each, kind)], ["id", "th", "factors"])
 
-    return found.mapInArrow(parsed, "id long, factors array<struct<start: long, words: long, source_doc: long, source_start: long>>")
+    return found.mapInArrow(parsed, "id long, th long, factors array<struct<start: long, words: long, source_doc: long, source_start: long>>")
 
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, starts, words): every row with its duplicate spans, null where it has none."""
-    spans = written(factors(docs, doc_id, text).select("id", F.col("factors.start").alias("starts"), F.col("factors.words").alias("words")))
+    spans = written(factors(docs, doc_id, text).select("id", "th", F.col("factors.start").alias("starts"), F.col("factors.words").alias("words")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id"), "left").drop("id")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("id")) & (F.xxhash64("text") == F.col("th"))
+    return rows.join(spans, same, "left").drop("id", "th")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,6 +72,16 @@ def test_rlz_of_odd_rows(weird, nothing):
     assert rlz.substring_dedup_report(nothing).count() == 0
 
 
+def test_rlz_judges_rows_by_their_own_text(spark):
+    rng = random.Random(21)
+    a, b, c = (_text(rng, 40) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, "x " + c), (None, None), (3, c), (4, b), (5, "y"), (5, "y")]
+    out = rlz.substring_dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in out)
+    assert [x for x in got if x[0]] == [(1, 40, 0), (2, 40, 0), (2, 40, 40), (3, 40, 40), (4, 40, 40), (5, 1, 0), (5, 1, 0)]
+    assert [n for i, n, _ in got if not i] == [0, 40, 41] and sum(k for i, _, k in got if not i) == 40
+
+
 # --- suffix arrays
 
 

@@ -168,6 +168,40 @@ def test_every_known_text_is_found_and_a_joined_table_gives_the_same(spark, plai
     assert one == two == dict(enumerate(want))
 
 
+def test_licences_by_brute_force(spark):
+    """Every unit of every document, in canonical form by itself, without what keeps long ones from being looked up."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    known = licenses.known_licences(spark).collect()
+    by = {(r.unit, r.digest): r.license_id for r in known}
+    lines = F.transform(F.split("text", "\n"), licenses.digest)
+    rows = docs.select("doc_id", licenses.digest(F.col("text")).alias("d"), lines.alias("l")).collect()
+    want = {r.doc_id: (by.get(("text", r.d)), sorted({by[("notice", x)] for x in r.l if ("notice", x) in by})) for r in rows}
+    got = {r.doc_id: (r.license_id, r.notice_ids) for r in licenses.scan_licences(docs).collect()}
+    assert got == want and any(x for _, x in want.values())
+
+
+def test_a_long_text_with_the_phrase_often(plain):
+    body = "All rights reserved.\n" * 3000 + MIT.replace("\n\n", "\nAll rights reserved\n")
+    assert licenses.scan_licences(plain([body])).first().license_id == "MIT"
+
+
+def test_full_licence_texts(plain):
+    import os
+
+    where = "/usr/share/common-licenses"
+    if not os.path.exists(f"{where}/GPL-3"):
+        pytest.skip("no licence texts on this machine")
+    texts = ["Copyright (C) 2001 Somebody\n\n" + open(f"{where}/{n}").read() for n in ("GPL-3", "LGPL-2.1", "MPL-2.0", "Apache-2.0")]
+    rows = {r.doc_id: r.license_id for r in licenses.scan_licences(plain([*texts, texts[0] + " one more", texts[1][:-200]])).collect()}
+    assert rows == {0: "GPL-3.0", 1: "LGPL-2.1", 2: "MPL-2.0", 3: "Apache-2.0", 4: None, 5: None}
+
+
+def test_licences_judge_rows_by_their_own_text(spark):
+    rows = [(None, "Released under the MIT License."), (None, "nothing here"), (1, "Released under the MIT License."), (1, "nothing"), (1, None)]
+    out = licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.has_license) for r in out) == [(0, False), (0, True), (1, False), (1, False), (1, True)]
+
+
 def test_digest_is_of_the_canonical_form(spark):
     df = spark.createDataFrame([("Copyright 2020 X\nAll Rights Reserved. Hello,   WORLD!",)], "t string")
     assert df.select(licenses.digest(F.col("t"))).first()[0] == hashlib.sha256(b"hello world").hexdigest()
