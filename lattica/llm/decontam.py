@@ -10,7 +10,7 @@ substitutions are, as the tests check exhaustively.
 The benchmark is taken in blocks of bounded size. A block's index is broadcast, so that documents are never shuffled;
 more blocks mean more passes, not more memory.
 
-Defined results: null or empty texts, and items of fewer than MIN_TOKENS tokens, match nothing; items that repeat are
+Defined results: null or empty texts, and items without tokens, match nothing; items that repeat are
 reported under each of their ids; repeated rows are judged one by one. An empty benchmark leaves every document clean.
 """
 
@@ -32,6 +32,8 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
 WINDOW, PERCENT, MIN_TOKENS = 20, 80, 10
 #: Characters of benchmark text whose index is broadcast at once.
 BLOCK_CHARS = 8_000_000
+#: Hits of seeds that are spread out over items at once.
+HITS = 1_000_000
 _FILTER_BITS = 20
 
 
@@ -54,10 +56,13 @@ class Index:
         w = Words(pa.array(texts, pa.string()), lower=True, marks=True)
         self.ids, self.words, self.first = ids, w.hashes, w.first
         hashes, items, places = [], [], []
-        for number, mask in enumerate(MASKS):
+        short = {int(n) for n in w.counts() if 0 < n < MIN_TOKENS}
+        #: (mask, number) of all seeds, and of the short items' the number of their tokens
+        self.masks = [(m, n, 0) for n, m in enumerate(MASKS)] + [(tuple(range(n)), len(MASKS) + n, n) for n in sorted(short)]
+        for mask, number, tokens in self.masks:
             for i in range(len(ids)):
                 own = w.hashes[w.first[i] : w.first[i + 1]]
-                if len(own) >= MIN_TOKENS:
+                if len(own) == tokens if tokens else len(own) >= MIN_TOKENS:
                     hashes.append(h := _seeds(own, mask, number))
                     items.append(np.full(len(h), i))
                     places.append(np.arange(len(h)))
@@ -72,19 +77,25 @@ class Index:
     def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, tokens, matches) of each item's overlap: the aligned tokens that matching windows cover."""
         w = Words(texts, lower=True, marks=True)
-        hits = []
-        for number, mask in enumerate(MASKS):
+        hits = [np.zeros((0, 3), np.int64)]
+        for mask, number, _ in self.masks:
             h = _seeds(w.hashes, mask, number)
-            at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
-            lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            n = hi - lo
-            at = np.repeat(at, n)
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            doc = np.searchsorted(w.first, at, "right") - 1
-            whole = at + max(mask) < w.first[doc + 1]
-            hits.append(np.stack([doc, self.items[k], at - w.first[doc] - self.places[k]], axis=1)[whole])
+            near = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
+            doc = np.searchsorted(w.first, near, "right") - 1
+            whole = near + max(mask) < w.first[doc + 1]
+            near, doc = near[whole], doc[whole]
+            low, high = np.searchsorted(self.hashes, h[near], "left"), np.searchsorted(self.hashes, h[near], "right")
+            upto = np.cumsum(high - low)
+            # a seed that many items have may make many hits of each place: taken in bounded runs
+            for run in range(0, int(upto[-1]) if len(upto) else 0, HITS):
+                a, b = np.searchsorted(upto, (run, run + HITS), "right")
+                part = slice(a, b + 1)
+                n = (high - low)[part]
+                k = np.repeat(low[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                d = np.repeat(doc[part], n)
+                hits = [np.unique(np.concatenate([*hits, np.stack([d, self.items[k], np.repeat(near[part], n) - w.first[d] - self.places[k]], axis=1)]), axis=0)]
         out = []
-        for doc, item, shift in np.unique(np.concatenate(hits), axis=0).tolist() if sum(map(len, hits)) else ():
+        for doc, item, shift in hits[0].tolist():
             a = w.hashes[w.first[doc] : w.first[doc + 1]]
             b = self.words[self.first[item] : self.first[item + 1]]
             size = min(WINDOW, len(b))
@@ -92,7 +103,8 @@ class Index:
             if hi - lo < size:
                 continue
             same = np.concatenate([[0], np.cumsum(a[lo:hi] == b[lo - shift : hi - shift])])
-            good = np.flatnonzero(100 * (same[size:] - same[:-size]) >= PERCENT * size)
+            percent = PERCENT if len(b) >= MIN_TOKENS else 100
+            good = np.flatnonzero(100 * (same[size:] - same[:-size]) >= percent * size)
             if len(good):
                 first, last = int(good[0]), int(good[-1]) + size
                 out.append((doc, item, lo + first, last - first, int(same[last] - same[first])))

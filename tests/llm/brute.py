@@ -72,17 +72,18 @@ def tokens(text):
 
 
 def contaminated(text, items, window=20, percent=80, least=10):
-    """ids of the items that overlap a text on some diagonal: matches along all diagonals, summed over each window."""
+    """ids of the items that overlap a text on some diagonal: matches along all diagonals, summed over each window; items of
+    fewer than `least` tokens have to match in all."""
     a, out = np.array([hash(t) for t in tokens(text)], np.int64), set()
     for item, t in items:
         b = [hash(x) for x in tokens(t)]
         size, n, m = min(window, len(b)), len(a), len(b)
-        if m < least or n < size:
+        if not m or n < size:
             continue
         upto = np.zeros((m + 1, n + 1), np.int32)
         for j in range(m):
             upto[j + 1, 1:] = upto[j, :-1] + (a == b[j])
-        if (100 * (upto[size:, size:] - upto[: m + 1 - size, : n + 1 - size]) >= percent * size).any():
+        if (100 * (upto[size:, size:] - upto[: m + 1 - size, : n + 1 - size]) >= (percent if m >= least else 100) * size).any():
             out.add(item)
     return out
 

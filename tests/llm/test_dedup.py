@@ -241,10 +241,10 @@ def test_masks_hit_every_tolerated_overlap():
 
 def test_decontamination_by_brute_force(spark, plain):
     rng = random.Random(8)
-    items = [(i, _text(rng, n)) for i, n in enumerate((9, 10, 14, 20, 35, 60))] + [(6, None), (7, "")]
+    items = [(i, _text(rng, n)) for i, n in enumerate((9, 10, 14, 20, 35, 60, 1, 3, 5))] + [(9, None), (10, "")]
     docs = {}
     for i in range(80):
-        _, t = items[rng.randrange(6)]
+        _, t = items[rng.randrange(9)]
         docs[i] = f"{_text(rng, rng.randrange(15))}, {_noisy(rng, t, rng.choice((0, 0.1, 0.2, 0.3)))}! {_text(rng, rng.randrange(15))}"
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: set(r.item_ids) for r in decontam.decontamination_report(plain(docs), benchmark).collect()}
@@ -259,6 +259,15 @@ def test_decontamination_of_the_table_by_brute_force(spark):
     assert got == want and any(want.values())
 
 
+def test_a_seed_that_many_items_share(spark, plain, monkeypatch):
+    monkeypatch.setattr(decontam, "HITS", 50)
+    phrase = "one stock phrase that every item of this benchmark begins with in its first line"
+    index = decontam.Index(list(range(40)), [f"{phrase} {i}" for i in range(40)])
+    import pyarrow as pa
+
+    assert {x[1] for x in index.overlaps(pa.array([f"a text, {phrase} and more"]))} == set(range(40))
+
+
 def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(str, decontam.decontamination_report(docs, benchmark).collect()))
