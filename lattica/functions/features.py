@@ -46,7 +46,7 @@ def scaled_rgb(df: DataFrame, cols=("r", "g", "b")) -> DataFrame:
 def min_max_normalized(df: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
     """Each column stretched to 0..1; what can't be is 0."""
     box = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    out = df.join(F.broadcast(box), list(keys)) if keys else df.crossJoin(F.broadcast(box))
+    out = df.join(box, list(keys)) if keys else df.crossJoin(F.broadcast(box))
     for c in cols:
         span = F.col(f"_hi{c}") - F.col(f"_lo{c}")
         out = out.withColumn(c, F.when(span > 0, (F.col(c) - F.col(f"_lo{c}")) / span).otherwise(F.lit(0.0)))

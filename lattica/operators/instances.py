@@ -109,7 +109,7 @@ def merge_stuff(points: DataFrame, stuff: list[int], classes: int, keys: list[st
     """Labels outside 0..C-1 become C; all points of a stuff or void class get the smallest object id among them."""
     out = points.withColumn("y", F.when(_void(F.col("y"), classes), F.lit(classes)).otherwise(F.col("y")))
     low = out.where(F.col("y").isin([*stuff, classes])).groupBy(*keys, "y").agg(F.min("obj").alias("_obj"))
-    return out.join(F.broadcast(low), [*keys, "y"], "left").withColumn("obj", F.coalesce("_obj", "obj")).drop("_obj")
+    return out.join(low, [*keys, "y"], "left").withColumn("obj", F.coalesce("_obj", "obj")).drop("_obj")
 
 
 def clusters_summary(table: DataFrame) -> DataFrame:

@@ -51,33 +51,46 @@ def semantic_metrics(matrix: DataFrame, classes: int, missing_as_one: bool = Fal
     )
 
 
-def panoptic_quality(table: DataFrame, classes: int, stuff: list[int] = ()) -> DataFrame:
-    """(class, tp, fp, fn, sq, rq, pq, pq_modified) from overlaps with a predicted label pred_y per cluster.
+def panoptic_quality(table: DataFrame, classes: int, stuff: list[int] = (), keys: list[str] = ()) -> DataFrame:
+    """(keys, class, tp, fp, fn, sq, rq, pq, pq_modified) from overlaps with a predicted label pred_y per cluster.
+
+    With keys, such as the fold that a cluster is from, each of their values is scored by itself.
 
     A pair of equal labels with an IoU above one half is a true positive; it is unique for both sides. For stuff the
     modified quality sums any IoU over the number of targets.
     """
     table = written(table)
     clean = written(remove_void(table, classes))
-    pred = table.select("cluster", "pred_y").distinct()
+    keys = list(keys)
+    pred = table.select("cluster", "pred_y", *keys).distinct()
     pairs = pair_iou(clean).join(pred, "cluster").withColumn("match", (F.col("y") == F.col("pred_y")))
     hit = F.col("match") & (F.col("iou") > 0.5)
-    n_pred = pairs.select("cluster", "pred_y").distinct().groupBy(F.col("pred_y").alias("class")).agg(F.count(F.lit(1)).alias("n_pred"))
-    n_target = pairs.select("obj", "y").distinct().groupBy(F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("n_target"))
-    hits = pairs.where("match").groupBy(F.col("y").alias("class")).agg(
+    n_pred = pairs.select("cluster", "pred_y", *keys).distinct().groupBy(*keys, F.col("pred_y").alias("class")).agg(F.count(F.lit(1)).alias("n_pred"))
+    n_target = pairs.select("obj", "y", *keys).distinct().groupBy(*keys, F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("n_target"))
+    hits = pairs.where("match").groupBy(*keys, F.col("y").alias("class")).agg(
         F.count_if(hit).alias("tp"), F.sum(F.when(hit, F.col("iou")).otherwise(0.0)).alias("iou_sum"), F.sum("iou").alias("any_iou")
     )
-    out = n_pred.join(n_target, "class", "full").join(hits, "class", "left")
+    out = n_pred.join(n_target, [*keys, "class"], "full").join(hits, [*keys, "class"], "left")
     n0 = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = out.select("class", n0("n_pred").alias("n_pred"), n0("n_target").alias("n_target"), n0("tp").alias("tp"), n0("iou_sum").alias("iou_sum"), n0("any_iou").alias("any_iou"))
+    out = out.select(*keys, "class", n0("n_pred").alias("n_pred"), n0("n_target").alias("n_target"), n0("tp").alias("tp"), n0("iou_sum").alias("iou_sum"), n0("any_iou").alias("any_iou"))
     sq = F.when(F.col("tp") > 0, F.col("iou_sum") / F.col("tp")).otherwise(F.lit(0.0))
     rq = 2 * F.col("tp") / (F.col("n_pred") + F.col("n_target"))
     modified = F.when(F.col("class").isin(list(stuff)), F.col("any_iou") / F.greatest(F.col("n_target"), F.lit(1))).otherwise(sq * rq)
     return out.select(
-        "class", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_target") - F.col("tp")).alias("fn"), sq.alias("sq"), rq.alias("rq"), (sq * rq).alias("pq"), modified.alias("pq_modified")
+        *keys, "class", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_target") - F.col("tp")).alias("fn"), sq.alias("sq"), rq.alias("rq"), (sq * rq).alias("pq"), modified.alias("pq_modified")
     )
 
 
+def purity(hist: DataFrame, cluster: str = "cluster", keys: list[str] = ()) -> DataFrame:
+    """(keys, purity, n, clusters): the share of points, in percent, whose label is the dominant one of their cluster.
+
+    hist: (keys, cluster, label, n). Folds are keys; without keys all folds count together.
+    """
+    keys = list(keys)
+    each = hist.groupBy(*keys, cluster).agg(F.max("n").alias("_top"), F.sum("n").alias("_all"))
+    return each.groupBy(*keys).agg((100 * F.sum("_top") / F.sum("_all")).alias("purity"), F.sum("_all").alias("n"), F.count(F.lit(1)).alias("clusters"))
+
+
 def average_precision(table: DataFrame, classes: int, thresholds=COCO_THRESHOLDS) -> DataFrame:
     """(class, threshold, n_target, ap, recall) from overlaps with pred_y and score per cluster; thresholds of 0.5 or more.
 

@@ -81,7 +81,7 @@ def group_norm(df: DataFrame, x: str, groups: int, by: str = "graph", eps: float
     s = rows.groupBy(by, "_g").agg(F.avg("_v").alias("_m"), F.var_pop("_v").alias("_var"))
     s = s.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_g", "_m", "_var"))).alias("_s"))
     at = lambda i: F.get("_s", F.floor(i * groups / F.size(x)).cast("int"))
-    return df.join(F.broadcast(s), by).withColumn(x, F.transform(x, lambda v, i: (v - at(i)["_m"]) / F.sqrt(at(i)["_var"] + eps))).drop("_s")
+    return df.join(s, by).withColumn(x, F.transform(x, lambda v, i: (v - at(i)["_m"]) / F.sqrt(at(i)["_var"] + eps))).drop("_s")
 
 
 def batch_norm(df: DataFrame, cols: list[str], eps: float = 1e-5) -> DataFrame:

@@ -14,26 +14,41 @@ from ..storage import written
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = -1) -> DataFrame:
     """(id, label): weakly connected components by the largest id; after `rounds` hops, if that is not negative.
 
-    Without a bound, labels also jump to their label's label each round, so that long chains need few rounds.
+    Without a bound, edges are turned into stars by large-star and small-star steps in turn, until each component is one
+    star around its largest id. No step joins on labels, so a giant component is no hot key of a join.
     """
-    both = edges.select("s", "t").union(edges.select("t", "s")).where("s <> t").distinct()
+    if rounds < 0:
+        return nodes.select("id").join(_stars(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    both = written(edges.select("s", "t").union(edges.select("t", "s")).where("s <> t").distinct())
     labels = nodes.select("id", F.col("id").alias("label"))
-    k = 0
-    while rounds < 0 or k < rounds:
+    for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("id", "t"), "t").groupBy(F.col("s").alias("id")).agg(F.max("label").alias("_m"))
-        new = labels.join(around, "id", "left").select("id", "label", F.greatest("label", F.coalesce("_m", "label")).alias("now"))
-        if rounds < 0:
-            up = new.select(F.col("id").alias("now"), F.col("now").alias("_up"))
-            new = new.join(up, "now", "left").select("id", "label", F.greatest("now", "_up").alias("now"))
-        new = written(new)
+        new = written(labels.join(around, "id", "left").select("id", "label", F.greatest("label", F.coalesce("_m", "label")).alias("now")))
         changed = new.where("now <> label").limit(1).count()
         labels = new.select("id", F.col("now").alias("label"))
-        k += 1
         if not changed:
             break
     return labels
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """(id, label) of the nodes that an edge joins to a larger one of their component."""
+    now = written(edges.where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct())
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    before, seen = None, mark(now)
+    while seen[0] and seen != before:
+        # each node's smaller neighbours are hung to its largest one, itself included
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        top = both.groupBy("a").agg(F.max("b").alias("m")).select("a", F.greatest("a", "m").alias("m"))
+        large = both.join(top, "a").where("b < a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # each node's larger neighbours, and itself, to the largest of these
+        top = large.groupBy("a").agg(F.max("b").alias("m"))
+        hung = large.join(top, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(hung.union(top.select("a", F.col("m").alias("b"))).distinct())
+        before, seen = seen, mark(now)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("label"))
+
+
 def edge_weights(lengths: DataFrame, mode: str = "unit", d_0: float | None = None, affinity: str | None = None) -> DataFrame:
     """`lengths` (s, t, d) with w by one of the modes unit, inverse, exp, affinity; d_0 is the mean length if not given."""
     if mode == "unit":
@@ -187,7 +202,7 @@ def instance_weights(edges: DataFrame, eps: float = 1e-3) -> DataFrame:
 def stuff_merged(nodes: DataFrame, stuff: list[int], keys: list[str] = ()) -> DataFrame:
     """`nodes` (label, y) where all nodes of a stuff class share one label per key: the least of them."""
     low = nodes.where(F.col("y").isin(stuff)).groupBy(*keys, "y").agg(F.min("label").alias("_l"))
-    return nodes.join(F.broadcast(low), [*keys, "y"], "left").withColumn("label", F.coalesce("_l", "label")).drop("_l")
+    return nodes.join(low, [*keys, "y"], "left").withColumn("label", F.coalesce("_l", "label")).drop("_l")
 
 
 def sweep(settings: DataFrame, metric: str, maximize: bool = True) -> DataFrame:

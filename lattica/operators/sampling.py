@@ -109,10 +109,13 @@ def recursive_tile(points: DataFrame, path: int, steps: int) -> DataFrame:
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(id): the nodes that undirected edges reach from the seeds (id) in at most `hops` steps."""
-    both = edges.select("s", "t").union(edges.select("t", "s")).distinct()
-    seen = seeds.select("id").distinct()
+    both = written(edges.select("s", "t").union(edges.select("t", "s")).distinct())
+    seen = newest = written(seeds.select("id").distinct())
     for _ in range(hops):
-        seen = seen.union(both.join(seen.withColumnRenamed("id", "s"), "s", "left_semi").select(F.col("t").alias("id"))).distinct()
+        # only the newest nodes are followed, and each hop is written, so that the plan doesn't grow with the hops
+        ahead = both.join(newest.withColumnRenamed("id", "s"), "s", "left_semi").select(F.col("t").alias("id")).distinct()
+        newest = written(ahead.join(seen, "id", "left_anti"))
+        seen = seen.union(newest)
     return seen
 
 

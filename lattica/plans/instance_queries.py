@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, instances, metrics, voxels
+from ..sources import catalog
 from .fixtures import CLASSES, overlap_table, points, predicted, query, segment_edges, segment_nodes, segments
 
 _CONF = """WITH h AS (SELECT cx, cy, cz, lab, count(*) AS n FROM vox GROUP BY ALL),
@@ -41,6 +42,22 @@ def fold_rollup(spark, d):
     return metrics.semantic_metrics(metrics.confusion_matrix(rows, CLASSES, keys=["fold"]), CLASSES, keys=["fold"]).select("fold", "oa")
 
 
+@query("SELECT fold, round(100 * sum(top) / sum(n), 6) AS purity, CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters FROM (SELECT fold, obj, max(n) AS top, sum(n) AS n FROM (SELECT pid % 6 AS fold, obj, lab, count(*) AS n FROM pts GROUP BY ALL) GROUP BY ALL) GROUP BY 1")
+def purity_folds(spark, d):
+    hist = points(spark, d).select(F.pmod("pid", F.lit(6)).alias("fold"), "obj", "lab").groupBy("fold", "obj", "lab").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.purity(hist, "obj", ["fold"])
+
+
+@query("SELECT label, name, kind FROM (VALUES (0, 'Ground', 'stuff'), (1, 'Vegetation', 'stuff'), (2, 'Cars', 'thing'), (3, 'Trucks', 'thing'), (4, 'Power lines', 'thing'), (5, 'Fences', 'thing'), (6, 'Poles', 'thing'), (7, 'Buildings', 'thing'), (8, 'void', 'void')) t(label, name, kind)")
+def aerial_classes(spark, d):
+    return catalog.DALES.classes(spark)
+
+
+@query("SELECT pid, CASE pid % 45 WHEN 7 THEN 0 WHEN 8 THEN 1 WHEN 11 THEN 2 WHEN 12 THEN 3 WHEN 13 THEN 4 WHEN 17 THEN 5 WHEN 19 THEN 6 WHEN 20 THEN 7 WHEN 21 THEN 8 WHEN 22 THEN 9 WHEN 24 THEN 10 WHEN 26 THEN 11 WHEN 27 THEN 12 WHEN 32 THEN 13 WHEN 33 THEN 14 WHEN 34 THEN 2 WHEN 35 THEN 4 WHEN 37 THEN 5 ELSE 15 END AS label FROM pts")
+def street_labels(spark, d):
+    return points(spark, d).select("pid", catalog.KITTI360.label(F.pmod("pid", F.lit(45))).alias("label"))
+
+
 @query("SELECT lab AS label, round(1 / (sqrt(n) + 1) / sum(1 / (sqrt(n) + 1)) OVER (), 6) AS weight FROM (SELECT lab, count(*) AS n FROM pts WHERE lab < 4 GROUP BY 1)")
 def class_weights(spark, d):
     return metrics.class_weights(points(spark, d), CLASSES, "lab")

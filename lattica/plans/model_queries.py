@@ -63,8 +63,8 @@ def attentive_pool(spark, d):
 
 
 @query(
-    """WITH h AS (SELECT pid, 0.5 * x / 100 - 1.0 * y / 500 + 0.1 AS a, 0.25 * x / 100 + 0.5 * y / 500 - 0.2 AS b FROM pts), r AS (SELECT pid, CASE WHEN a < 0 THEN 0.01 * a ELSE a END AS a, CASE WHEN b < 0 THEN 0.01 * b ELSE b END AS b FROM h)
-    SELECT pid, round(2 * a - b + 0.3, 6) AS out FROM r"""
+    """WITH h AS (SELECT pid, (x / 100) * 0.5::DOUBLE + (y / 500) * -1.0::DOUBLE + 0.1::DOUBLE AS a, (x / 100) * 0.25::DOUBLE + (y / 500) * 0.5::DOUBLE + -0.2::DOUBLE AS b FROM pts), r AS (SELECT pid, CASE WHEN a < 0 THEN a * 0.01::DOUBLE ELSE a END AS a, CASE WHEN b < 0 THEN b * 0.01::DOUBLE ELSE b END AS b FROM h)
+    SELECT pid, round(a * 2.0::DOUBLE + b * -1.0::DOUBLE + 0.3::DOUBLE, 6) AS out FROM r"""
 )
 def mlp(spark, d):
     rows = points(spark, d).select("pid", F.array(F.col("x") / 100, F.col("y") / 500).alias("f"))

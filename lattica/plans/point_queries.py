@@ -316,9 +316,9 @@ def id_checks(spark, d):
     return ragged.id_checks(points(spark, d), "obj")
 
 
-@query("SELECT obj, coalesce(bool_and(step >= 0), true) AS is_sorted FROM (SELECT obj, y - lag(y) OVER (PARTITION BY obj ORDER BY pid) AS step FROM pts WHERE pid % 50 = 0) GROUP BY 1")
+@query("SELECT obj, coalesce(bool_and(step >= 0), true) AS is_sorted FROM (SELECT obj, y - lag(y) OVER (PARTITION BY obj ORDER BY pid) AS step FROM pts) GROUP BY 1")
 def sorted_groups(spark, d):
-    return ragged.is_sorted(points(spark, d).where("pid % 50 = 0"), "pid", "y", ["obj"])
+    return ragged.is_sorted(points(spark, d), "pid", "y", ["obj"])
 
 
 @query(
@@ -550,27 +550,27 @@ def sample_segments_count(spark, d):
 
 
 @query(
-    """WITH und AS (SELECT s, t FROM adj UNION SELECT t, s FROM adj), h0 AS (SELECT pid AS id FROM pts WHERE pid % 500 = 0),
+    """WITH und AS (SELECT s, t FROM adj UNION SELECT t, s FROM adj), h0 AS (SELECT pid AS id FROM pts WHERE pid % 20 = 0),
     h1 AS (SELECT id FROM h0 UNION SELECT t FROM und WHERE s IN (SELECT id FROM h0)), h2 AS (SELECT id FROM h1 UNION SELECT t FROM und WHERE s IN (SELECT id FROM h1)) SELECT id FROM h2""",
     "adj",
 )
 def k_hop(spark, d):
-    return sampling.k_hop(nodes(spark, d).where("id % 500 = 0"), edges(spark, d), 2)
+    return sampling.k_hop(nodes(spark, d).where("id % 20 = 0"), edges(spark, d), 2)
 
 
 @query(
-    """SELECT i, j, round(d, 6) AS d FROM (SELECT a.pid AS i, b.pid AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM pts a, pts b WHERE a.pid % 500 = 0)
+    """SELECT i, j, round(d, 6) AS d FROM (SELECT a.pid AS i, b.pid AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM pts a, pts b WHERE a.pid % 20 = 0)
     WHERE d <= 20 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 6"""
 )
 def radius_crop(spark, d):
     p = points(spark, d)
-    return sampling.radius_crop(p, p.where("pid % 500 = 0"), 20.0, 6)
+    return sampling.radius_crop(p, p.where("pid % 20 = 0"), 20.0, 6)
 
 
-@query("SELECT a.pid AS i, b.pid AS j, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 6) AS d FROM pts a, pts b WHERE a.pid % 500 = 0 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 225")
+@query("SELECT a.pid AS i, b.pid AS j, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 6) AS d FROM pts a, pts b WHERE a.pid % 20 = 0 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 225")
 def cylinder_crop(spark, d):
     p = points(spark, d)
-    return sampling.radius_crop(p, p.where("pid % 500 = 0"), 15.0, cylinder=True)
+    return sampling.radius_crop(p, p.where("pid % 20 = 0"), 15.0, cylinder=True)
 
 
 @query(

@@ -64,7 +64,7 @@ def read_aerial_tiles(spark: SparkSession, path: str, remap: dict[int, int] | No
     """Tiles with intensity (clipped to 60000, then 0..1), sem_class and ins_class; positions relative to each tile's first point."""
     rows = read_ply(spark, path, {"x": "x", "y": "y", "z": "z", "intensity": "intensity", "y_raw": "sem_class", "obj": "ins_class"}, "testing")
     first = rows.where("row = 0").select("path", *[F.col(d).alias(f"offset_{d}") for d in "xyz"])
-    rows = rows.join(F.broadcast(first), "path").withColumns({d: F.col(d) - F.col(f"offset_{d}") for d in "xyz"})
+    rows = rows.join(first, "path").withColumns({d: F.col(d) - F.col(f"offset_{d}") for d in "xyz"})
     rows = rows.withColumn("intensity", F.greatest(F.lit(0.0), F.least(F.lit(60000.0), "intensity")) / 60000)
     return rows.withColumn("label", remapped(F.col("y_raw").cast("int"), remap)).drop("y_raw").withColumn("obj", F.col("obj").cast("long"))
 

@@ -239,3 +239,31 @@ def test_jitter_is_clipped(spark):
     _, df = cloud(spark, 100, 11)
     out = columns.jitter(df, ["x"], 1.0, 0.05).withColumnRenamed("x", "nx").join(df, "pid")
     assert out.agg(F.max(F.abs(F.col("nx") - F.col("x")))).first()[0] <= 0.05 + 1e-9
+
+
+def test_panoptic_quality_by_fold(spark):
+    rng = random.Random(11)
+    rows = [(0, c, o, rng.randrange(1, 30), o % 3, c % 3) for c in range(12) for o in range(12) if rng.random() < 0.2 or c == o]
+    both = [*rows, *[(1, c + 100, o + 100, n, y, p) for _, c, o, n, y, p in rows]]
+    kind = "fold int, cluster long, obj long, cnt long, y int, pred_y int"
+    one = metrics.panoptic_quality(spark.createDataFrame(rows, kind).drop("fold"), 3, [0]).collect()
+    two = metrics.panoptic_quality(spark.createDataFrame(both, kind), 3, [0], ["fold"]).collect()
+    assert len(one) == 3 and {tuple(r[1:]) for r in two} == set(map(tuple, one)) and len(two) == 6
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
+    ids = sorted({x for e in edges for x in e} | {9999})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r.id: r.label for r in partition.components(nodes, spark.createDataFrame(edges, "s long, t long")).collect()}
+    assert got == {i: 200 if i <= 200 else 1299 if 1000 <= i < 1300 else i for i in ids}
+
+
+def test_collections():
+    from lattica.sources import catalog
+
+    assert catalog.s3dis(5).cloud_ids("test") == ["Area_5"] and len(catalog.s3dis(5).cloud_ids("train")) == 5
+    assert catalog.s3dis(1, ("Area_1/a", "Area_2/a"), (0, 1, 2)).cloud_ids("test") == ["Area_1/a"]
+    assert catalog.KITTI360.things == [2, 11] and len(catalog.DALES.cloud_ids("trainval")) == 29
+    with pytest.raises(ValueError):
+        catalog.Collection("x", 1, (), {"train": ("a",), "val": ("a",)})
