@@ -36,6 +36,8 @@ from .hashing import Words, mix, rolling, slices
 WINDOW, GRAM = 20, 8
 #: Bytes of text whose windows a block of the index holds, about.
 BLOCK_BYTES = 24_000_000
+#: Bytes of text whose windows a task resolves among each other before it files the first of each.
+FILE_BYTES = 4_000_000
 #: One document in so many is looked at for frequent anchors; an anchor counts as such from this many windows there.
 SAMPLE, FREQUENT = 64, 400
 NULL_ID = -(1 << 63)
@@ -114,7 +116,7 @@ def _file(rows: DataFrame, blocks: int, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=FILE_BYTES):
             text, start, key, h = _windows(batch.column("text"))
             doc, th = (batch.column(c).to_numpy()[text] for c in ("id", "th"))
             if len(often):
