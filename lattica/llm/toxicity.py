@@ -143,7 +143,7 @@ def _fit(rows: np.ndarray, features: np.ndarray, before: np.ndarray, y: np.ndarr
         s, rr = r.copy(), r @ r
         if rr < 1e-12:
             break
-        for _ in range(60):
+        for _ in range(30):
             hs = back(d * forth(s)) + ridge * s
             if s @ hs <= 0:
                 break
@@ -151,7 +151,7 @@ def _fit(rows: np.ndarray, features: np.ndarray, before: np.ndarray, y: np.ndarr
             step += a * s
             r = r - a * hs
             rr, old = r @ r, rr
-            if rr < 1e-4 * (g @ g):
+            if rr < 1e-2 * (g @ g):
                 break
             s = r + rr / old * s
         # a whole step may lead too far where the classes are all but separated
