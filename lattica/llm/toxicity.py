@@ -9,7 +9,7 @@ white space separates; a feature is that one of these occurs once or more, twice
 are chosen by chi-square against each category, counted by Spark over the sample, and for each fold's model anew without
 the rows of that fold. Positive and negative rows weigh alike, as positive ones are few. Training takes at most SAMPLE_DOCS
 labelled documents (about, drawn by a hash of the id); their chosen features are gathered on the driver, where the
-regressions take some seconds. Every text is scored whole.
+regressions take a minute or two. Every text is scored whole.
 
 Defined results: null and empty texts have no features and get each model's base rate; labels that are null are left out
 of their category's training; an id that is labelled twice is positive if any of its labels is; with no labelled rows of
