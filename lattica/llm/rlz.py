@@ -6,7 +6,9 @@ itself, is indexed in blocks, and every document is matched against every block
 
 1. Each window of WINDOW words has an anchor, the least hash among its GRAM-word grams. Equal windows have equal anchors,
    so the anchor's hash names the block of the index that windows are filed in. Neighbouring windows mostly share an
-   anchor and travel as one run; windows that a task meets twice are resolved there, and only the first is filed.
+   anchor and travel as one run. Windows that occur twice in a slice of a task's text are resolved there and only the
+   first is filed; the task remembers it for its next slices, so that a window of very many documents is filed about
+   once a task. Any earlier occurrence will do as a pointer, so what a task forgets changes no result.
 2. A block sorts its windows and gives each later occurrence a pointer to the first one, in runs again.
 3. A document's runs are parsed: a factor goes on while its windows point to consecutive places of one source; where that
    ends, the windows across the boundary begin factors of their own, which may overlap the last, so that no window that
@@ -36,8 +38,8 @@ from .hashing import Words, mix, rolling, slices
 WINDOW, GRAM = 20, 8
 #: Bytes of text whose windows a block of the index holds, about.
 BLOCK_BYTES = 24_000_000
-#: Bytes of text whose windows a task resolves among each other before it files the first of each.
-FILE_BYTES = 4_000_000
+#: Windows met more than once that a task goes on knowing, the latest met; one it forgets is filed again.
+KNOWN = 100_000
 #: One document in so many is looked at for frequent anchors; an anchor counts as such from this many windows there.
 SAMPLE, FREQUENT = 64, 400
 NULL_ID = -(1 << 63)
@@ -116,17 +118,28 @@ def _file(rows: DataFrame, blocks: int, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for batch in slices(batches, most=FILE_BYTES):
+        # (key, hash, doc, th, start) of windows that are filed already
+        known = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int32)]
+        for batch in slices(batches):
             text, start, key, h = _windows(batch.column("text"))
             doc, th = (batch.column(c).to_numpy()[text] for c in ("id", "th"))
             if len(often):
                 k = np.minimum(np.searchsorted(often, key), len(often) - 1)
                 key = np.where(often[k] == key, mix(h), key)
             h = h >> np.uint64(16)
-            later, first = _resolve(key, h, doc, th, start)
-            done = _pointed(later, first, doc, th, start)
+            n_known = len(known[0])
+            both = [np.concatenate(x) for x in zip(known, (key, h, doc, th, start))]
+            later, first = _resolve(*both)
+            # a known window that turns out later is resolved in its block, where it is filed
+            own = later >= n_known
+            done = _pointed(later[own], first[own], *both[2:])
             left = np.ones(len(h), bool)
-            left[later] = False
+            left[later[own] - n_known] = False
+            met = np.unique(first)
+            idle = np.ones(n_known, bool)
+            idle[met[met < n_known]] = False
+            idle[later[~own]] = False
+            known = [np.concatenate([x[:n_known][idle], x[met]])[-KNOWN:] for x in both]
             text, start, key, h, doc, th = text[left], start[left], key[left], h[left], doc[left], th[left]
             new = np.ones(len(h), bool)
             new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)

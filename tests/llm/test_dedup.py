@@ -1,5 +1,6 @@
 """Substring, suffix-array and near dedup; decontamination; packing; the pipeline."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -57,6 +58,17 @@ def test_rlz_with_frequent_anchors_filed_alone(plain, monkeypatch):
     assert _rlz(plain(docs)) == _rlz_brute(docs)
 
 
+@pytest.mark.parametrize("known", [1, 30, 100_000])
+def test_rlz_over_many_slices_of_a_task(plain, monkeypatch, known):
+    rng = random.Random(known)
+    passages = [_text(rng, n) for n in (20, 33, 60)]
+    ids = rng.sample(range(1000), 120)  # in no order, so that windows which are known turn out later
+    docs = {i: " ".join(rng.choice(passages) if rng.random() < 0.6 else _text(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(5))) for i in ids}
+    monkeypatch.setattr(rlz, "KNOWN", known)
+    monkeypatch.setattr(rlz, "slices", functools.partial(hashing.slices, most=1500))
+    assert _rlz(plain(docs).coalesce(1)) == _rlz_brute(docs)
+
+
 def test_rlz_factors_name_their_source(plain):
     rng = random.Random(4)
     a, b = _text(rng, 40), _text(rng, 40)
