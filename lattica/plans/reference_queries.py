@@ -1,9 +1,9 @@
 """Queries over the driver's tables, one or more for each operator of the library."""
 
-from . import graph_queries, instance_queries, model_queries, point_queries
+from . import graph_queries, instance_queries, model_queries, network_queries, point_queries
 from .fixtures import QUERIES, SQL
 
-__all__ = ["graph_queries", "instance_queries", "model_queries", "oracle_sql", "point_queries", "queries"]
+__all__ = ["graph_queries", "instance_queries", "model_queries", "network_queries", "oracle_sql", "point_queries", "queries"]
 
 
 def queries() -> dict:
