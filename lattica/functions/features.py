@@ -35,7 +35,7 @@ def rgb2lab(r: Column, g: Column, b: Column) -> list[Column]:
 
 def scaled_rgb(df: DataFrame, cols=("r", "g", "b")) -> DataFrame:
     """Colours in 0..1: divided by 255 if any is above 1, then clamped."""
-    top = F.broadcast(df.agg(F.max(F.greatest(*cols)).alias("_top")))
+    top = F.broadcast(df.agg(F.max(F.array_max(F.array(*cols))).alias("_top")))
     out = df.crossJoin(top)
     for c in cols:
         v = F.when(F.col("_top") > 1, F.col(c) / 255.0).otherwise(F.col(c).cast("double"))
@@ -43,6 +43,43 @@ def scaled_rgb(df: DataFrame, cols=("r", "g", "b")) -> DataFrame:
     return out.drop("_top")
 
 
+def byte_rgb(df: DataFrame, cols=("r", "g", "b")) -> DataFrame:
+    """Colours as whole numbers of 0..255: times 255 if none is above 1, then clamped and cut."""
+    top = F.broadcast(df.agg(F.max(F.array_max(F.array(*cols))).alias("_top")))
+    out = df.crossJoin(top)
+    for c in cols:
+        v = F.when(F.col("_top") <= 1, F.col(c) * 255.0).otherwise(F.col(c).cast("double"))
+        out = out.withColumn(c, F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)).cast("int"))
+    return out.drop("_top")
+
+
+def plot_colour(r: Column, g: Column, b: Column, alpha: Column | None = None) -> Column:
+    """`rgb(...)` or `rgba(...)` for plots, of colours in 0..1; each is cut to a whole number of 0..255."""
+    whole = [(c * 255).cast("int") for c in (r, g, b)]
+    return F.format_string("rgb(%d,%d,%d)", *whole) if alpha is None else F.format_string("rgba(%d,%d,%d,%.2f)", *whole, alpha)
+
+
+def float_pair(c: Column) -> tuple[Column, Column]:
+    """A double as two floats: the nearest one, and what is left."""
+    high = c.cast("float")
+    return high, (c - high.cast("double")).cast("float")
+
+
+def from_float_pair(high: Column, low: Column) -> Column:
+    return high.cast("double") + low.cast("double")
+
+
+def simplex_projection(x: Column, width: int, dim: int = 3) -> Column:
+    """The first `dim` coordinates of a feature array in an orthonormal base of the plane in which all features count alike.
+
+    Axis i weighs features 0..i-1 against feature i, so the base doesn't depend on the data; the simplex's centre drops out.
+    """
+    from .expr import dot
+
+    axes = [[1 / math.sqrt(i * (i + 1))] * i + [-i / math.sqrt(i * (i + 1))] + [0.0] * (width - i - 1) for i in range(1, dim + 1)]
+    return F.array(*[dot(x, F.array(*[F.lit(v) for v in axis])) for axis in axes])
+
+
 def min_max_normalized(df: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
     """Each column stretched to 0..1; what can't be is 0."""
     box = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
@@ -232,6 +269,11 @@ def near_global_min(df: DataFrame, threshold: float) -> DataFrame:
     return df.crossJoin(low).where(F.col("z") - F.col("_low") < threshold).drop("_low")
 
 
+def low_verticality(df: DataFrame, threshold: float, verticality: str = "verticality") -> DataFrame:
+    """The points on surfaces that are flat enough to be ground; a null verticality isn't."""
+    return df.where(F.col(verticality) < threshold)
+
+
 def local_z_min(df: DataFrame, grid: float) -> DataFrame:
     """The lowest point of each XY cell (ties: smallest pid)."""
     cells = [(F.col(d) / grid).cast("long").alias(f"c{d}") for d in "xy"]

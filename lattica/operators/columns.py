@@ -85,6 +85,14 @@ def jitter(df: DataFrame, columns: list[str], sigma: float = 0.01, trunc: float
     return df
 
 
+def norm_index(df: DataFrame, mode: str = "graph", id: str = "id", graph: str = "batch", parent: str = "super_index") -> DataFrame:
+    """`df` with norm_index, what features are normalised by: the graph, the node itself, or its segment in its graph."""
+    if mode == "segment":
+        n = F.broadcast(df.agg((F.max(graph) + 1).alias("_n")))
+        return df.crossJoin(n).withColumn("norm_index", F.col(parent) * F.col("_n") + F.col(graph)).drop("_n")
+    return df.withColumn("norm_index", F.col({"graph": graph, "node": id}[mode]))
+
+
 def tables_equal(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows, repeats counted, whatever their order."""
     if set(a.columns) != set(b.columns):

@@ -95,6 +95,27 @@ def edge_affinity(edges: DataFrame, table: DataFrame, smooth: bool = True, class
     return e.select("s", "t", (0.5 * (F.coalesce("s_part", F.lit(0.0)) + F.coalesce("t_part", F.lit(0.0)))).alias("affinity"))
 
 
+def void_edges(edges: DataFrame, void: DataFrame) -> DataFrame:
+    """`edges` with `void`: whether both ends are. void: (id, void); nodes that it lacks aren't void."""
+    e = edges
+    for end in ("s", "t"):
+        e = e.join(void.select(F.col("id").alias(end), F.col("void").alias(f"_{end}")), end, "left")
+    return e.withColumn("void", F.coalesce("_s", F.lit(False)) & F.coalesce("_t", F.lit(False))).drop("_s", "_t")
+
+
+def sanitized_affinities(edges: DataFrame, table: DataFrame, classes: int, smooth: bool = True) -> DataFrame:
+    """(s, t, affinity, same_class, same_obj) of the edges that don't link two void clusters, for the affinity loss.
+
+    A cluster is void where more than half of its points are; class and object are those of its major overlap.
+    """
+    void = table.groupBy(F.col("cluster").alias("id")).agg((F.sum(F.when(_void(F.col("y"), classes), F.col("cnt")).otherwise(0)) * 2 > F.sum("cnt")).alias("void"))
+    e = edge_affinity(void_edges(edges.select("s", "t"), void).where("not void"), table, smooth)
+    m = major(table)
+    for end in ("s", "t"):
+        e = e.join(m.select(F.col("cluster").alias(end), F.col("obj").alias(f"_o{end}"), F.col("y").alias(f"_y{end}")), end)
+    return e.select("s", "t", "affinity", (F.col("_ys") == F.col("_yt")).alias("same_class"), (F.col("_os") == F.col("_ot")).alias("same_obj"))
+
+
 def oracle_clusters(table: DataFrame, classes: int) -> DataFrame:
     """(cluster, obj, cnt, y, pred_y, score): clusters with one major object become one prediction, scored by its IoU."""
     table = written(table)

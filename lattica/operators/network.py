@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import argmax, softmax
 from ..storage import written
 from . import nn
 
@@ -109,5 +110,4 @@ def unet(nodes: list[DataFrame], edges: list[DataFrame | None], first: Stage, do
 def classify(nodes: DataFrame, head: Linear) -> DataFrame:
     """(id, label, score): the class of the largest logit (ties: the first) and its share in the softmax."""
     rows = nodes.select("id", nn.linear(F.col("x"), *head).alias("_l"))
-    p = nn.softmax(F.col("_l"))
-    return rows.select("id", (F.array_position("_l", F.array_max("_l")) - 1).cast("int").alias("label"), F.array_max(p).alias("score"))
+    return rows.select("id", argmax(F.col("_l")).alias("label"), F.array_max(softmax(F.col("_l"))).alias("score"))

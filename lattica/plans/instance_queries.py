@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, instances, metrics, voxels
+from ..operators import graph, hierarchy, instances, metrics, voxels
 from ..sources import catalog
 from .fixtures import CLASSES, overlap_table, points, predicted, query, segment_edges, segment_nodes, segments
 
@@ -73,6 +73,16 @@ def weighted_error_l2(spark, d):
     return metrics.weighted_error(points(spark, d), ["x", "y"], ["z", "r"], 2).select(F.round("error", 4).alias("error"))
 
 
+@query("SELECT round(avg(abs(x - z) + abs(y - r)), 4) AS error FROM pts")
+def error_l1(spark, d):
+    return metrics.weighted_error(points(spark, d), ["x", "y"], ["z", "r"], 1).select(F.round("error", 4).alias("error"))
+
+
+@query("SELECT round(sum((1 + lab) * ((x - z) * (x - z) + (y - r) * (y - r))) / sum(1 + lab), 4) AS error FROM pts")
+def error_l2_by_label(spark, d):
+    return metrics.weighted_error(points(spark, d).withColumn("w", F.col("lab") + 1), ["x", "y"], ["z", "r"], 2, "w").select(F.round("error", 4).alias("error"))
+
+
 # --- overlaps
 
 
@@ -151,6 +161,25 @@ def edge_affinity_hard(spark, d):
     return instances.edge_affinity(segment_edges(spark, d), overlap_table(spark, d), smooth=False)
 
 
+_VOID = "v AS (SELECT cluster AS id, 2 * sum(CASE WHEN y >= 4 THEN cnt ELSE 0 END) > sum(cnt) AS void FROM ov GROUP BY 1)"
+
+
+@query(f"WITH {_VOID} SELECT s, t, a.void AND b.void AS void FROM sedge JOIN v a ON a.id = s JOIN v b ON b.id = t", "ov sedge")
+def void_edges(spark, d):
+    hist = instances.target_histogram(overlap_table(spark, d), CLASSES)
+    void = hierarchy.void_nodes(hist, ["cluster"], CLASSES).withColumnRenamed("cluster", "id")
+    return instances.void_edges(segment_edges(spark, d).select("s", "t"), void)
+
+
+@query(
+    f"""WITH {_PART}, {_VOID}, e AS (SELECT s, t, a.obj AS so, b.obj AS bo, a.y AS sy, b.y AS ty FROM sedge JOIN maj a ON a.cluster = s JOIN maj b ON b.cluster = t JOIN v m ON m.id = s JOIN v n ON n.id = t WHERE NOT (m.void AND n.void))
+    SELECT s, t, round(0.5 * (coalesce(u.part, 0) + coalesce(w.part, 0)), 6) AS affinity, sy = ty AS same_class, so = bo AS same_obj FROM e LEFT JOIN p u ON u.cluster = s AND u.obj = bo LEFT JOIN p w ON w.cluster = t AND w.obj = so""",
+    "maj sedge",
+)
+def sanitized_affinities(spark, d):
+    return instances.sanitized_affinities(segment_edges(spark, d), overlap_table(spark, d), CLASSES)
+
+
 @query("SELECT count(DISTINCT cluster) AS clusters, count(*) AS overlaps, count(DISTINCT obj) AS objects FROM ov", "ov")
 def overlap_summary(spark, d):
     return instances.clusters_summary(overlap_table(spark, d))

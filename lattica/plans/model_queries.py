@@ -40,6 +40,15 @@ def fuse_residual(spark, d):
     return points(spark, d).select("pid", f.alias("f")).select("pid", *[F.get("f", F.lit(i)).alias(f"r{i}") for i in range(2)])
 
 
+@query("SELECT pid, x AS c0, z AS c1, y AS c2, x AS f0, z AS f1, y AS s0, CASE WHEN lab = 1 THEN x ELSE y END AS m0 FROM pts")
+def fuse_modes(spark, d):
+    a, b = F.array("x", "z"), F.array("y")
+    only = F.when(F.col("lab") != 1, b)  # a missing side gives the other
+    made = {"c": nn.fuse("cat", a, b), "f": nn.fuse("first", a, b), "s": nn.fuse("second", a, b), "m": nn.fuse("second", a, only)}
+    rows = points(spark, d).select("pid", *[c.alias(f"_{n}") for n, c in made.items()])
+    return rows.select("pid", *[F.get(f"_{n}", F.lit(i)).alias(f"{n}{i}") for n, width in (("c", 3), ("f", 2), ("s", 1), ("m", 1)) for i in range(width)])
+
+
 @query("SELECT s, t, round(exp(-d) / sum(exp(-d)) OVER (PARTITION BY s), 6) AS a FROM adj", "adj")
 def edge_softmax(spark, d):
     return nn.edge_softmax(edges(spark, d).select("s", "t", (-F.col("d")).alias("score"))).select("s", "t", "a")

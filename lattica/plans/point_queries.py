@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features
-from ..operators import columns, hierarchy, ids, neighbors, ragged, sampling, voxels
+from ..functions.expr import argmax
+from ..operators import columns, graph, hierarchy, ids, neighbors, ragged, sampling, voxels
 from ..sources import catalog, clouds
 from . import pipeline as pipelines
 from .fixtures import RADIUS, cloud, edges, neighbours, nodes, points, query, segment_edges, segment_nodes, segments, table
@@ -373,6 +374,100 @@ def hex_to_rgb(spark, d):
     return points(spark, d).select("pid", F.format_string("#%02x%02x%02x", "r", "g", "b").alias("h")).select("pid", *features.hex_to_rgb(F.col("h")))
 
 
+@query("SELECT pid, round(r / 255.0::DOUBLE, 6) AS r, round(g / 255.0::DOUBLE, 6) AS g, round(b / 255.0::DOUBLE, 6) AS b FROM pts")
+def scaled_rgb(spark, d):
+    return features.scaled_rgb(points(spark, d)).select("pid", "r", "g", "b")
+
+
+@query("SELECT pid, CAST(trunc(sqrt((r + 0.5::DOUBLE) / 256) * 255.0::DOUBLE) AS INTEGER) AS r FROM pts")
+def byte_rgb(spark, d):
+    shade = F.sqrt((F.col("r") + 0.5) / 256)
+    return features.byte_rgb(points(spark, d).select("pid", shade.alias("r")), ("r",))
+
+
+_SHADES = ", ".join(f"CAST(trunc(sqrt(({c} + 0.5::DOUBLE) / 256) * 255) AS INTEGER)" for c in "rgb")
+
+
+@query(f"SELECT pid, format('rgb({{}},{{}},{{}})', {_SHADES}) AS colour, format('rgba({{}},{{}},{{}},{{}})', {_SHADES}, CASE WHEN lab = 1 THEN '0.50' ELSE '1.00' END) AS faint FROM pts")
+def plot_colours(spark, d):
+    c = [F.sqrt((F.col(c) + 0.5) / 256) for c in "rgb"]
+    alpha = F.when(F.col("lab") == 1, 0.5).otherwise(1.0)
+    return points(spark, d).select("pid", features.plot_colour(*c).alias("colour"), features.plot_colour(*c, alpha).alias("faint"))
+
+
+@query("SELECT pid, CASE WHEN max(z) OVER w > min(z) OVER w THEN round((z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w), 6) ELSE 0 END AS z FROM pts WINDOW w AS (PARTITION BY obj)")
+def min_max_by_object(spark, d):
+    return features.min_max_normalized(points(spark, d).select("pid", "obj", "z"), ["z"], ["obj"]).select("pid", "z")
+
+
+@query("SELECT pid, r, g, b, 0.0::DOUBLE AS r0, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS b0 FROM pts")
+def color_dropped(spark, d):
+    p = points(spark, d).select("pid", "r", "g", "b", *[F.col(c).alias(f"{c}0") for c in "rgb"])
+    return features.color_dropped(features.color_dropped(p, p=0.0), ("r0", "g0", "b0"), p=1.0)
+
+
+@query("SELECT pid, round(CAST(y AS FLOAT)::DOUBLE, 6) AS high, round(CAST(y - CAST(y AS FLOAT)::DOUBLE AS FLOAT)::DOUBLE * 1e6, 6) AS low_millionths, round(y, 6) AS back FROM pts")
+def float_pairs(spark, d):
+    high, low = features.float_pair(F.col("y"))
+    rows = points(spark, d).select("pid", high.alias("high"), low.alias("low"))
+    return rows.select("pid", F.col("high").cast("double").alias("high"), (F.col("low").cast("double") * 1e6).alias("low_millionths"), features.from_float_pair(F.col("high"), F.col("low")).alias("back"))
+
+
+@query("SELECT pid, round((ln(z + 2) - sqrt(x)) / sqrt(2), 6) AS p0, round((ln(z + 2) + sqrt(x) - 2 * sin(y)) / sqrt(6), 6) AS p1 FROM pts")
+def simplex_projection(spark, d):
+    f = features.simplex_projection(F.array(F.log(F.col("z") + 2), F.sqrt("x"), F.sin("y")), 3, 2)
+    return points(spark, d).select("pid", f.alias("f")).select("pid", *[F.get("f", F.lit(i)).alias(f"p{i}") for i in range(2)])
+
+
+@query("SELECT pid FROM pts WHERE z / 100 < 0.3")
+def low_verticality(spark, d):
+    return features.low_verticality(points(spark, d).select("pid", (F.col("z") / 100).alias("verticality")), 0.3).select("pid")
+
+
+@query("SELECT pid, pid % 3 AS by_graph, pid AS by_node, super_index * 3 + pid % 3 AS by_segment FROM seg", "seg")
+def norm_index(spark, d):
+    rows = segments(spark, d).select("pid", "super_index", F.pmod("pid", F.lit(3)).alias("batch"))
+    for mode in ("graph", "node", "segment"):
+        rows = columns.norm_index(rows, mode, "pid").withColumnRenamed("norm_index", f"by_{mode}")
+    return rows.select("pid", "by_graph", "by_node", "by_segment")
+
+
+@query("SELECT pid, list_position(l, list_max(l))::INTEGER - 1 AS label FROM (SELECT pid, [sin(x), cos(y), sin(z), cos(x + y)] AS l FROM pts)")
+def semantic_label(spark, d):
+    logits = F.array(F.sin("x"), F.cos("y"), F.sin("z"), F.cos(F.col("x") + F.col("y")))
+    return points(spark, d).select("pid", argmax(logits).alias("label"))
+
+
+@query(
+    """WITH n AS (SELECT id, CAST(trunc(y / 100) AS BIGINT) AS obj, CAST(id % 4 AS INTEGER) AS label FROM h1)
+    SELECT pid AS id, n.obj, label, 1::BIGINT AS cnt FROM h0 JOIN n ON n.id = h0.super_index""",
+    "h1",
+)
+def full_resolution_panoptic(spark, d):
+    h = cloud(spark, d)
+    value = F.struct((F.col("y") / 100).cast("long").alias("obj"), F.pmod("id", F.lit(4)).cast("int").alias("label"))
+    members = h.nodes[0].select(F.col("pid").alias("id"), "super_index")
+    out = hierarchy.expand_predictions(h.nodes[1].select("id", value.alias("pred")), members)
+    return out.select("id", "pred.obj", "pred.label", F.lit(1).cast("long").alias("cnt"))
+
+
+@query(
+    """SELECT (SELECT count(*) = count(DISTINCT (s, t)) AND count(*) FILTER (WHERE s >= t) = 0 FROM trim) AS edges_trimmed,
+    (SELECT count(*) = count(DISTINCT (s, t)) AND count(*) FILTER (WHERE s >= t) = 0 FROM adj) AS neighbours_trimmed, true AS equal_to_itself, false AS equal_to_others""",
+    "trim",
+)
+def table_checks(spark, d):
+    e, p = edges(spark, d), points(spark, d).select("pid", "obj")
+    t = graph.trimmed(e, {"d": "min"})
+    row = (graph.is_trimmed(t), graph.is_trimmed(e), columns.tables_equal(p, p.select("obj", "pid")), columns.tables_equal(p, p.union(p.where("pid % 9 = 0"))))
+    return spark.createDataFrame([row], "edges_trimmed boolean, neighbours_trimmed boolean, equal_to_itself boolean, equal_to_others boolean")
+
+
+@query("SELECT pid, obj, dense_rank() OVER (ORDER BY obj) - 1 AS new_group, dense_rank() OVER (ORDER BY pid) - 1 AS new_value FROM pts WHERE obj % 3 = 1")
+def reindexed_groups(spark, d):
+    return ragged.reindexed_lists(points(spark, d).where("obj % 3 = 1").select("pid", "obj"), "obj", "pid")
+
+
 @query("SELECT i, round(count(*) / nullif(pow(max(d), 2), 0), 6) AS density FROM nbr GROUP BY 1", "nbr")
 def density(spark, d):
     return features.density(neighbours(spark, d))

@@ -267,3 +267,20 @@ def test_collections():
     assert catalog.KITTI360.things == [2, 11] and len(catalog.DALES.cloud_ids("trainval")) == 29
     with pytest.raises(ValueError):
         catalog.Collection("x", 1, (), {"train": ("a",), "val": ("a",)})
+
+
+def test_forward_pass_without_edges_or_children(spark):
+    from lattica.operators import network
+
+    one = ([[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0])
+    block = network.Block(one, one, one, ([[1.0, 0.0], [0.0, 1.0]], [0.5, -0.5]), [([[0.0, 0.0]], [0.0]), ([[0.0], [0.0]], [0.0, 0.0])])
+    nodes = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [3.0, 5.0])], "id long, graph int, x array<double>")
+    links = spark.createDataFrame([(1, 2)], "s long, t long")
+    alone = {r.id: r.x for r in network.transformer_block(nodes, links, block).collect()}
+    assert alone[2] == [3.5, 4.5]  # no edges: the bias only
+    mean, var = 2.75, 2.1875
+    assert alone[1] == pytest.approx([1.5 + (3 - mean) / math.sqrt(var + 1e-5), 1.5 + (5 - mean) / math.sqrt(var + 1e-5)])
+    assert {r.id: r.x for r in network.transformer_block(nodes, None, block).collect()} == {1: [1.0, 2.0], 2: [3.0, 5.0]}
+    assert network.transformer_block(nodes.limit(0), links, block).count() == 0
+    children = spark.createDataFrame([(7, 1, [4.0]), (8, 1, [-1.0])], "id long, super_index long, x array<double>")
+    assert {r.id: r.x for r in network.down_stage(nodes, children, None, network.Stage()).collect()} == {1: [1.0, 2.0, 4.0], 2: [3.0, 5.0]}
