@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_suffix_array_dedup": ("repeats", "repeat_removal_report", ("documents",)),
     "op9_minhash_near_dedup": ("neardup", "near_duplicate_report", ("documents",)),
     "op10_license_scan": ("licenses", "scan_licences", ("documents",)),
+    "op11_simhash_near_dedup": ("simhash", "simhash_report", ("documents",)),
 }
 
 
