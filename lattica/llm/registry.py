@@ -19,6 +19,8 @@ _QUERIES = {
     "op9_minhash_near_dedup": ("neardup", "near_duplicate_report", ("documents",)),
     "op10_license_scan": ("licenses", "scan_licences", ("documents",)),
     "op11_simhash_near_dedup": ("simhash", "simhash_report", ("documents",)),
+    "op12_spelling_variants": ("spelling", "spelling_report", ("documents",)),
+    "op13_conversation_repair": ("conversations", "conversation_repair_report", ("conversations",)),
 }
 
 

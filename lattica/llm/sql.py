@@ -106,4 +106,57 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN s USING (doc_id)
 """
 
-ORACLES = {"op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op1_quality_rules": OP1, "op7_line_dedup": OP7}
+#: crc_table: the 256 entries of CRC-32's table, made by its rule.
+CRC = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS i))
+)
+"""
+
+
+def crc32(hexes: str) -> str:
+    """CRC-32 of the bytes that an expression gives in hex; the query has to join crc_table."""
+    of = f"list_transform(range(length({hexes}) // 2), lambda i: ('0x' || substr({hexes}, (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {of}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP12 = rf"""
+WITH RECURSIVE {CRC},
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2
+),
+hashed AS (SELECT run, n, {crc32("hx")} AS h FROM (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM runs), crc_table),
+typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word
+),
+best AS (
+  SELECT word, near, n AS m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS k FROM near
+),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * words.n THEN near END AS form, CASE WHEN m >= 2 * words.n THEN m END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word AND k = 1
+),
+chain AS (
+  SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT chain.word, f.form FROM chain JOIN formed f ON f.word = chain.root WHERE f.form IS NOT NULL
+),
+roots AS (SELECT chain.word, chain.root FROM chain JOIN formed f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT formed.*, coalesce(root, formed.word) AS root FROM formed LEFT JOIN roots ON roots.word = formed.word
+"""
+
+ORACLES = {"op12_spelling_variants": OP12, "op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op1_quality_rules": OP1, "op7_line_dedup": OP7}
