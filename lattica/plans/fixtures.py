@@ -41,6 +41,12 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{f.name}`").cast("double"), places).alias(f.name) if isinstance(f.dataType, kinds) else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def nearest(c, places: int = 6):
+    """A double rounded by its scaled value, ties away from zero: `F.round` goes by the decimal form, which can lie on the other
+    side of a tie."""
+    return F.signum(c) * F.floor(F.abs(c) * 10.0**places + 0.5) / 10.0**places
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
