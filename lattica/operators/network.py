@@ -20,13 +20,19 @@ Linear = tuple[list[list[float]], list[float]]
 
 @dataclass(frozen=True)
 class Block:
-    """Weights of a transformer block with one head: q and k of the same width, `out` back to the width of x, then the FFN."""
+    """Weights of a transformer block: q and k of the same width, `out` back to the width of x, then the FFN.
+
+    heads, rpe (from the array `a` of the edges) and scale are those of `nn.attention_heads`.
+    """
 
     q: Linear
     k: Linear
     v: Linear
     out: Linear
     ffn: list[Linear]
+    heads: int = 1
+    rpe: dict[str, Linear] = field(default_factory=dict)
+    scale: str = "d"
 
 
 @dataclass(frozen=True)
@@ -57,9 +63,13 @@ def transformer_block(nodes: DataFrame, edges: DataFrame | None, w: Block, by: s
     if edges is not None:
         nodes = written(nodes)
         h = nn.group_norm(nodes.select("id", by, "x"), "x", 1, by)
-        qkv = h.select("id", *[nn.linear(F.col("x"), *layer).alias(n) for n, layer in (("q", w.q), ("k", w.k), ("v", w.v))])
-        att = nn.attention(edges, written(qkv), len(w.q[1])).withColumnRenamed("out", "_a")
-        none = F.array(*[F.lit(0.0)] * len(w.v[1]))
+        qkv = h.select("id", "x", *[nn.linear(F.col("x"), *layer).alias(n) for n, layer in (("q", w.q), ("k", w.k), ("v", w.v))])
+        if w.heads == 1 and not w.rpe:
+            att = nn.attention(edges, written(qkv.drop("x")), len(w.q[1]))
+        else:
+            att = nn.attention_heads(edges, written(qkv), w.heads, w.rpe, w.scale)
+        att = att.withColumnRenamed("out", "_a")
+        none = F.array(*[F.lit(0.0)] * len(w.out[0][0]))
         nodes = nodes.join(att, "id", "left").withColumn("_a", nn.linear(F.coalesce("_a", none), *w.out))
         nodes = nodes.withColumn("x", nn.fuse("residual", F.col("x"), F.col("_a"))).drop("_a")
     nodes = written(nodes)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,84 @@ def attention(edges: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     return each.groupBy(F.col("s").alias("id")).agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("_o")).select("id", F.transform("_o", lambda y: y["x"]).alias("out"))
 
 
+#: Terms that relative positions add, and what they are computed from.
+RPE = {"k": "a", "q": "a", "v": "a", "k_delta": "delta", "q_delta": "delta"}
+
+
+def attention_heads(edges: DataFrame, nodes: DataFrame, heads: int, rpe: dict[str, tuple] | None = None, scale: str = "d", q_on_minus: bool = False) -> DataFrame:
+    """(id, out): sparse attention with heads and relative positions over edges (s, t, and an array a of features, if any).
+
+    nodes: id and arrays q, k, v, each the heads' parts in a row; x as well for delta terms. rpe: linear layers (weight rows,
+    bias) that add to k, q or v from the edge's a (`k`, `q`, `v`) or from x_t - x_s (`k_delta`, `q_delta`); a layer as wide as
+    one head serves all heads. q is scaled by the width of a head (`d`), the number of the node's edges (`g`), both (`d.g`,
+    `d+g`) or neither (an empty string), before terms are added. q_on_minus: terms of q take what they see negated.
+
+    Edges come sorted by s from the join with q, and are summed in one pass, by batches: a node's sums are scaled down when a
+    larger score turns up. Where a node's edges lie in several tasks, their sums meet in one row for each task; so a hub's
+    edges are never gathered. Nodes without edges have no row.
+    """
+    rpe = {k: (np.array(w, float), np.array(b, float)) for k, (w, b) in (rpe or {}).items()}
+    delta = any(RPE[k] == "delta" for k in rpe)
+    own, others = nodes.select(F.col("id").alias("s"), "q", *([F.col("x").alias("xs")] if delta else [])), nodes.select(F.col("id").alias("t"), "k", "v", *([F.col("x").alias("xt")] if delta else []))
+    if "g" in scale:
+        own = own.join(edges.groupBy("s").agg(F.count(F.lit(1)).cast("double").alias("g")), "s")
+    e = edges.select("s", "t", *(["a"] if any(RPE[k] == "a" for k in rpe) else [])).join(others, "t").join(own, "s")
+
+    def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return np.asarray(batch.column(name).flatten(), float).reshape(batch.num_rows, -1)
+
+    def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n, part = batch.num_rows, {c: matrix(batch, c) for c in "qkv"}
+        width = part["q"].shape[1] // heads
+        root = np.sqrt(np.asarray(batch.column("g"), float))[:, None] if "g" in scale else 1.0
+        part["q"] = part["q"] / {"": 1.0, "d": np.sqrt(width), "g": root, "d.g": np.sqrt(width) * root, "d+g": np.sqrt(width) + root}[scale]
+        for name, (weight, bias) in rpe.items():
+            seen = matrix(batch, "a") if RPE[name] == "a" else matrix(batch, "xt") - matrix(batch, "xs")
+            term = (-seen if q_on_minus and name[0] == "q" else seen) @ weight.T + bias
+            to = part[name[0]]
+            part[name[0]] = to + np.tile(term, (1, to.shape[1] // term.shape[1]))
+        score = (part["q"] * part["k"]).reshape(n, heads, width).sum(axis=2)
+        return score, part["v"].reshape(n, heads, -1)
+
+    def rows(s: np.ndarray, m: np.ndarray, z: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
+        lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.size // max(1, len(x)) or 1, dtype=np.int32), x.ravel())
+        return pa.RecordBatch.from_arrays([pa.array(s), lists(m), lists(z), lists(o.reshape(len(o), -1))], ["id", "m", "z", "o"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, (score, v) = np.asarray(batch.column("s")), scored(batch)
+            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            ids, size = s[at], np.diff(np.r_[at, len(s)])
+            m = np.maximum.reduceat(score, at, axis=0)
+            w = np.exp(score - np.repeat(m, size, axis=0))
+            z, o = np.add.reduceat(w, at, axis=0), np.add.reduceat(w[:, :, None] * v, at, axis=0)
+            if last is not None and last[0][0] == ids[0]:
+                top = np.maximum(last[1][0], m[0])
+                a, b = np.exp(last[1][0] - top), np.exp(m[0] - top)
+                m[0], z[0], o[0] = top, a * last[2][0] + b * z[0], a[:, None] * last[3][0] + b[:, None] * o[0]
+            elif last is not None:
+                yield rows(*last)
+            if len(ids) > 1:
+                yield rows(ids[:-1], m[:-1], z[:-1], o[:-1])
+            last = ids[-1:], m[-1:], z[-1:], o[-1:]
+        if last is not None:
+            yield rows(*last)
+
+    parts = e.mapInArrow(run, f"id {dict(nodes.dtypes)['id']}, m array<double>, z array<double>, o array<double>")
+    met = parts.groupBy("id").agg(F.collect_list(F.struct("m", "z", "o")).alias("p"))
+    head = lambda p, name, h: F.get(p[name], h)
+    top = met.withColumn("top", F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.array_max(F.transform("p", lambda p: head(p, "m", h)))))
+    share = lambda p, h: F.exp(head(p, "m", h) - F.get("top", h))
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda acc, p: acc + f(p))
+    width = F.size(F.get("p", F.lit(0))["o"])
+    at = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.struct(i.alias("i"), F.floor(i * heads / width).cast("int").alias("h")))
+    out = F.transform(at, lambda x: total(lambda p: share(p, x["h"]) * F.get(p["o"], x["i"])) / total(lambda p: share(p, x["h"]) * head(p, "z", x["h"])))
+    return top.select("id", out.alias("out"))
+
+
 def attentive_pool(children: DataFrame, parents: DataFrame | None, dim: int, query: list[float] | None = None) -> DataFrame:
     """(id, out): attention of a parent's query (its q, or one literal for all) over its children's k and v."""
     e = children.select("id", "super_index", "k", "v")

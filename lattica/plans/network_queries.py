@@ -17,6 +17,17 @@ BLOCK = network.Block(
 NARROW = ([[0.5, 0.25, -0.5, 0.3], [-0.2, 0.7, 0.4, 0.6]], [0.1, -0.1])
 FIRST = network.Stage([([[0.8, -0.3], [0.35, 0.65]], [0.05, 0.15])])
 DOWN = network.Stage([NARROW], [BLOCK])
+#: Two heads of width two, with terms from two edge features: of k for each head, of q for both heads at once, of v.
+HEADS = network.Block(
+    ([[0.5, -0.25], [0.25, 0.75], [-0.3, 0.4], [0.6, 0.1]], [0.1, -0.2, 0.05, 0.0]),
+    ([[-0.5, 0.5], [0.75, 0.25], [0.2, 0.9], [-0.4, 0.3]], [0.0, 0.3, -0.1, 0.2]),
+    ([[1.0, 0.5], [-0.5, 1.0], [0.3, -0.7], [0.8, 0.2]], [0.2, 0.1, 0.0, -0.3]),
+    ([[0.6, -0.4, 0.2, 0.1], [0.3, 0.9, -0.5, 0.4]], [0.05, -0.05]),
+    BLOCK.ffn,
+    2,
+    {"k": ([[0.3, -0.6], [0.2, 0.5], [-0.1, 0.4], [0.7, 0.0]], [0.1, 0.0, -0.2, 0.05]), "q": ([[0.4, 0.1], [-0.3, 0.2]], [0.0, 0.1]), "v": ([[0.5, 0.5], [-0.2, 0.1], [0.3, -0.4], [0.0, 0.6]], [0.0, 0.2, -0.1, 0.0])},
+    "d.g",
+)
 HEAD = ([[1.0, -0.5], [0.25, 0.75], [-0.6, 0.4]], [0.0, 0.1, -0.1])
 
 
@@ -47,6 +58,20 @@ def _block(p, src, links):
     {p} AS (SELECT id, up, g, x0 + y0 AS x0, x1 + y1 AS x1 FROM {src} JOIN (SELECT id, {last} FROM {p}h) USING (id)),"""
 
 
+def _heads(p, src, links):
+    """The attention of HEADS from a table (id, up, g, x0, x1), over links (s, t, a0, a1), to `{p}r`."""
+    qkv = ", ".join(_lin(("n0", "n1"), getattr(HEADS, n), n) for n in "qkv")
+    terms = ", ".join(_lin(("a0", "a1"), HEADS.rpe[n], f"r{n}") for n in "kqv")
+    score = [" + ".join(f"(q{2 * h + j} / sqrt(2 * deg) + rq{j}) * (k{2 * h + j} + rk{2 * h + j})" for j in range(2)) for h in range(2)]
+    sums = ", ".join(f"sum(w{i // 2} * (v{i} + rv{i})) / sum(w{i // 2}) AS v{i}" for i in range(4))
+    out = _lin([f"coalesce(v{i}, 0)" for i in range(4)], HEADS.out, "y")
+    return f"""{_norm(p + "a", src)} {p}q AS (SELECT id, {qkv} FROM {p}an),
+    {p}l AS (SELECT *, count(*) OVER (PARTITION BY s) AS deg, {terms} FROM {links}),
+    {p}e AS (SELECT l.s AS id, {", ".join(f"a.q{i}" for i in range(4))}, {", ".join(f"b.k{i}, b.v{i}" for i in range(4))}, l.* FROM {p}l l JOIN {p}q a ON a.id = l.s JOIN {p}q b ON b.id = l.t),
+    {p}w AS (SELECT id, {sums} FROM (SELECT *, exp({score[0]}) AS w0, exp({score[1]}) AS w1 FROM {p}e) GROUP BY 1),
+    {p}r AS (SELECT id, up, g, x0 + y0 AS x0, x1 + y1 AS x1 FROM (SELECT id, up, g, x0, x1, {out} FROM {src} LEFT JOIN {p}w USING (id))),"""
+
+
 def _fused(p, own, other, key):
     """Two tables' features side by side, through the narrow layer."""
     return f"{p} AS (SELECT o.id, o.up, o.g, {_lin(('o.x0', 'o.x1', 'c.x0', 'c.x1'), NARROW, 'x', True)} FROM {own} o JOIN {other} c ON c.id = o.{key}),"
@@ -92,6 +117,17 @@ def transformer_block(spark, d):
     return _places(network.transformer_block(p, edges(spark, d), BLOCK))
 
 
+@query(
+    f"""WITH p0 AS (SELECT pid AS id, NULL AS up, lab AS g, x / 100 AS x0, y / 500 AS x1 FROM pts), le AS (SELECT s, t, d / 4 AS a0, d * d / 16 AS a1 FROM adj),
+    {_heads("b", "p0", "le")} {_block("f", "br", None)} o AS (SELECT * FROM f) SELECT id, {_OUT} FROM o""",
+    "adj",
+)
+def transformer_block_heads(spark, d):
+    p = points(spark, d).select(F.col("pid").alias("id"), F.col("lab").alias("graph"), F.array(F.col("x") / 100, F.col("y") / 500).alias("x"))
+    e = edges(spark, d).select("s", "t", F.array(F.col("d") / 4, F.col("d") * F.col("d") / 16).alias("a"))
+    return _places(network.transformer_block(p, e, HEADS))
+
+
 @query(f"WITH {_DOWN1} o AS (SELECT * FROM b1) SELECT id, {_OUT} FROM o", "sedge snode")
 def down_stage(spark, d):
     n, e = _levels(spark, d)
