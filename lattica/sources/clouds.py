@@ -1,63 +1,17 @@
 """Readers of raw point clouds: PLY, space-separated text, JSON segments, TSV label maps.
 
-Files are listed and read by Spark. A PLY body is decoded by numpy in the task that got the file; tasks emit batches of
-bounded size.
+Files are listed and read by Spark; a PLY file of any size is read by many tasks (`splits`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: PLY's names of its number types.
-PLY_TYPES = {
-    "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
-    "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8",
-}
-BATCH = 100_000
-
-
-def ply_vertices(body: bytes, element: str = "vertex") -> np.ndarray:
-    """The rows of one element of a PLY file (ascii or binary) as a structured array; the element comes first, without lists."""
-    head, _, rest = body.partition(b"end_header")
-    rest = rest[rest.index(b"\n") + 1 :]
-    form, kinds, n, inside = "ascii", [], 0, False
-    for line in head.decode("ascii", "replace").splitlines():
-        words = line.split()
-        if words[:1] == ["format"]:
-            form = words[1]
-        elif words[:1] == ["element"]:
-            if kinds:
-                break
-            inside = words[1] == element
-            n = int(words[2]) if inside else n
-        elif words[:1] == ["property"] and inside and words[1] != "list":
-            kinds.append((words[-1], words[1]))
-    order = {"binary_little_endian": "<", "binary_big_endian": ">"}.get(form, "<")
-    dtype = np.dtype([(name, order + PLY_TYPES[kind]) for name, kind in kinds])
-    if form == "ascii":
-        return np.array([tuple(line.split()[: len(kinds)]) for line in rest.decode().splitlines()[:n]], dtype)
-    return np.frombuffer(rest, dtype, n)
-
-
-def read_ply(spark: SparkSession, path: str, columns: dict[str, str], element: str = "vertex") -> DataFrame:
-    """(path, row, columns): vertices of all PLY files under a path. columns: output name -> property; absent ones are null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = ply_vertices(body, element)
-                for at in range(0, len(rows), BATCH):
-                    part = rows[at : at + BATCH]
-                    arrays = [pa.array(part[p].astype(float)) if p in rows.dtype.names else pa.nulls(len(part), pa.float64()) for p in columns.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), *arrays], ["path", "row", *columns])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, row long" + "".join(f", `{c}` double" for c in columns))
+from ..operators.ids import dense_ids
+from .splits import read_ply
 
 
 def read_aerial_tiles(spark: SparkSession, path: str, remap: dict[int, int] | None = None) -> DataFrame:
@@ -93,6 +47,68 @@ def read_room_objects(spark: SparkSession, path: str, classes: dict[str, int], o
     return rows.select(room.alias("room"), F.regexp_extract(name, r"([^/]+)\.txt$", 1).alias("object"), *["x", "y", "z"], *[(F.col(c) / 255).alias(c) for c in "rgb"], label.alias("label"))
 
 
+def read_alignment_angles(spark: SparkSession, path: str) -> DataFrame:
+    """(room, angle) in degrees, from the lines `room angle` of all files `*_alignmentAngle.txt` under a path."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_alignmentAngle.txt").text(path)
+    part = lambda k: F.regexp_extract("value", r"^([A-Za-z]\S*)\s+(-?\d+(?:\.\d+)?)\s*$", k)
+    return lines.where(part(1) != "").select(part(1).alias("room"), part(2).cast("double").alias("angle")).dropDuplicates(["room"])
+
+
+def read_area(spark: SparkSession, path: str, classes: dict[str, int], other: str = "clutter", held: tuple[str, ...] = (), align: bool = False, room_position: bool = False) -> DataFrame:
+    """(room, object, obj, x, y, z, r, g, b, label, is_val): all rooms of an area by one scan over their object files.
+
+    obj numbers the objects of all rooms by room and name; is_val: whether the room is one of `held`; a colour that can't be
+    read is 0. With `align`, each room is turned about z into its canonical orientation, by its angle in the area's side file;
+    rooms without an angle stay as they are. `room_position` adds room_x, room_y and room_z: the place in the room, x and y from
+    its low side and all three over the room's greatest, in its canonical orientation.
+    """
+    rows = read_room_objects(spark, path, classes, other).where(F.col("object").rlike(r"_\d+$"))
+    rows = dense_ids(rows, ["room", "object"], "obj").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in "rgb"})
+    rows = rows.withColumn("is_val", F.col("room").isin(list(held)))
+    names = ["room", "object", "obj", *"xyz", *"rgb", "label", "is_val"]
+    if not align and not room_position:
+        return rows.select(*names)
+    rows = rows.join(read_alignment_angles(spark, path), "room", "left")
+    turn = F.radians(F.coalesce("angle", F.lit(0.0)))
+    rows = rows.withColumns({"_x": F.cos(turn) * F.col("x") + F.sin(turn) * F.col("y"), "_y": F.cos(turn) * F.col("y") - F.sin(turn) * F.col("x")})
+    if room_position:
+        box = rows.groupBy("room").agg(F.min("_x").alias("_lx"), F.min("_y").alias("_ly"), F.max("_x").alias("_hx"), F.max("_y").alias("_hy"), F.max("z").alias("_hz"))
+        rows = rows.join(box, "room")
+        over = lambda a, b: F.try_divide(a, b)
+        rows = rows.withColumns({"room_x": over(F.col("_x") - F.col("_lx"), F.col("_hx") - F.col("_lx")), "room_y": over(F.col("_y") - F.col("_ly"), F.col("_hy") - F.col("_ly")), "room_z": over(F.col("z"), F.col("_hz"))})
+        names += ["room_x", "room_y", "room_z"]
+    return (rows.withColumns({"x": F.col("_x"), "y": F.col("_y")}) if align else rows).select(*names)
+
+
+def write_rooms(points: DataFrame, path: str, angles: dict[str, float] | None = None) -> DataFrame:
+    """Writes points (area, room, object, x, y, z, r, g, b) as `area/room/Annotations/object.txt`; gives (object file, n).
+
+    One task holds one object. angles (`area/room` -> degrees) become each area's side file.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        area, room, name = (table.column(c)[0].as_py() for c in ("area", "room", "object"))
+        store, inner = fs.FileSystem.from_uri(path)
+        folder = f"{inner.rstrip('/')}/{area}/{room}/Annotations"
+        store.create_dir(folder, recursive=True)
+        lines = zip(*[table.column(c).to_pylist() for c in ("x", "y", "z", "r", "g", "b")])
+        with store.open_output_stream(f"{folder}/{name}.txt") as f:
+            f.write("".join(f"{x!r} {y!r} {z!r} {r} {g} {b}\n" for x, y, z, r, g, b in lines).encode())
+        return pa.table({"file": [f"{area}/{room}/{name}"], "n": pa.array([table.num_rows], pa.int64())})
+
+    store, inner = fs.FileSystem.from_uri(path)
+    by_area: dict[str, list[str]] = {}
+    for place, angle in (angles or {}).items():
+        area, room = place.split("/")
+        by_area.setdefault(area, []).append(f"{room} {angle:g}\n")
+    for area, lines in by_area.items():
+        store.create_dir(f"{inner.rstrip('/')}/{area}", recursive=True)
+        with store.open_output_stream(f"{inner.rstrip('/')}/{area}/{area}_alignmentAngle.txt") as f:
+            f.write(("## Global alignment angle per disjoint space\n## room angle in degrees\n" + "".join(lines)).encode())
+    whole = points.select("area", "room", "object", *[F.col(d).cast("double").alias(d) for d in "xyz"], *[F.col(c).cast("int").alias(c) for c in "rgb"])
+    return whole.groupBy("area", "room", "object").applyInArrow(run, "file string, n long")
+
+
 def read_label_map(spark: SparkSession, path: str, source: str = "raw_category", target: str = "nyu40id") -> DataFrame:
     rows = spark.read.option("sep", "\t").option("header", True).csv(path)
     return rows.select(F.col(source).alias("name"), F.col(target).cast("int").alias("label"))

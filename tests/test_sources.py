@@ -65,3 +65,53 @@ def test_stream_over_files(spark, tmp_path):
     q = stream_pipeline(spark, str(tmp_path / "in"), df.schema, lambda b: b.groupBy("x").count(), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 20
+
+
+def test_split_ranges_give_each_row_once(spark, tmp_path):
+    """Binary and text files cut anywhere, more elements behind and before, absent properties."""
+    from lattica.sources import splits
+
+    rows = [(i, i / 8, i % 200) for i in range(5000)]
+    kinds = {"a": "int", "b": "double", "c": "uchar"}
+    _ply(tmp_path / "bin.ply", "vertex", kinds, rows)
+    _ply(tmp_path / "text.ply", "vertex", kinds, rows[:3000], ascii_form=True)
+    for size in (777, 9999, 1 << 20):
+        out = splits.read_ply(spark, f"file://{tmp_path}", {"c": "c", "a": "a", "none": "none"}, range_bytes=size).collect()
+        for name, n in (("bin.ply", 5000), ("text.ply", 3000)):
+            own = sorted((r.row, r.a, r.c, r.none) for r in out if r.path.endswith(name))
+            assert [x[1:] for x in own] == [(i, i % 200, None) for i in range(n)]
+            assert name != "bin.ply" or [x[0] for x in own] == list(range(n))
+    assert spark.read.format("ply").load(str(tmp_path / "bin.ply")).columns == ["path", "row", "a", "b", "c"]
+
+
+def test_header_with_elements_before_and_after():
+    from lattica.sources.splits import layout
+
+    head = b"ply\nformat binary_big_endian 1.0\nelement camera 2\nproperty float f\nproperty uchar g\nelement vertex 7\nproperty short x\nelement face 3\nproperty list uchar int i\nend_header\n"
+    at = layout(head, "vertex")
+    assert (at.start, at.count, at.last, at.dtype.itemsize) == (len(head) + 10, 7, False, 2) and at.dtype.byteorder != "<"
+    assert layout(head[:-1], "vertex") is None
+
+
+def test_split_files_are_written_and_read_back(spark, tmp_path):
+    from lattica.sources import splits
+
+    df = spark.range(1000).select("id", (F.col("id") / 3).alias("x")).repartition(3)
+    made = splits.write_ply(df, f"file://{tmp_path}/out", {"id": "int", "x": "double"}).collect()
+    assert sum(r.n for r in made) == 1000
+    back = splits.read_ply(spark, f"file://{tmp_path}/out", {"id": "id", "x": "x"}, range_bytes=128)
+    assert sorted((int(r.id), r.x) for r in back.collect()) == [(i, i / 3) for i in range(1000)]
+
+
+def test_area_with_angles(spark, tmp_path):
+    for room, lines in {"office_1": "1 0 0 255 0 0\n3 0 2 x 0 0\n", "hall_2": "5 5 4 1 2 3\n"}.items():
+        folder = tmp_path / "Area_5" / room / "Annotations"
+        folder.mkdir(parents=True)
+        (folder / "chair_1.txt").write_text(lines)
+        (folder / "wall_3 (1).txt").write_text("9 9 9 9 9 9\n")
+    (tmp_path / "Area_5" / "Area_5_alignmentAngle.txt").write_text("## header\n## second\noffice_1 90\n")
+    rows = clouds.read_area(spark, str(tmp_path / "Area_5"), {"chair": 7, "clutter": 12}, held=("hall_2",), align=True, room_position=True).collect()
+    got = sorted((r.room, r.obj, round(r.x, 9), round(r.y, 9), r.r, r.label, r.is_val, r.room_z) for r in rows)
+    # x goes to -y at 90 degrees; a room without an angle stays; the second copy of a wall is left out; a bad colour is 0
+    assert got == [("hall_2", 0, 5, 5, 1 / 255, 7, True, 1), ("office_1", 1, 0, -3, 0, 7, False, 1), ("office_1", 1, 0, -1, 1, 7, False, 0)]
+    assert sorted(round(r.room_y, 9) for r in rows if r.room == "office_1") == [0, 1]
