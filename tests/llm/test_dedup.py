@@ -280,6 +280,30 @@ def test_a_seed_that_many_items_share(spark, plain, monkeypatch):
     assert {x[1] for x in index.overlaps(pa.array([f"a text, {phrase} and more"]))} == set(range(40))
 
 
+def test_texts_that_repeat_what_thousands_of_items_share(spark, plain):
+    phrase = "one stock phrase that every item of this benchmark begins with in its first line"
+    benchmark = spark.createDataFrame([(i, f"{phrase} {i}") for i in range(3000)], "item_id long, text string")
+    docs = plain([f"{phrase} and more " * 90] * 4 + ["nothing of the kind"])
+    for r in decontam.decontamination_report(docs, benchmark).collect():
+        assert r.item_ids == (list(range(3000)) if r.doc_id < 4 else [])
+        assert r.n_overlaps == (90 * 3000 if r.doc_id < 4 else 0)
+
+
+def test_stretches_of_an_item_on_several_diagonals():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    item = [f"t{i}" for i in range(60)]
+    noise = lambda n: [f"x{rng.random()}" for _ in range(n)]
+    text = [*noise(5), *item[:30], *noise(40), *item[20:50], *item[10:40], *noise(7)]
+    index = decontam.Index([5], [" ".join(item)])
+    rows = index.overlaps(pa.array([" ".join(noise(30)).replace(".", ""), " ".join(text).replace(".", "")])).tolist()
+    # up to four tokens beside a stretch don't match, as a window may have a fifth of them
+    assert [r[:2] for r in rows] == [[1, 0], [1, 0]] and [r[4] for r in rows] == [30, 30]
+    (a, b), (c, d) = [(r[2], r[2] + r[3]) for r in rows]
+    assert 1 <= a <= 5 and 35 <= b <= 39 and 71 <= c <= 75 and 135 <= d <= 139
+
+
 def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(str, decontam.decontamination_report(docs, benchmark).collect()))
