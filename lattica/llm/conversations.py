@@ -176,12 +176,20 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, of which few are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            yield from batch.slice(a, 64).to_pylist()
+
+
 def _joined(runs: DataFrame) -> DataFrame:
     """The repaired runs of conversations whose runs come in order."""
     schema, counts = _schema(_REPAIRED), ("blank", "duplicate", "truncated", "illegal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict | None = None
+        out: list[dict] = []
 
         def opened(conv_id: int | None) -> dict:
             return dict.fromkeys((*counts, "turns"), 0) | {"conv_id": conv_id, "run": 0, "low": None, "high": None, "last": None, "ways": {START: (0, "")}, "held": []}
@@ -236,20 +244,19 @@ def _joined(runs: DataFrame) -> DataFrame:
             out[-1] |= {c: now[c] for c in counts} | {"final": True, "gaps": gaps, "cost": end[0][0]}
             return out
 
-        for batch in batches:
-            for i in range(batch.num_rows):
+        for r in _few(batches):
+            if now is not None and now["conv_id"] != r["conv_id"]:
+                out += closed(now)
+                now = None
+            now = opened(r["conv_id"]) if now is None else now
+            added(now, r)
+            out += settled(now, set(now["ways"]), len(now["held"]) - 1)
+            if sum(len(x["texts"]) for x in out) > ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
-                r = batch.slice(i, 1).to_pylist()[0]
-                if now is not None and now["conv_id"] != r["conv_id"]:
-                    out += closed(now)
-                    now = None
-                now = opened(r["conv_id"]) if now is None else now
-                added(now, r)
-                out += settled(now, set(now["ways"]), len(now["held"]) - 1)
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
         if now is not None:
-            yield pa.RecordBatch.from_pylist(closed(now), schema)
+            out += closed(now)
+        yield pa.RecordBatch.from_pylist(out, schema)
 
     return runs.mapInArrow(run, _REPAIRED)
 
@@ -293,19 +300,19 @@ def _digests(repaired: DataFrame) -> DataFrame:
     schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, edits, empty = sha256(), [], True
-        for batch in batches:
-            done = []
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                for role, text in zip(r["roles"], r["texts"]):
-                    digest.update(f"{'' if empty else chr(10)}{role}:{text}".encode())
-                    empty = False
-                edits.append(r["edits"])
-                if r["final"]:
-                    done.append({c: r[c] for c in ("conv_id", *_COUNTS)} | {"audit": "".join(edits), "repaired_sha256": digest.hexdigest()})
-                    digest, edits, empty = sha256(), [], True
-            yield pa.RecordBatch.from_pylist(done, schema)
+        digest, edits, empty, done = sha256(), [], True, []
+        for r in _few(batches):
+            for role, text in zip(r["roles"], r["texts"]):
+                digest.update(f"{'' if empty else chr(10)}{role}:{text}".encode())
+                empty = False
+            edits.append(r["edits"])
+            if r["final"]:
+                done.append({c: r[c] for c in ("conv_id", *_COUNTS)} | {"audit": "".join(edits), "repaired_sha256": digest.hexdigest()})
+                digest, edits, empty = sha256(), [], True
+            if len(done) == ROWS:
+                yield pa.RecordBatch.from_pylist(done, schema)
+                done = []
+        yield pa.RecordBatch.from_pylist(done, schema)
 
     return repaired.mapInArrow(run, ddl)
 
