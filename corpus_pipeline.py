@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm import decontam, linededup, neardup, packing, quality
-from lattica.llm.common import written
+from lattica.llm.common import dropped, written
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -44,5 +44,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
