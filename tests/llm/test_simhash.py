@@ -7,9 +7,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import simhash
+from lattica.llm import simhash, sql
 from lattica.llm.components import components
 
+from ..conftest import DATA, same_rows
 from .brute import words
 
 
@@ -116,3 +117,8 @@ def test_ids_may_all_be_null(spark):
 def test_copies_stay_one_class(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same text in very many rows").alias("text"))
     assert simhash.simhash_report(docs).select("component_id", "fingerprint").distinct().count() == 1
+
+
+def test_twin(spark, duck):
+    con = duck(f"{DATA}/sf0.001")
+    same_rows(simhash.simhash_report(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")), con.sql(sql.OP11))
