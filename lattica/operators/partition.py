@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from . import mincut
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = -1) -> DataFrame:
@@ -158,13 +159,18 @@ def _best_splits(nodes: DataFrame, both: DataFrame, reg: float, dims: int) -> Da
     return done.join(best, ["c", "k"]).select("c", "id", "side")
 
 
-def cut_pursuit(nodes: DataFrame, edges: DataFrame, reg: float) -> DataFrame:
+#: Nodes of a segment that one task takes whole, to split it by a minimum cut.
+EXACT = 5000
+
+
+def cut_pursuit(nodes: DataFrame, edges: DataFrame, reg: float, exact: int = EXACT) -> DataFrame:
     """(id, label): a piecewise-constant approximation of nodes (id, n, x array) on the whole graph; label is a node's id.
 
     The energy is that of `partition_energy`. From the connected components on, every segment is split in two where that
     lowers the energy, and the parts are split again; segments that are not connected come apart, which costs nothing. This
-    ends when no segment splits. Each step is a job over the nodes, or edges, of all segments at once, so that a segment may
-    be of any size. Edges that repeat, in either direction, count with the sum of their weights.
+    ends when no segment splits. Segments of up to `exact` nodes are split by minimum cuts, a task each (`mincut`); larger ones
+    node by node, in jobs over the nodes, or edges, of all of them at once, so that a segment may be of any size. Edges that
+    repeat, in either direction, count with the sum of their weights.
     """
     n = written(nodes.select("id", F.col("n").cast("double").alias("n"), F.col("x").cast("array<double>").alias("x")))
     e = written(edges.where("s <> t").groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum(F.col("w").cast("double")).alias("w")))
@@ -174,8 +180,14 @@ def cut_pursuit(nodes: DataFrame, edges: DataFrame, reg: float) -> DataFrame:
     while True:
         while True:
             of = active.select("id", "c")
-            inside = e.join(of.withColumnsRenamed({"id": "s", "c": "_a"}), "s").join(of.withColumnsRenamed({"id": "t", "c": "_b"}), "t").where("_a = _b").select("s", "t", "w")
-            splits = written(_best_splits(active, written(inside.union(inside.select("t", "s", "w"))), reg, dims))
+            inside = e.join(of.withColumnsRenamed({"id": "s", "c": "_a"}), "s").join(of.withColumnsRenamed({"id": "t", "c": "_b"}), "t").where("_a = _b")
+            inside = written(inside.select(F.col("_a").alias("c"), "s", "t", "w"))
+            large = written(active.groupBy("c").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > exact).select("c"))
+            splits = mincut.splits(active.join(large, "c", "left_anti"), inside.join(large, "c", "left_anti"), reg)
+            if not large.isEmpty():
+                own = inside.join(large, "c", "left_semi").select("s", "t", "w")
+                splits = splits.union(_best_splits(active.join(large, "c", "left_semi"), written(own.union(own.select("t", "s", "w"))), reg, dims))
+            splits = written(splits)
             least = splits.groupBy("c", "side").agg(F.min("id").alias("_l"))
             new = written(splits.join(least, ["c", "side"]).select("id", "_l"))
             if new.isEmpty():
