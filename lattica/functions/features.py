@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import eigen
+
 XYZ = ("x", "y", "z")
 
 
@@ -131,32 +131,13 @@ def covariances(df: DataFrame, keys: list[str]) -> DataFrame:
 def eigen_features(cov: DataFrame, k_min: int = 5) -> DataFrame:
     """`cov` with linearity, planarity, scattering, length, surface, volume, curvature, verticality and normal nx, ny, nz.
 
-    From the roots of the eigenvalues, largest first. Groups of fewer than k_min get zeros. The normal points to z+.
-    Only the 3x3 eigenproblem runs outside the JVM, in Arrow batches.
+    From the roots of the eigenvalues, largest first. Groups of fewer than k_min get zeros. The normal points to z+. All is
+    column expressions (`eigen`).
     """
-    names = ("linearity", "planarity", "scattering", "length", "surface", "volume", "curvature", "verticality", "nx", "ny", "nz")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz", "n")}
-            m = np.stack([np.stack([c["cxx"], c["cxy"], c["cxz"]], -1), np.stack([c["cxy"], c["cyy"], c["cyz"]], -1), np.stack([c["cxz"], c["cyz"], c["czz"]], -1)], -2)
-            values, vectors = np.linalg.eigh(m) if len(m) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
-            values = np.maximum(values, 0)
-            l3, l2, l1 = np.sqrt(values).T
-            top = l1 + 1e-3
-            normal = vectors[:, :, 0]
-            normal = np.where(normal[:, 2:] < 0, -normal, normal)
-            # the mean of |direction| weighted by length leans to the vertical
-            unary = (np.abs(vectors) * np.sqrt(values)[:, None, :]).sum(axis=2)
-            size = np.linalg.norm(unary, axis=1)
-            vertical = 2 * np.where(size > 0, unary[:, 2] / np.maximum(size, 1e-12), 0)
-            out = [(l1 - l2) / top, (l2 - l3) / top, l3 / top, l1, np.sqrt(l1 * l2 + 1e-6), np.cbrt(l1 * l2 * l3 + 1e-9), l3 / (l1 + l2 + l3 + 1e-3), vertical, *normal.T]
-            few = c["n"] < k_min
-            arrays = [pa.array(np.where(few, 0.0, v)) for v in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cov.schema)
-    return cov.mapInArrow(run, fields + "".join(f", {n} double" for n in names))
+    names, out = list(cov.columns), cov
+    for level in eigen.levels(eigen.steps() + eigen.feature_steps(k_min)):
+        out = out.withColumns({name: F.expr(e) for name, e in level.items()})
+    return out.select(*[F.col(f"`{c}`") for c in names], *[n for n, _ in eigen.feature_steps(k_min) if not n.startswith("_")])
 
 
 def point_geometry(points: DataFrame, neighbors: DataFrame, k_min: int = 5) -> DataFrame:

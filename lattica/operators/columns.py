@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
+from ..functions.noise import normal, uniform
 from .ids import dense_ids
 
 
@@ -71,20 +72,35 @@ def dropout_columns(df: DataFrame, key: str, drop: list[int], to_mean: bool = Fa
     return df.crossJoin(means).withColumn(key, F.transform(key, lambda v, i: F.when(i.isin(drop), F.get("_m", F.try_element_at(spot, i))).otherwise(v))).drop("_m")
 
 
-def dropout_rows(df: DataFrame, key: str, p: float, seed: int = 0, by: str = "pid") -> DataFrame:
-    """Zeroes the feature array of a share p of the rows, drawn by a hash of the id."""
-    u = F.pmod(F.xxhash64(F.lit(seed), by), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return df.withColumn(key, F.when(u < p, F.transform(key, lambda v: F.lit(0.0))).otherwise(F.col(key)))
+def dropout_rows(df: DataFrame, key: str, p: float, seed: int = 0, by: str = "pid", to_mean: bool = False) -> DataFrame:
+    """Zeroes the feature array of a share p of the rows, or sets it to its mean over all rows; drawn by the id."""
+    drop = uniform(seed, by) < p
+    if not to_mean:
+        return df.withColumn(key, F.when(drop, F.transform(key, lambda v: F.lit(0.0))).otherwise(F.col(key)))
+    mean = df.select(F.posexplode(key).alias("_p", "_v")).groupBy("_p").agg(F.avg("_v").alias("_v"))
+    mean = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_v"))), lambda e: e["_v"]).alias("_m"))  # one row for each place
+    return df.crossJoin(F.broadcast(mean)).withColumn(key, F.when(drop, F.col("_m")).otherwise(F.col(key))).drop("_m")
 
 
-def jitter(df: DataFrame, columns: list[str], sigma: float = 0.01, trunc: float = 0.05, seed: int = 0) -> DataFrame:
-    """Adds normal noise, clipped to +-trunc if that is positive."""
-    for i, c in enumerate(columns):
-        noise = F.randn(seed + i) * sigma
+def jitter(df: DataFrame, columns: list[str], sigma: float = 0.01, trunc: float = 0.05, seed: int = 0, by: str = "pid") -> DataFrame:
+    """Adds normal noise, clipped to +-trunc if that is positive; drawn by the id and the column's name, so that it doesn't
+    depend on how rows are partitioned."""
+    for c in columns:
+        noise = normal(seed, by, F.lit(c)) * sigma
         df = df.withColumn(c, F.col(c) + (F.greatest(F.lit(-trunc), F.least(F.lit(trunc), noise)) if trunc > 0 else noise))
     return df
 
 
+def jitter_levels(levels: list[DataFrame], columns: list[str], sigma, trunc=0.05, seed: int = 0, by: str = "id") -> list[DataFrame]:
+    """`jitter` of the nodes of each level of a hierarchy. sigma, trunc: one for all levels, or a list; no noise where sigma is 0
+    or less. Columns that a level lacks are passed over."""
+    each = lambda v: list(v) if isinstance(v, (list, tuple)) else [v] * len(levels)
+    made = []
+    for i, (df, s, t) in enumerate(zip(levels, each(sigma), each(trunc))):
+        made.append(jitter(df, [c for c in columns if c in df.columns], s, t, seed + i, by) if s > 0 else df)
+    return made
+
+
 def norm_index(df: DataFrame, mode: str = "graph", id: str = "id", graph: str = "batch", parent: str = "super_index") -> DataFrame:
     """`df` with norm_index, what features are normalised by: the graph, the node itself, or its segment in its graph."""
     if mode == "segment":

@@ -46,14 +46,14 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank", sums
     return rows.join(base, on).select(*df.columns, *made)
 
 
-def lower_median(df: DataFrame, value: str) -> DataFrame:
-    """One row `median`: the lower median. Values are range-partitioned; only the part that holds the median is ranked."""
-    rows = written(df.select(value).where(F.col(value).isNotNull()).repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # one row per part
-    place = (sum(r["n"] for r in counts) - 1) // 2
-    for r in counts:
-        if place < r["n"]:
-            own = rows.where(F.col("_p") == r["_p"]).withColumn("_r", F.row_number().over(Window.orderBy(value)))
-            return own.where(F.col("_r") == place + 1).select(F.col(value).alias("median"))
-        place -= r["n"]
-    return df.select(F.col(value).alias("median")).limit(0)
+def lower_median(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, median): the lower median of each group's values, one row without keys; groups without a value have none.
+
+    Equal values are counted first, so that any number of them is one row; the running sums of the counts are made in parts.
+    """
+    keys = list(keys)
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    upto = ranked(counts, keys, [value], "_k", ("_c",))
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_all")).select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_all")
+    rows = upto.join(total, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]) if keys else upto.crossJoin(F.broadcast(total))
+    return rows.where("2 * sum__c >= _all").groupBy(*keys).agg(F.min(value).alias("median")).where("median is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, hierarchy, instances, metrics, voxels
+from ..operators import collate, graph, hierarchy, instances, metrics, voxels
 from ..sources import catalog
 from .fixtures import CLASSES, overlap_table, points, predicted, query, segment_edges, segment_nodes, segments
 
@@ -48,9 +48,14 @@ def purity_folds(spark, d):
     return metrics.purity(hist, "obj", ["fold"])
 
 
-@query("SELECT label, name, kind FROM (VALUES (0, 'Ground', 'stuff'), (1, 'Vegetation', 'stuff'), (2, 'Cars', 'thing'), (3, 'Trucks', 'thing'), (4, 'Power lines', 'thing'), (5, 'Fences', 'thing'), (6, 'Poles', 'thing'), (7, 'Buildings', 'thing'), (8, 'void', 'void')) t(label, name, kind)")
+@query(
+    """SELECT label, name, kind, count(pid) AS points FROM (VALUES (0, 'Ground', 'stuff'), (1, 'Vegetation', 'stuff'), (2, 'Cars', 'thing'), (3, 'Trucks', 'thing'), (4, 'Power lines', 'thing'), (5, 'Fences', 'thing'), (6, 'Poles', 'thing'), (7, 'Buildings', 'thing'), (8, 'void', 'void')) t(label, name, kind)
+    LEFT JOIN pts ON label = CASE WHEN pid % 10 BETWEEN 1 AND 8 THEN pid % 10 - 1 ELSE 8 END GROUP BY 1, 2, 3"""
+)
 def aerial_classes(spark, d):
-    return catalog.DALES.classes(spark)
+    own = points(spark, d).select(catalog.DALES.label(F.pmod("pid", F.lit(10))).alias("label"))
+    counts = own.groupBy("label").agg(F.count(F.lit(1)).alias("points"))
+    return catalog.DALES.classes(spark).join(counts, "label", "left").select("label", "name", "kind", F.coalesce("points", F.lit(0)).alias("points"))
 
 
 @query("SELECT pid, CASE pid % 45 WHEN 7 THEN 0 WHEN 8 THEN 1 WHEN 11 THEN 2 WHEN 12 THEN 3 WHEN 13 THEN 4 WHEN 17 THEN 5 WHEN 19 THEN 6 WHEN 20 THEN 7 WHEN 21 THEN 8 WHEN 22 THEN 9 WHEN 24 THEN 10 WHEN 26 THEN 11 WHEN 27 THEN 12 WHEN 32 THEN 13 WHEN 33 THEN 14 WHEN 34 THEN 2 WHEN 35 THEN 4 WHEN 37 THEN 5 ELSE 15 END AS label FROM pts")
@@ -246,3 +251,40 @@ def instance_graph_edges(spark, d):
 @query("SELECT super_index AS cluster, lab AS label FROM (SELECT super_index, lab, count(*) AS n FROM seg GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY super_index ORDER BY n DESC, lab) = 1", "seg")
 def dominant_labels(spark, d):
     return voxels.majority(segments(spark, d), ["super_index"], "lab").select(F.col("super_index").alias("cluster"), F.col("lab").alias("label"))
+
+
+# --- clouds put together
+
+_IDS = {"points": {"pid": "points", "super_index": "segments"}, "segments": {"id": "segments", "children": "points"}}
+
+
+def _clouds(spark, d):
+    """Three clouds: the points of each residue of pid by 3, and their segments with lists of children."""
+    out = []
+    for k in range(3):
+        p = segments(spark, d).where(F.pmod("pid", F.lit(3)) == k).select("pid", "super_index", "z")
+        lists = p.groupBy(F.col("super_index").alias("id")).agg(F.sort_array(F.collect_list("pid")).alias("children"))
+        out.append({"points": p, "segments": lists})
+    return out
+
+
+_COLLATED = """WITH o AS (SELECT pid % 3 AS b, pid, super_index FROM seg), m AS (SELECT b, max(pid) + 1 AS np, max(super_index) + 1 AS ns FROM o GROUP BY 1),
+base AS (SELECT b, coalesce(sum(np) OVER w, 0) AS bp, coalesce(sum(ns) OVER w, 0) AS bs FROM m WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(b AS INTEGER) AS batch, CAST(pid + bp AS BIGINT) AS pid, CAST(super_index + bs AS BIGINT) AS super_index FROM o JOIN base USING (b)"""
+
+
+@query(_COLLATED, "seg")
+def collated_points(spark, d):
+    return collate.collated(_clouds(spark, d), _IDS)["points"].select("batch", "pid", "super_index")
+
+
+@query(_COLLATED.replace("AS pid,", "AS child,").replace("AS super_index FROM o JOIN", "AS id FROM o JOIN"), "seg")
+def collated_children(spark, d):
+    out = collate.collated(_clouds(spark, d), _IDS)["segments"]
+    return out.select("batch", F.explode("children").alias("child"), "id")
+
+
+@query("SELECT pid, super_index, round(z, 6) AS z FROM seg WHERE pid % 3 = 1", "seg")
+def separated_cloud(spark, d):
+    tables = collate.collated(_clouds(spark, d), _IDS)
+    return collate.separated(tables, 1, _IDS)["points"].select("pid", "super_index", "z")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import features
+from ..functions import eigen, features
 from ..functions.expr import argmax
 from ..operators import columns, graph, hierarchy, ids, neighbors, ragged, sampling, voxels
 from ..sources import catalog, clouds
@@ -204,9 +204,9 @@ def cast_columns(spark, d):
     return columns.cast_columns(points(spark, d).select("pid", "r", "g", "lab"), fp="double")
 
 
-@query("SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS node_id FROM pts WHERE lab = 1")
+@query("SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS node_id FROM pts")
 def node_index(spark, d):
-    return columns.save_node_index(points(spark, d).where("lab = 1").select("pid"), "pid")
+    return columns.save_node_index(points(spark, d).select("pid"), "pid")
 
 
 @query("SELECT pid, x AS f0, round((SELECT avg(y) FROM pts), 6) AS f1 FROM pts")
@@ -216,6 +216,43 @@ def dropout_columns(spark, d):
     return out.select("pid", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(2)])
 
 
+def _uniform(seed, *keys):
+    """SQL of `noise.uniform`."""
+    return f"((('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def _normal(seed, *keys):
+    return f"(sqrt(-2 * ln({_uniform(seed, chr(39) + 'r' + chr(39), *keys)})) * cos(2 * pi() * {_uniform(seed, chr(39) + 'a' + chr(39), *keys)}))"
+
+
+@query(f"SELECT pid, round(x + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, {_normal(3, 'pid', chr(39) + 'x' + chr(39))} * 0.1::DOUBLE)), 6) AS x, round(y + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, {_normal(3, 'pid', chr(39) + 'y' + chr(39))} * 0.1::DOUBLE)), 6) AS y FROM pts")
+def jittered(spark, d):
+    return columns.jitter(points(spark, d).select("pid", "x", "y"), ["x", "y"], 0.1, 0.2, 3)
+
+
+@query(
+    f"""SELECT 0 AS level, pid AS id, round(z + {_normal(7, 'pid', chr(39) + 'z' + chr(39))} * 0.5::DOUBLE, 6) AS z FROM pts
+    UNION ALL SELECT 1, id, round(z, 6) FROM snode""",
+    "snode",
+)
+def jittered_levels(spark, d):
+    levels = [nodes(spark, d).select("id", "z"), segment_nodes(spark, d).select("id", "z")]
+    low, high = columns.jitter_levels(levels, ["z", "absent"], [0.5, 0.0], 0, 7)
+    return low.select(F.lit(0).alias("level"), "id", "z").union(high.select(F.lit(1).alias("level"), "id", "z"))
+
+
+@query(f"SELECT pid, CASE WHEN {_uniform(5, 'pid')} < 0.3 THEN 0 ELSE x END AS f0, round(CASE WHEN {_uniform(5, 'pid')} < 0.3 THEN 0 ELSE y END, 6) AS f1 FROM pts")
+def dropped_rows(spark, d):
+    out = columns.dropout_rows(columns.add_keys(points(spark, d).select("pid", "x", "y"), ["x", "y"], "f"), "f", 0.3, 5)
+    return out.select("pid", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(2)])
+
+
+@query(f"SELECT pid, round(CASE WHEN {_uniform(6, 'pid')} < 0.3 THEN avg(x) OVER () ELSE x END, 6) AS f0, round(CASE WHEN {_uniform(6, 'pid')} < 0.3 THEN avg(z) OVER () ELSE z END, 6) AS f1 FROM pts")
+def dropped_rows_to_mean(spark, d):
+    out = columns.dropout_rows(columns.add_keys(points(spark, d).select("pid", "x", "z"), ["x", "z"], "f"), "f", 0.3, 6, to_mean=True)
+    return out.select("pid", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(2)])
+
+
 @query("SELECT count(*) AS n FROM pts")
 def shuffled_rows(spark, d):
     return columns.shuffled(points(spark, d)).agg(F.count(F.lit(1)).alias("n"))
@@ -463,9 +500,9 @@ def table_checks(spark, d):
     return spark.createDataFrame([row], "edges_trimmed boolean, neighbours_trimmed boolean, equal_to_itself boolean, equal_to_others boolean")
 
 
-@query("SELECT pid, obj, dense_rank() OVER (ORDER BY obj) - 1 AS new_group, dense_rank() OVER (ORDER BY pid) - 1 AS new_value FROM pts WHERE obj % 3 = 1")
+@query("SELECT pid, obj, dense_rank() OVER (ORDER BY obj) - 1 AS new_group, dense_rank() OVER (ORDER BY pid) - 1 AS new_value FROM pts")
 def reindexed_groups(spark, d):
-    return ragged.reindexed_lists(points(spark, d).where("obj % 3 = 1").select("pid", "obj"), "obj", "pid")
+    return ragged.reindexed_lists(points(spark, d).select("pid", "obj"), "obj", "pid")
 
 
 @query("SELECT i, round(count(*) / nullif(pow(max(d), 2), 0), 6) AS density FROM nbr GROUP BY 1", "nbr")
@@ -481,12 +518,33 @@ def covariance(spark, d):
     return features.covariances(segments(spark, d), ["super_index"])
 
 
-@query()
+_PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
+_NAMES = ("linearity", "planarity", "scattering", "length", "surface", "volume", "curvature", "verticality", "nx", "ny", "nz")
+
+
+def _geometry(source, k_min):
+    return eigen.nested(source, eigen.steps() + eigen.feature_steps(k_min)), ", ".join(f"round({c}, 6) + 0 AS {c}" for c in (*[f"c{p}" for p in _PAIRS], *_NAMES))
+
+
+_SEG_FEATURES, _ROUNDED = _geometry("cv", 5)
+_POINT_FEATURES, _ = _geometry("cv", 3)
+_COVARIANCES = ", ".join(f"covar_pop({a}, {b}) AS c{a}{b}" for a, b in _PAIRS)
+
+
+@query(
+    f"""WITH cv AS (SELECT super_index, count(*) AS n, {_COVARIANCES} FROM seg GROUP BY 1), o AS (SELECT super_index, (ln(count(*) + 1) - ln(2)) / 10 AS log_size, avg(z) AS mean_z, coalesce(stddev_samp(z), 0) AS std_z FROM seg GROUP BY 1)
+    SELECT super_index, n, {_ROUNDED}, round(log_size, 6) AS log_size, round(mean_z, 6) AS mean_z, round(std_z, 6) AS std_z FROM {_SEG_FEATURES} JOIN o USING (super_index)""",
+    "seg",
+)
 def segment_geometry(spark, d):
     return features.segment_features(segments(spark, d), "super_index", ["z"])
 
 
-@query()
+@query(
+    f"""WITH cv AS (SELECT i, count(*) AS n, {_COVARIANCES} FROM (SELECT i, j FROM nbr UNION ALL SELECT pid, pid FROM pts) JOIN pts ON pid = j GROUP BY 1)
+    SELECT i, n, {_ROUNDED} FROM {_POINT_FEATURES}""",
+    "nbr",
+)
 def point_geometry(spark, d):
     p = points(spark, d)
     return features.point_geometry(p, neighbours(spark, d), 3)
@@ -712,9 +770,9 @@ def ball_crop(spark, d):
     return sampling.ball(points(spark, d), (75, 245, 50), 100.0).select("pid")
 
 
-@query("SELECT super_index, quantile_disc(z, 0.5) AS median FROM seg WHERE super_index = 1002 GROUP BY 1", "seg")
+@query("SELECT super_index, quantile_disc(z, 0.5) AS median FROM seg GROUP BY 1", "seg")
 def group_lower_median(spark, d):
-    return ids.lower_median(segments(spark, d).where("super_index = 1002"), "z").select(F.lit(1002).cast("long").alias("super_index"), "median")
+    return ids.lower_median(segments(spark, d), "z", ["super_index"])
 
 
 # --- pipelines, names, streams
@@ -731,9 +789,9 @@ def pipeline_run(spark, d):
     return pipelines.pipeline(SPEC)(points(spark, d))
 
 
-@query("""SELECT md5('[{"params":{"tiling":2,"x":0,"y":1},"transform":"xy_tile"},{"params":{"size":[10.0,10.0,10.0]},"transform":"grid_sampling"}]') AS hash""", "")
+@query("""SELECT md5('[{"params":{"tiling":2,"x":0,"y":1},"transform":"xy_tile"},{"params":{"size":[10.0,10.0,10.0]},"transform":"grid_sampling"}]') AS hash, count(*) AS points FROM pts""")
 def pipeline_hash(spark, d):
-    return spark.range(1).select(F.lit(pipelines.spec_hash(SPEC)).alias("hash"))
+    return points(spark, d).agg(F.count(F.lit(1)).alias("points")).select(F.lit(pipelines.spec_hash(SPEC)).alias("hash"), "points")
 
 
 @query("SELECT 'c' || r_regionkey || '__TILE_' || i || '-' || j || '_OF_2-3' AS cloud_id FROM region, (SELECT unnest([1, 2]) AS i), (SELECT unnest([1, 2, 3]) AS j)", "")

@@ -284,3 +284,63 @@ def test_forward_pass_without_edges_or_children(spark):
     assert network.transformer_block(nodes.limit(0), links, block).count() == 0
     children = spark.createDataFrame([(7, 1, [4.0]), (8, 1, [-1.0])], "id long, super_index long, x array<double>")
     assert {r.id: r.x for r in network.down_stage(nodes, children, None, network.Stage()).collect()} == {1: [1.0, 2.0, 4.0], 2: [3.0, 5.0]}
+
+
+def test_noise_is_that_of_its_counter(spark):
+    """Against MD5 by hand, the same under any partitioning, and normal."""
+    import hashlib
+
+    from lattica.functions import noise
+
+    df = spark.range(4000)
+    make = lambda rows: {r.id: (r.u, r.n) for r in rows.select("id", noise.uniform(9, "id").alias("u"), noise.normal(9, "id", F.lit("x")).alias("n")).collect()}
+    one, other = make(df), make(df.repartition(7, F.rand(1)))
+    assert one == other
+    at = lambda text: (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    assert all(abs(one[i][0] - at(f"9:{i}")) < 1e-15 for i in range(50))
+    want = [math.sqrt(-2 * math.log(at(f"9:r:{i}:x"))) * math.cos(2 * math.pi * at(f"9:a:{i}:x")) for i in range(50)]
+    assert all(abs(one[i][1] - want[i]) < 1e-9 for i in range(50))
+    n = np.array([v[1] for v in one.values()])
+    assert abs(n.mean()) < 0.06 and abs(n.std() - 1) < 0.05 and abs(np.mean(np.abs(n) < 1) - 0.6827) < 0.03
+
+
+def test_noise_by_level(spark):
+    low, high = (spark.createDataFrame([(i, 0.0, 0.0) for i in range(20)], "id long, x double, z double") for _ in range(2))
+    a, b = columns.jitter_levels([low, high.drop("x")], ["x", "z"], [0.0, 1.0], [0.05, 0.5])
+    assert a.agg(F.sum(F.abs("x") + F.abs("z"))).first()[0] == 0 and b.columns == ["id", "z"]
+    top = b.agg(F.max(F.abs("z")).alias("m"), F.count_distinct("z").alias("n")).first()
+    assert top.m == 0.5 and top.n > 5
+
+
+def test_lower_median_of_equal_values_and_of_groups(spark):
+    df = spark.createDataFrame([(1, 5)] * 50 + [(2, v) for v in (4, 1, 3, 2)] + [(3, None), (None, 7), (None, 8)], "k int, v int")
+    assert {r.k: r.median for r in ids.lower_median(df, "v", ["k"]).collect()} == {1: 5, 2: 2, None: 7}
+    assert ids.lower_median(df.where("k = 2"), "v").first().median == 2
+    assert ids.lower_median(df.where("k = 3"), "v").count() == 0
+
+
+def test_eigen_columns_are_those_of_a_solver(spark):
+    """Random, flat, straight, round and empty covariances, and some with equal eigenvalues."""
+    from lattica.functions import eigen
+
+    rng = np.random.default_rng(4)
+    turn = [np.linalg.qr(rng.normal(size=(3, 3)))[0] for _ in range(40)]
+    values = [rng.random(3) * 10 ** rng.integers(-2, 3) for _ in range(24)]
+    values += [(1, 1, 0.5), (2, 0.5, 0.5), (3, 0, 0), (3, 2, 0), (1, 1, 1), (0, 0, 0), (5, 5, 0), (1, 1 - 1e-7, 0.2), (1, 0.2, 0.2 + 1e-7)]
+    m = [q @ np.diag(v) @ q.T for q, v in zip(turn, values)] + [np.diag(v).astype(float) for v in [(1, 2, 3), (3, 2, 1), (2, 2, 5), (0, 0, 4)]]
+    rows = [(i, 9, *[float(a[j, k]) for j, k in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]) for i, a in enumerate(m)]
+    df = spark.createDataFrame(rows, "i int, n int, cxx double, cxy double, cxz double, cyy double, cyz double, czz double")
+    out = df
+    for level in eigen.levels(eigen.steps()):
+        out = out.withColumns({k: F.expr(v) for k, v in level.items()})
+    for r in out.collect():
+        a, scale = m[r.i], max(1e-12, np.abs(m[r.i]).max())
+        l = np.array([r._l1, r._l2, r._l3])
+        v = np.array([[r[f"_v{k}{d}"] for d in "xyz"] for k in (1, 2, 3)])
+        want = np.sqrt(np.maximum(np.linalg.eigvalsh(a)[::-1], 0))
+        assert np.abs(l - want).max() <= 2e-5 * np.sqrt(scale), (r.i, l, want)
+        assert np.abs(v @ v.T - np.eye(3)).max() < 1e-9 and np.abs(v.T @ np.diag(l * l) @ v - a).max() < 1e-7 * scale, r.i
+    made = features.eigen_features(df, 5).collect()
+    assert all(r.nz >= -1e-9 for r in made) and set(made[0].asDict()) >= {"linearity", "verticality", "nz", "i", "n"}
+    few = features.eigen_features(df.withColumn("n", F.lit(4)), 5).agg(F.sum(F.abs("length") + F.abs("nz"))).first()[0]
+    assert few == 0
