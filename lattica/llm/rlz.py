@@ -1,8 +1,9 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of all earlier text.
 
-A document is parsed greedily into factors that copy earlier text; factors of WINDOW words or more are its duplicate
-spans. Earlier means a smaller doc_id, or the same document and an earlier start. The reference, which is the corpus
-itself, is indexed in blocks, and every document is matched against every block that can hold one of its phrases:
+A document's factors copy earlier text; those of WINDOW words or more are its duplicate spans. Earlier means a smaller
+doc_id, or the same document and an earlier start. The reference, which is the corpus itself, is indexed in blocks, and every
+document is matched against every block that can hold one of its phrases. What decides is a join of windows with the blocks;
+the parse then joins the windows' pointers into factors, so that a factor isn't always the longest match there is:
 
 1. Each window of WINDOW words has an anchor, the least hash among its GRAM-word grams. Equal windows have equal anchors,
    so the anchor's hash names the block of the index that windows are filed in. Neighbouring windows mostly share an

@@ -159,6 +159,31 @@ roots AS (SELECT chain.word, chain.root FROM chain JOIN formed f ON f.word = cha
 SELECT formed.*, coalesce(root, formed.word) AS root FROM formed LEFT JOIN roots ON roots.word = formed.word
 """
 
+#: Windows of 400 bytes are told apart by their MD5.
+OP8 = """
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+-- pieces of 400 bytes, each with the 400 that follow
+piece AS (SELECT doc_id, n, c, substr(hx, (800 * c + 1)::BIGINT, 1600) AS p FROM (SELECT doc_id, n, hx, unnest(range((n + 399) // 400)) AS c FROM b)),
+win AS (SELECT doc_id, 400 * c + j AS i, md5(substr(p, (2 * j + 1)::BIGINT, 800)) AS h FROM (SELECT *, unnest(range(least(400, n - 399 - 400 * c))) AS j FROM piece)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+again AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (h)),
+-- a byte is covered if the last such window that starts at or before it reaches it
+bytes AS (SELECT doc_id, 400 * c + j AS i, substr(p, (2 * j + 1)::BIGINT, 2) AS byte FROM (SELECT *, unnest(range(least(400, n - 400 * c))) AS j FROM piece SEMI JOIN again USING (doc_id))),
+marked AS (
+  SELECT bytes.doc_id, bytes.i, byte, coalesce(bytes.i - max(again.i) OVER (PARTITION BY bytes.doc_id ORDER BY bytes.i) < 400, false) AS gone
+  FROM bytes LEFT JOIN again ON bytes.doc_id = again.doc_id AND bytes.i = again.i
+),
+s AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT before) AS n_spans,
+         coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+  FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM marked) GROUP BY 1
+)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN kept IS NULL THEN sha256(t) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM b LEFT JOIN s USING (doc_id)
+"""
+
+
 def _way(state: str, cost: str, label: str) -> str:
     return f"{{'c': {state}.c + {cost}, 's': {state}.s || '{label}'}}"
 
@@ -310,4 +335,4 @@ named AS (SELECT a AS f, min(least) AS component_id FROM reach JOIN fs ON fs.f =
 SELECT doc_id, lower(lpad(hex(f), 16, '0')) AS fingerprint, component_id FROM fp JOIN named USING (f)
 """
 
-ORACLES = {"op12_spelling_variants": OP12, "op13_conversation_repair": OP13, "op11_simhash_near_dedup": OP11, "op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op1_quality_rules": OP1, "op7_line_dedup": OP7}
+ORACLES = {"op12_spelling_variants": OP12, "op13_conversation_repair": OP13, "op11_simhash_near_dedup": OP11, "op8_suffix_array_dedup": OP8, "op4_substring_dedup": OP4, "op9_minhash_near_dedup": OP9, "op1_quality_rules": OP1, "op7_line_dedup": OP7}

@@ -9,9 +9,6 @@ from zlib import crc32
 import pytest
 
 from lattica.llm import conversations as op
-from lattica.llm import sql
-
-from ..conftest import DATA, same_rows
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -173,8 +170,3 @@ def test_odd_tables(spark):
     gone = next(c for c in range(10**6) if crc32(f"{c}:0".encode()) % 20 == 0)
     result = got(op.conversation_repair_report(spark.createDataFrame([(gone, 0, "user", "Hi.", 1, "", "")], schema)))
     assert result == {gone: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
-
-
-def test_twin(spark, duck):
-    con = duck(f"{DATA}/sf0.001")
-    same_rows(op.conversation_repair_report(spark.read.parquet(f"{DATA}/sf0.001/conversations.parquet")), con.sql(sql.OP13))

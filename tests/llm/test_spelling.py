@@ -1,15 +1,11 @@
-"""Spelling variants against brute force over all pairs of words, and against SQL."""
+"""Spelling variants against brute force over all pairs of words."""
 
 import random
 import re
 from collections import Counter
 from zlib import crc32
 
-import duckdb
-
-from lattica.llm import spelling, sql
-
-from ..conftest import DATA, same_rows
+from lattica.llm import spelling
 
 
 def edits(a, b):
@@ -78,12 +74,6 @@ def test_documents(spark, plain):
     assert as_dict(spelling.spelling_report(plain(texts))) == wanted
 
 
-def test_twin(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/sf0.001/documents.parquet'")
-    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
-    same_rows(spelling.spelling_report(docs), con.sql(sql.OP12))
-
 
 def test_odd_rows(spark, weird, nothing):
     words = {r.word: r.n for r in spelling.count_words(weird, min_length=1, min_count=1).collect()}
