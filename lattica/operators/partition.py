@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import dropped, written
 from . import mincut
 
 
@@ -21,12 +21,13 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = -1) -> DataFram
     if rounds < 0:
         return nodes.select("id").join(_stars(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     both = written(edges.select("s", "t").union(edges.select("t", "s")).where("s <> t").distinct())
-    labels = nodes.select("id", F.col("id").alias("label"))
+    last = labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("id", "t"), "t").groupBy(F.col("s").alias("id")).agg(F.max("label").alias("_m"))
         new = written(labels.join(around, "id", "left").select("id", "label", F.greatest("label", F.coalesce("_m", "label")).alias("now")))
         changed = new.where("now <> label").limit(1).count()
-        labels = new.select("id", F.col("now").alias("label"))
+        dropped(last)
+        last, labels = new, new.select("id", F.col("now").alias("label"))
         if not changed:
             break
     return labels
@@ -45,7 +46,8 @@ def _stars(edges: DataFrame) -> DataFrame:
         # each node's larger neighbours, and itself, to the largest of these
         top = large.groupBy("a").agg(F.max("b").alias("m"))
         hung = large.join(top, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(hung.union(top.select("a", F.col("m").alias("b"))).distinct())
+        old, now = now, written(hung.union(top.select("a", F.col("m").alias("b"))).distinct())
+        dropped(old)
         before, seen = seen, mark(now)
     return now.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
@@ -85,9 +87,11 @@ def greedy_merge(nodes: DataFrame, edges: DataFrame, reg: float, min_size: int =
         move = lambda df, c: df.join(to.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
         moved = move(seg, "id").withColumn("wx", F.transform("x", lambda v: v * F.col("n")))
         total = moved.select("id", "n", F.posexplode("wx").alias("k", "v")).groupBy("id", "k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        old = [seg, labels, e, to]
         seg = written(total.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", (F.col("v") / F.col("n")).alias("v")))).alias("_x")).select("id", "n", F.transform("_x", lambda p: p["v"]).alias("x")))
         labels = written(move(labels, "label"))
         e = written(move(move(e, "s"), "t").where("s <> t").groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("w").alias("w")))
+        dropped(*old)
     return labels
 
 

@@ -238,7 +238,24 @@ def mean_average_precision(spark, d):
     return metrics.summarize_ap(metrics.average_precision(predicted(spark, d), CLASSES))
 
 
-@query()
+_ORACLE = f"""best AS (SELECT * FROM ovp0 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, obj) = 1),
+valid AS (SELECT * FROM ovp0 WHERE y < {CLASSES} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, obj) = 1),
+size AS (SELECT cluster, sum(cnt) AS n FROM ovp0 GROUP BY 1),
+rule AS (SELECT bool_or(y >= {CLASSES} AND 2 * cnt <= n) AS move FROM best JOIN size USING (cluster)),
+m AS (SELECT b.cluster, CASE WHEN move AND b.y >= {CLASSES} AND v.obj IS NOT NULL THEN v.obj ELSE b.obj END AS super, CASE WHEN move AND b.y >= {CLASSES} AND v.obj IS NOT NULL THEN v.y ELSE b.y END AS pred_y
+FROM best b LEFT JOIN valid v ON v.cluster = b.cluster, rule),
+lb AS (SELECT super AS cluster, min(pred_y) AS pred_y FROM m GROUP BY 1),
+tb AS (SELECT cluster, obj, cnt, y, pred_y FROM (SELECT super AS cluster, obj, sum(cnt) AS cnt, min(y) AS y FROM ovp0 JOIN m USING (cluster) GROUP BY 1, 2) JOIN lb USING (cluster)),
+gn AS (SELECT *, 2 * sum(CASE WHEN y >= {CLASSES} THEN cnt ELSE 0 END) OVER (PARTITION BY cluster) > sum(cnt) OVER (PARTITION BY cluster) AS gone FROM tb),
+cr AS (SELECT *, sum(CASE WHEN gone THEN cnt ELSE 0 END) OVER (PARTITION BY obj) AS cropped FROM gn),
+io AS (SELECT *, cnt / (sum(cnt) OVER (PARTITION BY cluster) + sum(cnt) OVER (PARTITION BY obj) + cropped - cnt) AS iou FROM cr WHERE NOT gone AND y < {CLASSES}),
+np AS (SELECT pred_y AS class, count(DISTINCT cluster) AS n_pred FROM io GROUP BY 1), nt AS (SELECT y AS class, count(DISTINCT obj) AS n_target FROM io GROUP BY 1),
+h AS (SELECT y AS class, count(*) FILTER (WHERE iou > 0.5) AS tp, coalesce(sum(iou) FILTER (WHERE iou > 0.5), 0) AS si FROM io WHERE y = pred_y GROUP BY 1),
+q AS (SELECT CAST(class AS INTEGER) AS class, coalesce(n_pred, 0) AS n_pred, coalesce(n_target, 0) AS n_target, coalesce(tp, 0) AS tp, coalesce(si, 0) AS si FROM np FULL JOIN nt USING (class) LEFT JOIN h USING (class)),
+f AS (SELECT *, CASE WHEN tp > 0 THEN si / tp ELSE 0 END AS sq, 2 * tp / (n_pred + n_target) AS rq FROM q)"""
+
+
+@query(f"WITH {_ORACLE} SELECT class, tp, n_pred - tp AS fp, n_target - tp AS fn, round(sq, 6) AS sq, round(rq, 6) AS rq, round(sq * rq, 6) AS pq, round(sq * rq, 6) AS pq_modified FROM f", "ovp0")
 def oracle_panoptic(spark, d):
     return metrics.panoptic_quality(instances.oracle_clusters(predicted(spark, d).select("cluster", "obj", "cnt", "y"), CLASSES), CLASSES)
 
