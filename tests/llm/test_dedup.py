@@ -231,6 +231,33 @@ def test_components(spark):
     assert {i for p in pairs if p[0] != p[1] for i in p} <= set(got)
 
 
+def test_stars_are_known_without_another_round(spark, monkeypatch):
+    """A round is a dozen shuffles: none for edges that are stars already, one for a star around a later id."""
+    rounds, step = [], components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda edges: rounds.append(1) or step(edges))
+    for hub, most in ((0, 0), (25, 1)):
+        rounds.clear()
+        edges = spark.createDataFrame([(hub, i) for i in range(50)], "a long, b long")
+        assert {(r.id, r.component) for r in components.components(edges).collect()} == {(i, 0) for i in range(50)}
+        assert len(rounds) == most
+
+
+def test_components_are_not_made_between_rounds_of_pivots(plain, monkeypatch):
+    """Once after the pivots, and once more where blocks find links; and all links are found for it."""
+    made, whole = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: made.append(1) or whole(edges))
+    rng = random.Random(15)
+    docs, text = {}, _text(rng, 300)
+    for i in range(120):  # a chain: each text is near the next ones, and the ends share little
+        docs[i] = text
+        w = text.split()
+        w[(7 * i) % 290 : (7 * i) % 290 + 7] = [f"c{i}x{j}" for j in range(7)]
+        text = " ".join(w)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_report(plain(docs)).collect()}
+    assert got == brute.components(docs, 4, 80)
+    assert len(made) <= 2
+
+
 def test_window_hashes_depend_on_the_words_alone():
     import pyarrow as pa
 
