@@ -411,6 +411,25 @@ def test_packing_of_odd_words(plain):
     _check_packing(list(enumerate(texts)), packing.packing_report(docs).collect())
 
 
+def test_new_words_are_encoded_in_runs():
+    """A run of them costs one call's overhead, and gives each word the ids that it has alone."""
+    words = packing.WordCache(packing.tokenizer_path())
+    real, handed = words.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    words.tokenizer = Counting()
+    rng = random.Random(21)
+    odd = ["caf\u00e9", "e\u0301", "\u0301", "\u4e2d\u6587\u3002", "\U0001f600!", "don't", "'", "s", "A.B.", "\u200b", "\u00a0", "endoftext|>", "|", "<|endoftext|>", "x<|endoftext|>y", "</s>", "<", "a<b"]
+    texts = [" ".join(odd + [f"w{rng.randrange(10**9)}x" for _ in range(2000)])]
+    flat, sizes = words.ids([t.encode() for t in texts])
+    assert flat.tolist() == real.encode(texts[0], add_special_tokens=False).ids and sizes.tolist() == [len(flat)]
+    assert len(handed) < 40
+
+
 def test_best_two_fit_replaces_the_smallest():
     # 6 + 3 leaves 1; replacing the 3 by 2 + 2 fills the bin
     bins, offsets = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
