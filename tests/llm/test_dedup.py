@@ -430,6 +430,56 @@ def test_new_words_are_encoded_in_runs():
     assert len(handed) < 40
 
 
+def test_words_of_letters_are_encoded_without_marks():
+    """Between spaces, as a mark costs more than such a word; those that the tokenizer splits, joins or lengthens keep their ids."""
+    words = packing.WordCache(packing.tokenizer_path())
+    real, handed = words.tokenizer, []
+
+    class Recording:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    words.tokenizer = Recording()
+    rng = random.Random(22)
+    letters = ["".join(rng.choice("abcdeT\u00e9\u00df\u00d6") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    flat, sizes = words.ids([" ".join(letters).encode()])
+    assert flat.tolist() == real.encode(" ".join(letters), add_special_tokens=False).ids and sizes.tolist() == [len(flat)]
+    assert handed and not any(packing.MARK.decode() in x for x in handed)
+    odd = ["\u0130stanbul", "\ufb01n", "\u1100\u1161\u11a8", "\u212b", "\u212a", "\u03a3\u03a3", "\u1e9e", "\u4e2d\u6587", "\u02b0x", "\u0958", "\u2126", "\u1fbc", "\u01c5"]
+    for x in [*odd, " ".join(odd), " ".join(odd + letters[:300]), "".join(odd), "H\u0331 h\u0331 \u0331 h", "\u0130 \u1e9e"]:
+        fresh, _ = packing.WordCache(packing.tokenizer_path()).ids([x.encode()])
+        assert fresh.tolist() == real.encode(x, add_special_tokens=False).ids, x
+
+
+def test_units_of_texts_by_plain_python():
+    rng = random.Random(23)
+    alphabet = ["a", "B", "7", ".", ",", "#", "<", ">", "|", "\u00e9", "\u00c9", "\u3002", " ", " ", "\n", "\x0b", "\u00a0"]
+    for n in (0, 1, 2, 40):
+        for _ in range(60):
+            texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))).encode() for _ in range(n)]
+            want = []
+            for t in texts:
+                own = []
+                for w in t.split():
+                    core = w.rstrip(packing.PUNCTUATION)
+                    if b"<" in w or not core[-1:].isalnum():
+                        core = w
+                    own += [core if b"<" in w or not w.isascii() else core.lower(), *([w[len(core) :]] if core != w else [])]
+                want.append(own)
+            units, cuts = packing._units(texts)
+            assert [units.slice(a, b - a).to_pylist() for a, b in zip(cuts, cuts[1:])] == want
+
+
+def test_words_are_learned_again_once_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    words = packing.WordCache(packing.tokenizer_path())
+    for text in ("one two, three four", "five one", "two. six", "one two, three four", ""):
+        flat, sizes = words.ids([text.encode(), b" ", text.encode()])
+        own = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert flat.tolist() == own * 2 and sizes.tolist() == [len(own), 0, len(own)]
+
+
 def test_best_two_fit_replaces_the_smallest():
     # 6 + 3 leaves 1; replacing the 3 by 2 + 2 fills the bin
     bins, offsets = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
