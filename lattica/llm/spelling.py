@@ -105,11 +105,15 @@ def filed(words: DataFrame) -> DataFrame:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, near, near_n) of all words that differ by one letter inserted, deleted or replaced, both ways around."""
+    """(word, near, near_n) of all words that differ by one letter inserted, deleted or replaced, both ways around.
+
+    Spark sizes what `filed` makes by the words that go in, of which each leaves two rows per letter: the join is told not to
+    broadcast it.
+    """
     rows = filed(words)
     a = rows.select("key", "front", "half", "word")
     b = rows.select("key", "front", "half", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = a.join(b, ["key", "front", "half"]).where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
+    met = a.join(b.hint("merge"), ["key", "front", "half"]).where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     # words that share both halves meet twice, and count in front
     left = F.least(F.length("word"), F.length("near")) - (F.length("word") == F.length("near")).cast("int")
     front = F.floor(left / 2).cast("int")
@@ -118,7 +122,10 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def variant_groups(words: DataFrame, ratio: int = 2) -> DataFrame:
-    """(word, n, n_near, form, form_n, root) of every row of `words` (word, n), whose words are distinct."""
+    """(word, n, n_near, form, form_n, root) of every row of `words` (word, n), whose words are distinct.
+
+    Tables of words are larger than their files, by which Spark would choose to broadcast them: joins with them are merges.
+    """
     words = written(words.select("word", "n"))
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("w"))).alias("top"))
     enough = -F.col("top.m") >= ratio * F.col("n")
@@ -130,13 +137,13 @@ def variant_groups(words: DataFrame, ratio: int = 2) -> DataFrame:
     steps = written(formed.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = written(steps.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        longer = written(steps.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         dropped(steps)
         steps = longer
         if steps.where("moved").isEmpty():
             break
     roots = steps.select("word", "root")
-    return formed.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_report(docs: DataFrame) -> DataFrame:

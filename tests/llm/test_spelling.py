@@ -59,6 +59,14 @@ def test_crowd_of_anagrams(spark):
     assert as_dict(spelling.variant_groups(spark.createDataFrame(list(counts.items()), "word string, n long"))) == groups(counts)
 
 
+def test_nothing_of_a_row_per_word_is_broadcast(spark):
+    """Spark takes what `filed` makes, and tables of words, for smaller than they are."""
+    words = spark.createDataFrame([("letter", 9), ("lettre", 3), ("leter", 3)], "word string, n long")
+    for df in (spelling.near_words(words), spelling.variant_groups(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_documents(spark, plain):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["Colour", "colour", "color", "Großes", "ÉTÉS÷été", "übel-taten", "x1yzzy", "straße", "theatre"], k=60)) for _ in range(30)] + [None, "", "12 \n"]
