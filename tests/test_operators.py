@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from lattica.functions import features
 from lattica.operators import columns, graph, hierarchy, ids, metrics, neighbors, partition, ragged, sampling, voxels
 from lattica.plans import pipeline
 
+from .conftest import DATA, same_rows
+
 
 def cloud(spark, n=120, seed=0, extent=10.0):
     rng = random.Random(seed)
@@ -50,6 +53,40 @@ def test_knn_in_blocks_is_the_same(spark):
     assert one == many and len(one) == 180
 
 
+def test_knn_of_odd_vectors_is_that_of_sql(spark, duck):
+    """Copies, near copies, very long and short vectors, and vectors with nulls or without a value; all are queries."""
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=6).astype(np.float32) * scale for scale in (1, 1e-30, 1e3, 3e18) for _ in range(60)]
+    x += [x[0]] * 40 + [np.nextafter(x[k], np.float32(9)) for k in (0, 0, 1, 70, 130)] + [np.zeros(6, np.float32)] * 9
+    rows = [[float(v) for v in r] for r in x] + [None, [], [None] * 6, [1.0, 2.0], [0.5, None, 1.0, 0.0, 0.0, 0.0], [1.0] * 9]
+    rows = [(int(i), r) for i, r in zip(rng.permutation(len(rows)), rows)] + [(None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duck(DATA)
+    embeddings = df.toArrow()
+    con.register("embeddings", embeddings)
+    wanted = con.sql(
+        """SELECT i, CAST(rank AS INTEGER) AS rank, j, d FROM (SELECT a.vec_id AS i, b.vec_id AS j,
+        sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda e: (e[1]::DOUBLE - e[2]::DOUBLE) * (e[1]::DOUBLE - e[2]::DOUBLE)))) AS d,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY d NULLS LAST, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5"""
+    )
+    for block in (1000, 50):
+        same_rows(neighbors.knn_vectors(df, df, 5, block).select("i", "rank", "j", "d"), wanted, 0)
+
+
+def test_knn_of_one_task_takes_rows_as_they_come():
+    """More rows and queries than one product takes, against all distances."""
+    from lattica.operators import vectors
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 8)).astype(np.float32)
+    rows = pa.table({"j": np.arange(20_000), "s": list(x)})
+    got = vectors.search(pa.table({"i": np.arange(1500) * 7, "q": list(x[: 1500 * 7 : 7])}), rows.to_batches(9000), 4).to_pydict()
+    for i in range(0, 1500 * 7, 700):
+        d = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(1))
+        near = [j for j in np.lexsort((np.arange(20_000), d)) if j != i][:4]
+        assert [j for a, j in zip(got["i"], got["j"]) if a == i] == near
+
+
 def test_ranked_spreads_a_hot_group(spark):
     rng = random.Random(3)
     rows = [(0 if rng.random() < 0.9 else rng.randrange(1, 5), rng.randrange(50), i) for i in range(3000)]
