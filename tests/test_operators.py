@@ -38,6 +38,19 @@ def test_recursive_inliers_of_an_open_line(spark):
     assert {r.pid for r in neighbors.inliers(df, 2, 1.5, recursive=True).collect()} == {1000, 1001, 1002}
 
 
+def test_recursive_inliers_look_for_pairs_once(spark, monkeypatch):
+    """A line that is long leaves in a few rounds; points of one place, on the edges of cells and below zero."""
+    rows = [(i, float(i % 40), float(i // 40 % 2), 0.0) for i in range(80)] + [(100 + i, float(i), 500.0, 0.0) for i in range(900)]
+    rows += [(2000 + i, -1.5, -3.0, 0.0) for i in range(3)] + [(3000, -3.0, -3.0, 0.0), (3001, -1.5, -4.5, 0.0), (4000, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    put, tables = neighbors.written, []
+    monkeypatch.setattr(neighbors, "written", lambda t: tables.append(1) or put(t))
+    got = {r.pid for r in neighbors.inliers(df, 2, 1.5, recursive=True).collect()}
+    assert got == {*range(80), 2000, 2001, 2002, 3000, 3001} and len(tables) <= 21
+    pairs = sorted((r.i, r.j, r.d) for r in neighbors.pairs_within(df, 1.5).collect())
+    assert pairs == sorted((r.i, r.j, r.d) for r in neighbors.within_radius(df, df, 1.5).where("i <> j").collect())
+
+
 def test_knn_is_exact(spark):
     rows, df = cloud(spark, 80, 1)
     got = {(r.i, r.rank): r.j for r in neighbors.knn(df, 3, 50.0).collect()}
