@@ -66,3 +66,18 @@ def test_keys_may_be_pairs(spark):
     edges = nodes.select(F.col("id").alias("s"), F.struct("id.k", (F.col("id.i") + 1).alias("i")).alias("t"), F.lit(0.1).alias("w")).where("t.i < 6")
     labels = {(r.id.k, r.id.i): r.label for r in partition.cut_pursuit(nodes, edges, 1.0).collect()}
     assert {(k, i): v for (k, i), v in labels.items()} == {(k, i): (k, 3 * (i // 3)) for k in range(2) for i in range(6)} or len({tuple(v) for v in labels.values()}) == 4
+
+
+def test_parts_go_to_the_end_and_skip_what_cannot_gain(spark, monkeypatch):
+    """Two far levels of a line, and two near ones elsewhere that are not connected; small segments are not looked at."""
+    x = np.array([0.0] * 5 + [9.0] * 5 + [0.0] * 5)[:, None]
+    s = np.arange(14)
+    got = mincut.parts(x, np.ones(15), s, s + 1, np.full(14, 0.5))
+    assert sorted(sorted(p.tolist()) for p in got) == [list(range(5)), list(range(5, 10)), list(range(10, 15))]
+    apart = mincut.parts(x[:4] + np.arange(4)[:, None] * 1e-3, np.ones(4), np.array([0, 2]), np.array([1, 3]), np.full(2, 0.5))
+    assert sorted(sorted(p.tolist()) for p in apart) == [[0, 1], [2, 3]]
+    monkeypatch.setattr(mincut, "best_split", lambda *a: 1 / 0)
+    assert [p.tolist() for p in mincut.parts(x[:5] + np.arange(5)[:, None] * 0.01, np.ones(5), s[:4], s[:4] + 1, np.full(4, 0.5))] == [list(range(5))]
+    nodes = spark.createDataFrame([(c, 2 * c + k, 1.0, [k * (5.0 if c == 7 else 0.1)]) for c in range(20) for k in (0, 1)], "c long, id long, n double, x array<double>")
+    inside = spark.createDataFrame([(c, 2 * c, 2 * c + 1, 1.0) for c in range(20)], "c long, s long, t long, w double")
+    assert [tuple(r) for r in partition._worth(nodes, inside, 0.05, 1, True).collect()] == [(7, 2)]
